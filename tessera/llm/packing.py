@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -13,98 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, split_words, text_chunks
+from .common import materialize, small_batches, text_chunks
+from .tokens import word_tokens
 
 CAPACITY = 2048
 END_ID = 0
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, local_rank long"
 
-# ---------------------------------------------------------------- tokens
-
-
-class WordTokens:
-    """Ids of white-space separated words, as little-endian 32-bit bytes, by a public tokenizer file.
-
-    The tokenizer's pattern never matches across white space, so a text's ids are those of its words in turn. Words
-    are taken apart once and remembered up to a bound; letters beyond Latin and special tokens go to the tokenizer as they are.
-    """
-
-    LIMIT = 300_000
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed value: the file's own pattern
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.pieces_of = regex.compile(self.PATTERN).findall
-        self.plain = regex.compile(r"[\x21-ɏ]+").fullmatch
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocab.values()) + 3, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.words) + len(words) > self.LIMIT:
-            self.words.clear()
-        if len(self.pieces) > self.LIMIT:
-            self.pieces.clear()
-        split, fresh, known = [], {}, self.pieces
-        for w in words:
-            s = w.decode("utf-8")
-            if "<|" in s or not self.plain(s):
-                self.words[w] = self._ids(s).tobytes()
-                continue
-            own = self.pieces_of(s.lower())
-            split.append((w, own))
-            for p in own:
-                if p not in known:
-                    fresh[p] = None
-        if fresh:
-            names = list(fresh)
-            ids = self._ids(" ".join(names))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(names) and cuts[-1] == len(ids):
-                raw, at = ids.tobytes(), 0
-                for p, cut in zip(names, cuts.tolist()):
-                    known[p] = raw[4 * at : 4 * cut]
-                    at = cut
-            else:  # a piece that ends otherwise: one by one
-                for p in names:
-                    known[p] = self._ids(p).tobytes()
-        for w, own in split:
-            self.words[w] = b"".join([known[p] for p in own])
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [split_words(t) for t in texts]
-        unseen = {w for words in split for w in set(words) if w not in self.words}
-        if unseen:
-            self._learn(list(unseen))
-        get = self.words.get
-        for words in split:
-            ids = list(map(get, words))
-            if None in ids:  # forgotten meanwhile
-                self._learn([w for w, x in zip(words, ids) if x is None])
-                ids = [self.words[w] if w in self.words else self._ids(w.decode("utf-8")).tobytes() for w in words]
-            yield b"".join(ids)
-
-
-_TOKENS: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
-    """One for each Python worker and file."""
-    if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
-
-
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row for each piece of each document: its place, length, checksum, and its rank among equal lengths in its task."""
 
@@ -113,8 +28,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
         pid, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for ids, texts in text_chunks(batches):
             rows: list[tuple] = []
-            for doc, raw in zip(ids, tokens.encode(texts)):
-                raw += end
+            flat, offsets = tokens.encode(texts)
+            raw_all, offsets = flat.astype("<u4").tobytes(), (offsets * 4).tolist()
+            for doc, a, b in zip(ids, offsets, offsets[1:]):
+                raw = raw_all[a:b] + end
                 for piece, at in enumerate(range(0, len(raw) // 4, capacity)):
                     own = raw[4 * at : 4 * (at + capacity)]
                     n = len(own) // 4
