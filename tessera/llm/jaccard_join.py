@@ -2,8 +2,9 @@
 
 Sets within a size band differ in at most k features if they are similar enough. The feature domain is dealt into n > k
 partitions; two such sets then agree on at least n - k of them, and share the signature of one. Equal sets are one class
-from the start, and of a signature's classes only links to the smallest are tried first: a large group of copies costs one
-link a member. What these links leave apart is then compared too, where a bound on counts does not rule it out.
+from the start. The classes of a signature meet under the smallest of them, their hub; those that have one hub are compared
+in blocks, where links already found spare comparing what they join: a large group of copies costs about one comparison
+a member. Bounds from bucket counts go before texts.
 """
 
 from __future__ import annotations
@@ -11,21 +12,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix, settle, signed, small_batches, text_chunks, window_hashes, word_hashes
+from .common import discard, grouped_batches, materialize, mix, settle, signed, small_batches, sorted_groups, text_bytes, text_chunks, window_hashes, word_hashes
 from .components import connected_components
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
 BAND = 1.5  # a band's largest size over its smallest
-BUCKETS = 64  # of the count bound
 BASE = 0x9E3779B97F4A7C15
-GROUP = 256  # members beside one hub in a verifying task
-LINKED, APART = 1, 0
+KEYS = ["hub", "i", "j"]
+BLOCK = 384  # members of a hub in one block; a task compares two blocks
 
 
 def bands(size: int, num: int = NUM, den: int = DEN, ratio: float = BAND) -> list[tuple[int, int]]:
@@ -47,11 +46,11 @@ def bands(size: int, num: int = NUM, den: int = DEN, ratio: float = BAND) -> lis
 def partitions(high: int, num: int = NUM, den: int = DEN) -> tuple[int, int]:
     """(k, n) of a band: the most features in which linked sets of at most `high` differ, and the partitions dealt.
 
-    |A - B| + |B - A| <= (den - num) / (den + num) * (|A| + |B|). The tenth beyond k + 1 makes up for empty partitions, which
-    are not signatures; a set with n - k or more empty ones gives these too.
+    |A - B| + |B - A| <= (den - num) / (den + num) * (|A| + |B|). Three tenths more than k leave over k partitions with features
+    even in the band's smallest sets; empty ones are signatures only of a set with n - k or more of them.
     """
     k = (den - num) * 2 * high // (den + num)
-    return k, k + 2 + k // 10
+    return k, k + 4 + 3 * k // 10
 
 
 def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
@@ -69,39 +68,124 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[np.ndarray]:
-    """PartEnum signatures of each set: for each band of it, a hash of each partition's features with the band and partition."""
-    tasks = [(i, band, *partitions(high, num, den)) for i, s in enumerate(sets) if len(s) for band, high in bands(len(s), num, den)]
+def signatures(sets: list[np.ndarray], common: Common | None = None, num: int = NUM, den: int = DEN) -> list[np.ndarray]:
+    """PartEnum signatures of each set: for each band of it, a hash of each partition's features with the band and partition.
+
+    Common features may be left out of the domain: without them sets differ in no more features, so linked sets still agree on
+    n - k partitions, and share a signature unless both have n - k empty ones or more. Such sets give the signatures of the
+    whole domain too, and the empty ones if even there as many are empty.
+    """
+    whole = [(i, s, *t) for i, s in enumerate(sets) if len(s) for t in ((band, *partitions(high, num, den)) for band, high in bands(len(s), num, den))]
+    out: list[list[np.ndarray]] = [[] for _ in sets]
+    if common is not None:
+        rare = common.without(sets)
+        sparse = []
+        for task, sig, own in _cells([(i, rare[i], *t) for i, _, *t in whole], 0):
+            out[task[0]].append(sig[own])
+            sparse.append(len(own) - int(own.sum()) >= task[4] - task[3])
+        whole = [t for t, x in zip(whole, sparse) if x]
+    for task, sig, own in _cells(whole, 1):
+        out[task[0]].append(sig if len(own) - int(own.sum()) >= task[4] - task[3] else sig[own])
+    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
+
+
+def _cells(tasks: list[tuple], domain: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """For each (set's number, features, band, k, n): its n partitions' hashes, and which have features."""
     if not tasks:
-        return [np.zeros(0, np.uint64) for _ in sets]
-    sizes = np.array([len(sets[i]) for i, *_ in tasks])
-    parts = np.array([n for *_, n in tasks], np.int64)
+        return
+    sizes = np.array([len(t[1]) for t in tasks])
+    parts = np.array([t[4] for t in tasks], np.int64)
     first = np.concatenate([[0], np.cumsum(parts)])
-    features = np.concatenate([sets[i] for i, *_ in tasks])
+    features = np.concatenate([t[1] for t in tasks])
     spread = mix(features ^ np.uint64(0x5851F42D4C957F2D))
-    cell = (spread >> np.uint64(20)) % np.repeat(parts, sizes).astype(np.uint64)
-    cell = cell.astype(np.int64) + np.repeat(first[:-1], sizes)
-    low = np.bincount(cell, (spread & np.uint64(0x3FFFFFF)).astype(np.float64), first[-1])  # sums of 26 bits are exact
-    high = np.bincount(cell, (mix(spread) & np.uint64(0x3FFFFFF)).astype(np.float64), first[-1])
-    more = np.bincount(cell, ((features >> np.uint64(7)) & np.uint64(0x3FFFFFF)).astype(np.float64), first[-1])
+    cell = ((spread >> np.uint64(20)) % np.repeat(parts, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(first[:-1], sizes)
+    part = np.uint64(0x3FFFFFF)  # sums of 26 bits are exact in doubles
+    low, high, more = (np.bincount(cell, (x & part).astype(np.float64), first[-1]).astype(np.uint64) for x in (spread, mix(spread), features >> np.uint64(7)))
     filled = np.bincount(cell, minlength=first[-1]) > 0
     place = np.arange(first[-1], dtype=np.uint64) - np.repeat(first[:-1], parts).astype(np.uint64)
-    band = np.repeat(np.array([b for _, b, *_ in tasks], np.uint64), parts)
-    sig = mix(low.astype(np.uint64) + mix(high.astype(np.uint64) + mix(more.astype(np.uint64) + mix(band << np.uint64(32) | place))))
-    out: list[list[np.ndarray]] = [[] for _ in sets]
-    for j, (i, _, k, n) in enumerate(tasks):
-        a, b = first[j], first[j + 1]
-        own = filled[a:b]
-        out[i].append(sig[a:b] if n - int(own.sum()) >= n - k else sig[a:b][own])
-    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
+    band = np.repeat(np.array([t[2] * 2 + domain for t in tasks], np.uint64), parts)
+    sig = mix(low + mix(high + mix(more + mix(band << np.uint64(32) | place))))
+    for j, task in enumerate(tasks):
+        yield task, sig[first[j] : first[j + 1]], filled[first[j] : first[j + 1]]
+
+
+class Common:
+    """Features that many sets have, as a sorted array; most others fail a bitmap first."""
+
+    BITS = 22
+
+    def __init__(self, features: np.ndarray):
+        self.features = np.sort(features)
+        self.bitmap = np.zeros(1 << self.BITS, bool)
+        self.bitmap[(self.features >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+
+    def without(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        keep = np.ones(len(flat), bool)
+        maybe = np.flatnonzero(self.bitmap[(flat >> np.uint64(64 - self.BITS)).astype(np.int64)])
+        if len(maybe) and len(self.features):
+            at = np.minimum(np.searchsorted(self.features, flat[maybe]), len(self.features) - 1)
+            keep[maybe[self.features[at] == flat[maybe]]] = False
+        cuts = np.cumsum([len(s) for s in sets])[:-1]
+        return [f[k] for f, k in zip(np.split(flat, cuts), np.split(keep, cuts))]
+
+
+SAMPLE, OFTEN = 8000, 5
+
+
+def common_features(docs: DataFrame) -> Common:
+    """Shingles of at least OFTEN different sets in a sample of about SAMPLE documents.
+
+    They only steer which features make signatures: any choice gives the same links. At most the sample's shingles / OFTEN.
+    """
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_chunks(batches):
+            sets = shingle_sets(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(_set_ids(sets), pa.int64()), _lists([signed(x) for x in sets], np.int64)], names=["set_id", "f"])
 
-def bucket_counts(s: np.ndarray) -> np.ndarray:
-    """Features in each of BUCKETS parts of the domain: the sum of differences is a lower bound of the symmetric difference."""
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BUCKETS).astype(np.int32)
+    n = max(1, docs.count())
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < SAMPLE)
+    often = part.mapInArrow(rows, "set_id long, f array<long>").dropDuplicates(["set_id"]).select(F.explode("f").alias("f")).groupBy("f").count().where(F.col("count") >= OFTEN).select("f")
+    return Common(often.toArrow().column("f").to_numpy().view(np.uint64))
 
 
-SETS = "doc_id long, n_shingles long, set_id long, counts array<int>, sigs array<long>"
+def _set_ids(sets: list[np.ndarray]) -> list[int]:
+    return [int(mix(mix(s).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s))).view(np.int64)[0]) for s in sets]
+
+
+def bucket_counts(s: np.ndarray) -> bytes:
+    """Features in each part of the domain, at most 255: a power of two of parts, with 4 to 8 features each on average.
+
+    The sum of differences is a lower bound of the symmetric difference; folding neighbours gives the counts of half as many parts.
+    """
+    bits = max(0, len(s) // 4).bit_length()
+    return np.minimum(np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def possible(sizes: np.ndarray, counts: list[bytes], num: int = NUM, den: int = DEN) -> np.ndarray:
+    """Which pairs sizes and bucket counts leave (upper triangle): a condition that every linked pair meets."""
+    m = len(sizes)
+    out = np.zeros((m, m), bool)
+    rows = [np.frombuffer(c, np.uint8) for c in counts]
+    width = np.array([len(r) for r in rows])
+    cut = np.array([r.max(initial=0) == 255 for r in rows])
+    limit = (sizes[:, None] + sizes[None, :]) * (den - num)
+    fit = np.triu((np.minimum.outer(sizes, sizes) * den >= np.maximum.outer(sizes, sizes) * num) & (np.minimum.outer(sizes, sizes) > 0), 1)
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width >= w)
+        folded = np.stack([rows[i].reshape(w, -1).sum(1, dtype=np.int32) for i in own])
+        for j, i in enumerate(own.tolist()):
+            later = np.flatnonzero(fit[i, own] & (np.minimum(width[i], width[own]) == w))
+            if len(later):
+                differ = np.abs(folded[later] - folded[j]).sum(1)
+                to = own[later]
+                folds = (width[to] != width[i]) & (cut[to] | cut[i])  # cut counts can't be folded
+                out[i, to] = folds | (differ * (den + num) <= limit[i, to])
+    return out
+
+
+SETS = "doc_id long, n_shingles long, set_id long, counts binary, sigs array<long>"
 
 
 def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
@@ -109,12 +193,11 @@ def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(kind, copy=False)))
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_rows(batches: Iterator[pa.RecordBatch], common: Common | None = None) -> Iterator[pa.RecordBatch]:
     for ids, texts in text_chunks(batches):
         sets = shingle_sets(texts)
-        keys = [int(mix(mix(s).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s))).view(np.int64)[0]) for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), _lists([bucket_counts(s) for s in sets], np.int32), _lists([signed(x) for x in signatures(sets)], np.int64)],
+            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(_set_ids(sets), pa.int64()), pa.array([bucket_counts(s) for s in sets], pa.binary()), _lists([signed(x) for x in signatures(sets, common)], np.int64)],
             names=[c.split()[0] for c in SETS.split(", ")],
         )
 
@@ -124,36 +207,46 @@ def linked(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool
     return bool(len(a) and len(b)) and den * both >= num * (len(a) + len(b) - both)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose texts' shingle sets are linked. The texts of the pairs' documents meet at a: a's own in every
-    block of at most about GROUP partners, so that a document with many candidates is not one task."""
-    members = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
-    hubs = pairs.groupBy("a").agg(F.max("blocks").alias("blocks")).select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    texts = docs.select("doc_id", "text")
-    rows = members.unionByName(hubs).join(texts, F.col("b") == F.col("doc_id")).select("a", "b", "block", "text")
-
-    def check(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
-        sets = shingle_sets([(t or "").encode() for t in frames["text"]])
-        ids = frames["b"].tolist()
-        a = key[0]
-        hub = sets[ids.index(a)]
-        good = [b for b, s in zip(ids, sets) if b != a and linked(hub, s)]
-        return pd.DataFrame({"a": np.full(len(good), a, np.int64), "b": np.array(good, np.int64)})
-
-    return rows.groupBy("a", "block").applyInPandas(check, "a long, b long")
-
-
-def _blocked(pairs: DataFrame) -> DataFrame:
-    """pairs with the number of blocks of each a."""
-    n = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("blocks"))
-    return pairs.join(n, "a")
-
-
-def may_link(a: str, b: str, na: str, nb: str) -> Column:
-    """A necessary condition: sizes, and differences of bucket counts, which a linked pair's symmetric difference bounds."""
-    less, more = F.least(na, nb), F.greatest(na, nb)
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return (less * DEN >= more * NUM) & (differ * (DEN + NUM) <= (F.col(na) + F.col(nb)) * (DEN - NUM))
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """(hub, ..., block, i, j) of members (hub, ...): each once for every pair of blocks of its hub that has its own."""
+    n = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    rows = members.join(n, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def _apart(group: pa.Table, maybe: np.ndarray) -> np.ndarray:
+    """Only pairs of different components; of two different blocks, only pairs across."""
+    comp = group.column("comp").to_numpy()
+    maybe &= comp[:, None] != comp[None, :]
+    if group.column("i")[0] != group.column("j")[0]:
+        block = group.column("block").to_numpy()
+        maybe &= block[:, None] != block[None, :]
+    return maybe
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each two blocks, the members that may be linked with one of the other (or, in one block, with another)."""
+    for group in grouped_batches(batches, KEYS):
+        if group.num_rows > 1:
+            maybe = _apart(group, possible(group.column("n").to_numpy(), group.column("counts").to_pylist()))
+            some = group.filter(pa.array(maybe.any(0) | maybe.any(1))).select(["hub", "rep", "comp"])
+            yield from some.combine_chunks().to_batches()
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each two blocks' texts, but for those between members that others join already."""
+    for group in grouped_batches(batches, KEYS):
+        sets = shingle_sets([t or b"" for t in text_bytes(group.column("text"))])
+        ids = group.column("rep").to_pylist()
+        maybe = _apart(group, possible(np.array([len(s) for s in sets], np.int64), [bucket_counts(s) for s in sets]))
+        root, out = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1], []
+        for x, y in np.argwhere(maybe).tolist():
+            if root[x] != root[y] and linked(sets[x], sets[y]):
+                out.append((ids[x], ids[y]))
+                root[root == root[y]] = root[x]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
 
 def _groups(sets: DataFrame) -> DataFrame:
@@ -167,18 +260,35 @@ def _groups(sets: DataFrame) -> DataFrame:
     return rows.where("set_id <> hub and set_id <> was").select("sig", "hub", "set_id")
 
 
+def _with_hubs(pairs: DataFrame) -> DataFrame:
+    return pairs.unionAll(pairs.select("hub", F.col("hub").alias("set_id")).distinct())
+
+
+def _compare(members: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between members (hub, set_id) of a hub that are in different components as known: first by bounds, then by texts."""
+    rows = _in_blocks(members.join(known, "set_id").select("hub", "rep", "comp", "n", "counts"))
+    left = sorted_groups(rows, KEYS).mapInArrow(_candidates, "hub long, rep long, comp long").distinct()
+    left = materialize(left, "left")
+    settle(docs.sparkSession)
+    rows = _in_blocks(left).join(docs, F.col("rep") == F.col("doc_id")).select("hub", "i", "j", "block", "rep", "comp", "text")
+    links = materialize(sorted_groups(rows, KEYS).mapInArrow(_links, "a long, b long"), "links")
+    settle(docs.sparkSession)
+    return links
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included).
 
     ASCII letters are lower-cased, words are [^\\x20\\x09-\\x0D]+, a document's set is its distinct 5-word shingles (fewer words: the
     whole sequence). Documents without words or with null text have the empty set and link with nothing. Every pair that
-    shares a signature is in one component already or compared. Shingles and sets go by 64-bit hashes. doc_id is a key; a
+    shares a signature is compared, or is in one component by other links. Shingles and sets go by 64-bit hashes. doc_id is a key; a
     repeated row comes twice, a null id is its own (null) component. Extra columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    sets = materialize(docs.mapInArrow(_set_rows, SETS), "sets")
+    common = common_features(docs)
+    sets = materialize(docs.mapInArrow(lambda batches: _set_rows(batches, common), SETS), "sets")
     facts = materialize(sets.drop("sigs"), "facts")
     shared = materialize(_groups(sets.where("n_shingles > 0")), "groups")
     discard(sets)
@@ -186,24 +296,18 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     # equal sets are one class, shown by its smallest document
     classes = facts.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
     classes = materialize(classes, "classes")
-    a, b = classes.toDF("hub", "a", "na", "ca"), classes.toDF("set_id", "b", "nb", "cb")
-    first = shared.select("hub", "set_id").distinct().join(a, "hub").join(b, "set_id").where(may_link("ca", "cb", "na", "nb")).select("a", "b")
-    first = materialize(_blocked(first), "pairs")
-    links = materialize(_verify(first, docs), "links")
+    pairs = materialize(shared.groupBy("hub", "set_id").agg(F.count("*").alias("n")), "pairs")
+    discard(shared)
+    settle(spark)
+    # first, each set beside the one hub with which it shares the most signatures
+    best = pairs.groupBy("set_id").agg(F.max(F.struct("n", "hub")).getField("hub").alias("hub")).select("hub", "set_id")
+    known = classes.withColumn("comp", F.col("rep"))
+    links = _compare(_with_hubs(best), known, docs)
+    # then beside all its hubs, where these links leave components apart
+    nodes = materialize(connected_components(links, "a", "b"), "nodes")
+    known = materialize(classes.join(nodes, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component_id", "rep")).drop("node", "component_id"), "known")
+    members = _with_hubs(pairs.select("hub", "set_id"))
+    links = links.unionAll(_compare(members, known, docs))
     nodes = connected_components(links, "a", "b")
-    # groups that are not one component yet: every pair of different components there that the bounds leave
-    named = classes.join(nodes, F.col("rep") == F.col("node"), "left").select("set_id", "rep", "n", "counts", F.coalesce("component_id", "rep").alias("comp"))
-    named = materialize(named, "named")
-    members = shared.select("sig", "set_id").unionAll(shared.select("sig", F.col("hub").alias("set_id")).distinct())
-    placed = members.join(named.select("set_id", "comp"), "set_id")
-    split = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    open_ = materialize(members.join(split, "sig", "left_semi").join(named, "set_id").select("sig", "rep", "comp", "n", "counts"), "open")
-    x, y = open_.toDF("sig", "a", "xc", "na", "ca"), open_.toDF("sig", "b", "yc", "nb", "cb")
-    second = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("xc") != F.col("yc")) & may_link("ca", "cb", "na", "nb")).select("a", "b").distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = materialize(_blocked(second.join(done, ["a", "b"], "left_anti")), "pairs")
-    if second.head(1):
-        links = links.unionByName(_verify(second, docs))
-        nodes = connected_components(links, "a", "b")
-        named = named.drop("comp").join(nodes, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component_id", "rep").alias("comp"))
-    return facts.join(named.select("set_id", "comp"), "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = classes.join(nodes, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component_id", "rep").alias("comp"))
+    return facts.join(named, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
