@@ -270,7 +270,8 @@ def _compare(members: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame
     left = sorted_groups(rows, KEYS).mapInArrow(_candidates, "hub long, rep long, comp long").distinct()
     left = materialize(left, "left")
     settle(docs.sparkSession)
-    rows = _in_blocks(left).join(docs, F.col("rep") == F.col("doc_id")).select("hub", "i", "j", "block", "rep", "comp", "text")
+    # a merge join at every size: what is left grows with the documents
+    rows = _in_blocks(left).join(docs.hint("merge"), F.col("rep") == F.col("doc_id")).select("hub", "i", "j", "block", "rep", "comp", "text")
     links = materialize(sorted_groups(rows, KEYS).mapInArrow(_links, "a long, b long"), "links")
     settle(docs.sparkSession)
     return links

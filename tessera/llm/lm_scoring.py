@@ -149,7 +149,7 @@ def score_documents(docs: DataFrame, targets: DataFrame, tokenizer_path: str, he
     small_batches(spark)
     start = word_tokens(tokenizer_path).size
     chosen = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    rows = docs.select("doc_id", "text").hint("merge").join(chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     tokens = materialize(rows.mapInArrow(lambda b: _tokenized(b, tokenizer_path), TOKENS), "tokens")
     settle(spark)
     counted = tokens.mapInArrow(lambda b: _count(b, start), "pair long, background long, target long")

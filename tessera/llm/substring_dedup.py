@@ -126,7 +126,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     settle(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    dealt = docs.join(wanted, "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    dealt = docs.hint("merge").join(wanted, "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     located = sorted_groups(dealt.select("shard", "doc_id", "text", "keys"), ["shard"]).mapInArrow(lambda b: _locate(b, window, phrase), RUNS)
     located = materialize(located, "runs")
     settle(spark)
@@ -154,5 +154,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     spans = materialize(repeated_spans(docs, window, phrase), "spans")
     settle(docs.sparkSession)
     cuts = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
-    rows = docs.select("doc_id", "text").join(cuts, "doc_id", "left")
+    rows = docs.select("doc_id", "text").hint("merge").join(cuts, "doc_id", "left")
     return rows.mapInArrow(lambda b: _remove(b, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -182,7 +182,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     wanted = materialize(anchors.join(repeated, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "wanted")
     discard(anchors)
     settle(spark)
-    found = materialize(docs.join(wanted, "doc_id").mapInArrow(lambda b: _runs(b, length, gram), RUNS), "runs")
+    found = materialize(docs.hint("merge").join(wanted, "doc_id").mapInArrow(lambda b: _runs(b, length, gram), RUNS), "runs")
     discard(wanted)
     settle(spark)
     texts = found.groupBy("key", "variant").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("count").alias("count"))
@@ -194,7 +194,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     sub = F.when(F.col("shards") > 1, F.pmod(F.xxhash64("variant"), F.col("shards"))).otherwise(F.lit(0))
     cuts = texts.join(several.select("key", "shards"), "key").withColumn("shard", F.pmod(F.xxhash64("key", sub), F.lit(shards)))
     cuts = cuts.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("shard", "shards", "key", "variant", F.col("at").alias("start"), "count")).alias("cuts"))
-    rows = docs.join(cuts, "doc_id").mapInArrow(lambda b: _cut_texts(b, length), TEXT_ROWS)
+    rows = docs.hint("merge").join(cuts, "doc_id").mapInArrow(lambda b: _cut_texts(b, length), TEXT_ROWS)
     late = materialize(sorted_groups(rows, ["shard"]).mapInArrow(lambda b: _late(b, length), LATE), "late")
     settle(spark)
     # anchors with several shards: the earliest of each hash holds it
@@ -221,4 +221,4 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     spans = materialize(repeated_bytes(docs, length, gram), "spans")
     settle(docs.sparkSession)
     cuts = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
-    return docs.select("doc_id", "text").join(cuts, "doc_id", "left").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.select("doc_id", "text").hint("merge").join(cuts, "doc_id", "left").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
