@@ -35,10 +35,15 @@ class _Table:
                 first[hit], count[hit] = start[at[hit]], number[at[hit]]
         return first, count
 
+    def forgets_for(self, new: int) -> bool:
+        """Whether so many more keys are too many; then all is forgotten, which costs time only."""
+        over = sum(len(p[0]) for p in self.parts) + new > self.limit
+        if over:
+            self.parts, self.used = [self._empty(), self._empty()], 0
+        return over
+
     def add(self, keys: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
         """New keys, each once, with their ids in turn."""
-        if len(self.parts[0][0]) + len(self.parts[1][0]) + len(keys) > self.limit:  # forget all; costs time only
-            self.parts, self.used = [self._empty(), self._empty()], 0
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), len(self.pool)), np.uint16)])
         self.pool[self.used : self.used + len(ids)] = ids
@@ -102,6 +107,8 @@ class WordTokens:
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
         new = self.pieces.find(hashes)[1] < 0
         if new.any():
+            if self.pieces.forgets_for(int(new.sum())):
+                new[:] = True
             names = [fresh[i] for i in np.flatnonzero(new).tolist()]
             ids = self._ids(b" ".join(names).decode("utf-8"))
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -109,8 +116,6 @@ class WordTokens:
                 each = [self._ids(p.decode("utf-8")) for p in names]
                 ids, cuts = np.concatenate(each), np.cumsum([len(x) for x in each])
             self.pieces.add(hashes[new], np.diff(cuts, prepend=0), ids)
-            if not np.array_equal(self.pieces.find(hashes)[1] >= 0, np.ones(len(hashes), bool)):  # forgotten meanwhile
-                return self._learn(words, keys)
         whole = {i: self._ids(words[i].decode("utf-8")) for i, p in enumerate(split) if p is None}
         number = np.array([1 if p is None else len(p) for p in split], np.int64)
         flat = np.fromiter((xxhash.xxh3_64_intdigest(p) for own in split if own for p in own), np.uint64)
@@ -139,13 +144,11 @@ class WordTokens:
         first, count = self.words.find(keys)
         new = count < 0
         if new.any():
+            if self.words.forgets_for(int(new.sum())):
+                new[:] = True
             text = np.searchsorted(offsets, at[new], "right") - 1
             self._learn([split[t][i] for t, i in zip(text.tolist(), (at[new] - offsets[text]).tolist())], keys[new])
             first, count = self.words.find(keys)
-            if (count < 0).any():  # the table was emptied: all of this chunk again
-                text = np.searchsorted(offsets, at, "right") - 1
-                self._learn([split[t][i] for t, i in zip(text.tolist(), (at - offsets[text]).tolist())], keys)
-                first, count = self.words.find(keys)
         each = count[back]
         return self.words.ids(first[back], each), np.concatenate([[0], np.cumsum(each)])[offsets]
 
