@@ -68,6 +68,8 @@ def _matrices(rows: pd.DataFrame) -> dict[str, np.ndarray]:
 
 BEAM = "target string, t long, source_id long, song_id string, score double, key_shift int"
 
+EMPTY = pd.DataFrame({n: pd.Series(dtype={"string": "object", "long": "int64", "double": "float64", "int": "int32"}[t]) for n, t in (c.split() for c in BEAM.split(", "))})
+
 
 def scored(targets: DataFrame, sources: DataFrame, k: int, per_song: bool = False, weights: Weights = Weights()) -> DataFrame:
     """Candidates (BEAM) among which are each target row's best k sources, or best k of each song: ties to the smaller source_id."""
@@ -75,7 +77,7 @@ def scored(targets: DataFrame, sources: DataFrame, k: int, per_song: bool = Fals
     def best(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         q, s = rows[rows["is_target"]], rows[~rows["is_target"]].sort_values("source_id")
         if q.empty or s.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in BEAM.split(", ")})
+            return EMPTY
         score, shift = score_blocks(_matrices(q), _matrices(s), weights)
         songs = s["song_id"].to_numpy()
         groups = [np.flatnonzero(songs == x) for x in pd.unique(songs)] if per_song else [np.arange(len(s))]

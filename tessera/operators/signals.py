@@ -5,13 +5,17 @@ Everything is a window, a grouped sum or a fold over one song's events; nothing
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.vectors import clip
 
-BY = Window.partitionBy("song_id")
-ORDER = BY.orderBy("i")
+def _by() -> WindowSpec:
+    return Window.partitionBy("song_id")
+
+
+def _order() -> WindowSpec:
+    return _by().orderBy("i")
 
 
 def peak_normalize(signal: DataFrame, peak: float = 0.9) -> DataFrame:
@@ -51,20 +55,20 @@ def frame_rms(signal: DataFrame, hop: int = 8) -> DataFrame:
 
 def moving_average(rows: DataFrame, value: str, order: str, k: int = 5) -> DataFrame:
     """Mean of k neighbours with zeros beyond both ends: always the sum over k."""
-    w = BY.orderBy(order).rowsBetween(-(k // 2), k // 2)
+    w = _by().orderBy(order).rowsBetween(-(k // 2), k // 2)
     return rows.withColumn("smooth", F.sum(value).over(w) / k)
 
 
 def smooth3(rows: DataFrame, value: str, order: str) -> DataFrame:
     """Weights 1/4, 1/2, 1/4, the ends repeated."""
-    w = BY.orderBy(order)
+    w = _by().orderBy(order)
     own = F.col(value)
     return rows.withColumn("smooth", 0.25 * F.coalesce(F.lag(value).over(w), own) + 0.5 * own + 0.25 * F.coalesce(F.lead(value).over(w), own))
 
 
 def temporal_pool(signal: DataFrame, bins: int = 4) -> DataFrame:
     """Means of `bins` nearly equal stretches, the first ones longer; stretches without rows are 0."""
-    rows = signal.withColumn("bin", F.ntile(bins).over(ORDER)).groupBy("song_id", "bin").agg(F.avg("y").alias("mean"))
+    rows = signal.withColumn("bin", F.ntile(bins).over(_order())).groupBy("song_id", "bin").agg(F.avg("y").alias("mean"))
     grid = signal.select("song_id").distinct().select("song_id", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     return grid.join(rows, ["song_id", "bin"], "left").select("song_id", F.col("bin").cast("long").alias("bin"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
 
@@ -72,7 +76,7 @@ def temporal_pool(signal: DataFrame, bins: int = 4) -> DataFrame:
 def boundary_jump(signal: DataFrame, every: int = 10) -> DataFrame:
     """Median step at boundaries (every so many places) over the song's rms."""
     y = F.col("y")
-    rows = signal.withColumns({"step": F.abs(y - F.lag("y").over(ORDER)), "scale": F.sqrt(F.avg(y * y).over(BY)) + 1e-6})
+    rows = signal.withColumns({"step": F.abs(y - F.lag("y").over(_order())), "scale": F.sqrt(F.avg(y * y).over(_by())) + 1e-6})
     at = (F.col("i") >= 1) & (F.col("i") % every == 0)
     return rows.groupBy("song_id").agg(F.coalesce(F.median(F.when(at, F.col("step") / F.col("scale"))), F.lit(0.0)).alias("jump"))
 
@@ -97,12 +101,12 @@ def event_starts(events: DataFrame, hop: float, min_gap: float, fill: float = 1.
 def starts_within(starts: DataFrame, ends: DataFrame, window: float, least: int = 3) -> DataFrame:
     """Starts of at most end - .35 window, of songs that keep `least` of them."""
     kept = starts.join(ends, "song_id").where(F.col("start") <= F.greatest(F.lit(0.0), F.col("end") - 0.35 * window)).drop("end")
-    return kept.withColumn("n", F.count("*").over(BY)).where(F.col("n") >= least).drop("n")
+    return kept.withColumn("n", F.count("*").over(_by())).where(F.col("n") >= least).drop("n")
 
 
 def segment_spans(starts: DataFrame, hop: float, window: float, scale: float = 1.0) -> DataFrame:
     """Each start's end: the next start and a short release, from .12 to 2 windows long; the last one a window long."""
-    w = BY.orderBy("place")
+    w = _by().orderBy("place")
     gap = F.lead("start").over(w) - F.col("start")
     release = min(0.08 * scale, 0.3 * hop)
     return starts.withColumn("end", F.col("start") + F.coalesce(clip(gap + release, 0.12 * scale, 2 * window), F.lit(window)))
@@ -113,7 +117,7 @@ def seam_fades(tiles: DataFrame, onsets: DataFrame, target: int, guard: int, tol
 
     `target` or half of either span, never below the guard (within the spans); about a third of that near an onset.
     """
-    w = BY.orderBy("place")
+    w = _by().orderBy("place")
     rows = tiles.withColumns({"next_span": F.lead("span").over(w), "edge": F.lead("pos").over(w)})
     # onsets meet edges in bins of a tolerance: three bins hold all within it
     bins = rows.where("edge is not null").select("song_id", "place", "edge", F.explode(F.expr(f"sequence(edge div {tolerance + 1} - 1, edge div {tolerance + 1} + 1)")).alias("bin"))
@@ -157,7 +161,7 @@ def loudness_gain(own: Column, reference: Column, blend: float = 0.85) -> Column
 def interpolated(points: DataFrame, places: DataFrame) -> DataFrame:
     """places (song_id, x) with y on the line between the points (song_id, x, y) around; beyond them the end's y."""
     rows = points.select("song_id", "x", "y", F.lit(True).alias("p")).unionByName(places.select("song_id", "x", F.lit(None).cast("double").alias("y"), F.lit(False).alias("p")))
-    w = BY.orderBy("x", F.desc("p"))
+    w = _by().orderBy("x", F.desc("p"))
     point = F.when(F.col("p"), F.struct("x", "y"))
     rows = rows.withColumns({"a": F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing))})
     a, b = F.col("a"), F.col("b")
