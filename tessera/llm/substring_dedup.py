@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, grouped_batches, materialize, mix, settle, signed, small_batches, sorted_groups, split_words, text_bytes, text_chunks, window_hashes, word_hashes
-from .winnow import runs, union_length
+from .winnow import runs, union_spans
 
 WINDOW = 50
 PHRASE = 10
@@ -97,16 +97,19 @@ def _locate_in(ahocorasick, ids: list[int], texts: list[bytes], keys: list[list[
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, cuts, out = text_bytes(batch.column("text")), batch.column("cuts").to_pylist(), []
-        for text, own in zip(texts, cuts):
+        out = []
+        cuts = batch.column("cuts")
+        a, b = (cuts.values.field(k).to_numpy(zero_copy_only=False) for k in ("a", "b"))
+        ends = cuts.offsets.to_numpy()
+        for text, some, x, y in zip(text_bytes(batch.column("text")), cuts.is_valid().to_pylist(), ends.tolist(), ends[1:].tolist()):
             words = split_words(text or b"")
             n, gone = len(words), 0
             kept: list[bytes] = []
             at = 0
-            for a, b in union_length([(c["a"], c["b"]) for c in own or ()]):
-                kept += words[at:a]
-                gone += b - a
-                at = b
+            for lo, hi in union_spans(a[x:y], b[x:y]) if some else ():
+                kept += words[at:lo]
+                gone += hi - lo
+                at = hi
             kept += words[at:]
             line = b" ".join(kept)
             out.append((n, gone, hashlib.sha256(line).hexdigest(), line.decode("utf-8", "replace")))

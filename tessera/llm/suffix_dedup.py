@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, grouped_batches, materialize, mix, settle, signed, small_batches, sorted_groups, text_bytes, text_chunks, window_hashes
-from .winnow import runs, union_length
+from .winnow import runs, union_spans
 
 LENGTH = 100
 GRAM = 24  # bytes of an anchor
@@ -30,24 +30,27 @@ OWN = 0x9FB21C651E98DF25
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions sorted by their next `depth` bytes or more (ties by position), by doubling from eight bytes."""
+    """Positions sorted by their next `depth` bytes or more (ties in any order), by doubling from eight bytes."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    rank = np.zeros(n, np.uint64)
-    for i in range(8):
-        rank = (rank << np.uint64(8)) | padded[i : i + n]
-    order = np.argsort(rank, kind="stable")
+    rank = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    for bits in (8, 16, 32):
+        rank = (rank[: -(bits // 8)] << np.uint64(bits)) | rank[bits // 8 :]
+    rank = rank[:n]
+    order = np.argsort(rank)
     reach = 8
     while True:
         own = rank[order]
         number = np.empty(n, np.uint64)
-        number[order] = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])]).astype(np.uint64) + np.uint64(1)
-        if reach >= depth or int(number.max()) == n:
+        new = np.ones(n, bool)
+        new[1:] = own[1:] != own[:-1]
+        dense = np.cumsum(new, dtype=np.int32)
+        number[order] = dense
+        if reach >= depth or dense[-1] == n:
             return order
-        later = np.zeros(n, np.uint64)
-        later[: n - reach] = number[reach:]
-        rank = (number << np.uint64(32)) | later
-        order = np.argsort(rank, kind="stable")
+        number <<= np.uint64(32)
+        number[: n - reach] |= number[reach:] >> np.uint64(32)
+        rank = number
+        order = np.argsort(rank)
         reach *= 2
 
 
@@ -57,23 +60,24 @@ def equal_intervals(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     order = suffix_order(text, length)
     bwt = text[order - 1]  # the byte before each suffix (of the first: the last)
     # rows by their transform's byte, in order, are the rows of the suffixes one byte longer: the inverse leads to the next suffix
-    behind = np.argsort(bwt, kind="stable")
-    first = bwt[behind]
-    forward = behind  # forward[i]: row of the suffix after that of row i
-    edge = np.zeros(n, bool)
-    edge[0] = True
+    forward = np.argsort(bwt, kind="stable").astype(np.int32)  # forward[i]: row of the suffix after that of row i
+    first = text[order]
+    edge = np.ones(n, bool)
     edge[1:] = first[1:] != first[:-1]
-    open_ = np.flatnonzero(~edge)
+    open_ = np.flatnonzero(~edge).astype(np.int32)
+    here, before = forward[open_], forward[open_ - 1]
+    group = np.empty(n, np.int32)
     for _ in range(1, length):  # at the start, edges are those of common prefixes below this value
         if not len(open_):
             break
-        group = np.cumsum(edge)
-        parted = group[forward[open_]] != group[forward[open_ - 1]]
+        np.cumsum(edge, out=group)
+        parted = group[here] != group[before]
         if not parted.any():
             break  # nothing parts any further
         edge[open_[parted]] = True
-        open_ = open_[~parted]
-    return order, np.cumsum(edge) - 1
+        still = ~parted
+        open_, here, before = open_[still], here[still], before[still]
+    return order, np.cumsum(edge, dtype=np.int32) - 1
 
 
 RUNS = "doc_id long, start long, count int, key long, variant long"
@@ -124,7 +128,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in TEXT_ROWS.split(", ")])
 
 
-LATE = "key long, variant long, late array<int>, hashes array<long>"
+LATE = "key long, variant long, lo array<int>, hi array<int>, hashes array<long>"
 
 
 def _late(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -149,23 +153,29 @@ def _late(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         late[by[lead]] = False
         hashes = signed(window_hashes(mix(text.astype(np.uint64) + np.uint64(1)), length, OWN)) if more.any() else None
         cuts = np.cumsum(windows) - windows
-        out_late, out_hash = [], []
+        lo, hi, out_hash = [], [], []
         for i, (a, n) in enumerate(zip(cuts.tolist(), windows.tolist())):
-            out_late.append(np.flatnonzero(late[a : a + n]).astype(np.int32))
+            change = np.flatnonzero(np.diff(late[a : a + n].view(np.int8), prepend=0, append=0)).astype(np.int32)
+            lo.append(change[::2])
+            hi.append(change[1::2])
             out_hash.append(hashes[first[i] : first[i] + n].tolist() if more[i] else None)
-        yield pa.RecordBatch.from_arrays([group.column("key").combine_chunks(), group.column("variant").combine_chunks(), pa.array(out_late, pa.list_(pa.int32())), pa.array(out_hash, pa.list_(pa.int64()))], names=["key", "variant", "late", "hashes"])
+        kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([group.column("key").combine_chunks(), group.column("variant").combine_chunks(), *(pa.array(x, k) for x, k in zip((lo, hi, out_hash), kinds))], names=["key", "variant", "lo", "hi", "hashes"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, own in zip(text_bytes(batch.column("text")), batch.column("cuts").to_pylist()):
+        cuts = batch.column("cuts")
+        a, b = (cuts.values.field(k).to_numpy(zero_copy_only=False) for k in ("a", "b"))
+        ends = cuts.offsets.to_numpy()
+        for text, some, x, y in zip(text_bytes(batch.column("text")), cuts.is_valid().to_pylist(), ends.tolist(), ends[1:].tolist()):
             text = text or b""
-            spans = union_length([(c["a"], c["b"]) for c in own or ()])
+            spans = union_spans(a[x:y], b[x:y]) if some else []
             kept, at = [], 0
-            for a, b in spans:
-                kept.append(text[at:a])
-                at = b
+            for lo, hi in spans:
+                kept.append(text[at:lo])
+                at = hi
             left = b"".join([*kept, text[at:]])
             rows.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
@@ -202,13 +212,14 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     spread = spread.withColumn("own", F.struct("doc", (F.col("at") + F.col("place")).alias("at")))
     least = spread.groupBy("key", "hash").agg(F.min("own").alias("least"))
     across = spread.join(least, ["key", "hash"]).where("own <> least").groupBy("key", "variant").agg(F.collect_list("place").alias("across"))
-    late = late.select("key", "variant", "late").join(across, ["key", "variant"], "left")
-    late = late.select("key", "variant", F.array_union("late", F.coalesce("across", F.array().cast("array<int>"))).alias("late")).where("size(late) > 0")
-    known = materialize(texts.select("key", "variant", "doc", "at").join(late, ["key", "variant"], "left"), "known")
+    own = late.where("size(lo) > 0").select("key", "variant", F.inline(F.arrays_zip("lo", "hi")))
+    own = own.unionAll(across.select("key", "variant", F.explode("across").alias("lo")).select("key", "variant", "lo", (F.col("lo") + 1).alias("hi")))
+    own = own.groupBy("key", "variant").agg(F.collect_list(F.struct("lo", "hi")).alias("late"))
+    known = materialize(texts.select("key", "variant", "doc", "at").join(own, ["key", "variant"], "left"), "known")
     placed = found.join(known, ["key", "variant"])
     whole = placed.where("doc_id <> doc or start <> at").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + length).alias("b"))
-    part = placed.where("doc_id = doc and start = at and late is not null").select("doc_id", "start", F.explode("late").alias("place"))
-    return whole.unionAll(part.select("doc_id", (F.col("start") + F.col("place")).alias("a"), (F.col("start") + F.col("place") + length).alias("b")))
+    part = placed.where("doc_id = doc and start = at and late is not null").select("doc_id", "start", F.inline("late"))
+    return whole.unionAll(part.select("doc_id", (F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") - 1 + length).alias("b")))
 
 
 def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -59,13 +59,11 @@ def runs(units: np.ndarray, offsets: np.ndarray, window: int, k: int) -> Runs:
     return Runs(*(np.concatenate(x) for x in zip(*found)))
 
 
-def union_length(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Disjoint sorted intervals that cover the same places."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(intervals):
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+def union_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Disjoint sorted spans that cover the places from each a to its b (exclusive); what touches is one."""
+    if not len(a):
+        return []
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    first = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
+    return list(zip(a[first].tolist(), b[np.append(first[1:], len(a)) - 1].tolist()))
