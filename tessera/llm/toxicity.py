@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_chunks
 
-SAMPLE = (4000, 12000)  # labelled documents to learn from at most: toxic, ordinary
-SAMPLE_BYTES = 100_000  # longer labelled documents are not learnt from
+SAMPLE = (2000, 6000)  # labelled documents to learn from at most: toxic, ordinary
+SAMPLE_BYTES = 50_000  # longer labelled documents are not learnt from
 TOXIC_DICT, ORDINARY_DICT = 2048, 32768  # bytes
 TOP = 9  # distances are counted from 1 to TOP
 SALIENT = 8.0  # standard errors by which a word must be more frequent in toxic documents to be trained on
@@ -40,7 +40,7 @@ def tokens(text: bytes) -> list[bytes]:
 class Distances(dict):
     """Word: its compression distance, remembered up to a bound."""
 
-    LIMIT = 800_000
+    LIMIT = 500_000
 
     def __init__(self, toxic: bytes, ordinary: bytes):
         super().__init__()
@@ -98,32 +98,40 @@ def _contents(samples: list[bytes], size: int) -> bytes:
 
 def train(texts: list[bytes], labels: list[int], seed: int = 7) -> ToxicityModel | None:
     """None unless both labels occur. Copies of a text count once."""
-    seen, docs = set(), []
-    for t, y in zip(texts, labels):
-        if (t, y) not in seen:
-            seen.add((t, y))
-            docs.append((tokens(t), int(bool(y))))
+    docs = sorted({(t, int(bool(y))) for t, y in zip(texts, labels)})
     number = Counter(y for _, y in docs)
     if len(number) < 2:
         return None
+    # words of toxic documents; of the others only these are counted
     have = (Counter(), Counter())
-    for words, y in docs:
-        have[y].update(set(words))
+    for t, y in docs:
+        if y:
+            have[1].update(set(tokens(t)))
+    often = {w for w, k in have[1].items() if k > 2}
+    for t, y in docs:
+        if not y:
+            have[0].update(often.intersection(tokens(t)))
 
     def salience(w: bytes) -> float:
         p = (have[0][w] + have[1][w]) / len(docs)
         return (have[1][w] / number[1] - have[0][w] / number[0]) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / number[0] + 1 / number[1]))
 
-    salient = {w for w, k in have[1].items() if k > 2 and salience(w) > SALIENT}
+    salient = {w for w in often if salience(w) > SALIENT}
     draw = random.Random(seed)
     # a word is trained on twice in a row: the trainer weighs stretches of eight bytes or so
-    toxic = [b" " + w + b"  " + w + b" " for words, y in docs if y for w in words if w in salient]
-    ordinary = [b" " + b" ".join(words[i : i + 8]) + b" " for words, y in docs if not y for i in range(0, len(words), 8) if draw.random() < 0.5]
+    toxic, ordinary = [], []
+    for t, y in docs:
+        words = tokens(t)
+        if y:
+            toxic += [b" " + w + b"  " + w + b" " for w in words if w in salient]
+        else:
+            ordinary += [b" " + b" ".join(words[i : i + 8]) + b" " for i in range(0, len(words), 8) if draw.random() < 0.25]
     draw.shuffle(ordinary)
     draw.shuffle(toxic)
-    dicts = _contents(toxic[:40_000], TOXIC_DICT), _contents(ordinary[:120_000], ORDINARY_DICT)
+    dicts = _contents(toxic[:40_000], TOXIC_DICT), _contents(ordinary[:80_000], ORDINARY_DICT)
     distances = Distances(*dicts)
-    x = np.array([features(words, distances) for words, _ in docs])
+    distances.LIMIT = 200_000
+    x = np.array([features(tokens(t), distances) for t, _ in docs])
     y = np.array([y for _, y in docs], float)
     centre, scale = x.mean(0), x.std(0) + 1e-6
     x = (x - centre) / scale
