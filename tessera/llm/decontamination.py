@@ -20,13 +20,15 @@ from .common import discard, grouped_batches, materialize, settle, small_batches
 
 BLOCK = 16  # words; a passage has two blocks
 FEATURES = 1 << 14
-RANK = 64
-NEAR = 0.35  # least cosine of a candidate
+RANK = 48
+NEAR = 0.47  # least cosine of a candidate
+SHARED = 0.55  # least part of the IDF weight that a passage can share with an item which a candidate's passage does
 SAME = 0.75  # share of an item's words in a common subsequence that is a leak by itself
 ALIKE = 0.5  # share that is one if the item's answer is there too
 ITEM_BYTES = 8 << 20  # benchmark text that is held at once; a larger benchmark is taken in slices
 PIECE = 1 << 16  # words whose vectors are held at once
 SUMS = 64  # features in one row of partial sums
+NONE = FEATURES  # feature of the words that fill up a text's last block
 
 WORDS = "doc_id long, words binary, df array<long>"
 
@@ -76,15 +78,22 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.n
             at = end
 
 
-def _summed(values: np.ndarray, of: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of values[of] between starts, a piece at a time."""
-    out = np.empty((len(starts), *values.shape[1:]), np.float32)
-    ends = np.append(starts[1:], len(of))
-    step = PIECE // BLOCK
-    for a in range(0, len(starts), step):
-        b = min(a + step, len(starts))
-        out[a:b] = np.add.reduceat(values[of[starts[a] : ends[b - 1]]], starts[a:b] - starts[a], axis=0)
-    return out
+def _padded(words: np.ndarray, offsets: np.ndarray, fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words in rows of a block each, number of each row's text); texts' last rows are filled up."""
+    n = np.diff(offsets)
+    per = -(-n // BLOCK)
+    text = np.repeat(np.arange(len(n)), per)
+    out = np.full(len(text) * BLOCK, fill, np.int64)
+    shift = np.repeat((np.cumsum(per) - per) * BLOCK - offsets[:-1], n)
+    out[np.arange(len(words)) + shift] = words
+    return out.reshape(-1, BLOCK), text
+
+
+def _summed(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of values of each row's words, a piece at a time."""
+    step = PIECE // BLOCK // 8
+    parts = [values[rows[a : a + step]].sum(1) for a in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.zeros((0, *values.shape[1:]), np.float32)
 
 
 def _passages(blocks: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -97,23 +106,23 @@ def _passages(blocks: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 def _range_rows(batches: Iterator[pa.RecordBatch], idf: np.ndarray, omega: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The task's share of (A'A)Omega in rows of SUMS features; A: passages of unit TF-IDF length."""
-    total = np.zeros((FEATURES, omega.shape[1]))
-    weighted, squares = (omega * idf[:, None]).astype(np.float32), (idf * idf).astype(np.float32)
+    rank = omega.shape[1]
+    total = np.zeros((rank, FEATURES + 1))
+    weighted = np.vstack([omega * idf[:, None], np.zeros((1, rank))]).astype(np.float32)
+    squares = np.append(idf * idf, 0).astype(np.float32)
     for _, words, offsets in _pieces(batches):
         if not len(words):
             continue
-        f = (words & (FEATURES - 1)).astype(np.int64)
-        starts, text = _blocks(offsets)
-        y = _passages(_summed(weighted, f, starts), text) / np.maximum(_passages(_summed(squares, f, starts), text), 1e-12)[:, None]
+        f, text = _padded(words & (FEATURES - 1), offsets, NONE)
+        y = _passages(_summed(weighted, f), text) / np.maximum(_passages(_summed(squares, f), text), 1e-12)[:, None]
         back = y.copy()  # a block is in its own passage and in the one before
         same = text[1:] == text[:-1]
         back[1:][same] += y[:-1][same]
-        block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(f))))
-        for a in range(0, len(f), PIECE):
-            order = np.argsort(f[a : a + PIECE], kind="stable")
-            own = f[a : a + PIECE][order]
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            total[own[first]] += np.add.reduceat(back[block[a : a + PIECE][order]], first, axis=0)
+        flat = f.ravel()
+        each = np.repeat(np.ascontiguousarray(back.T), BLOCK, axis=1)
+        for k in range(rank):
+            total[k] += np.bincount(flat, each[k], FEATURES + 1)
+    total = total[:, :-1].T.copy()
     total *= idf[:, None]
     rows = total.reshape(FEATURES // SUMS, -1)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["part", "sums"])
@@ -140,7 +149,8 @@ def latent_space(numbered: DataFrame, idf: np.ndarray, rank: int = RANK, seed: i
     if not keep.any():
         return np.zeros((FEATURES, rank))
     u, s, _ = np.linalg.svd(y @ (vectors[:, keep] / np.sqrt(values[keep])), full_matrices=False)
-    return u / np.maximum(s, 1e-9 * s[0])
+    # of a matrix with hardly more rows than the rank, the last directions are noise
+    return u / np.maximum(s, 0.05 * s[0])
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -163,7 +173,7 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[bytes], latent: np.ndarray):
         self.ids, self.words, self.answers = [], [], []
-        vectors, self.of, tables = [], [], []
+        vectors, self.of = [], []
         for i, t in zip(ids, texts):
             words = numbers([t])[0]
             if not len(words):
@@ -172,9 +182,6 @@ class Items:
             self.ids.append(i)
             self.words.append(words.tolist())
             self.answers.append(numbers([sentences[-1]])[0])
-            table = np.zeros(1 << 16, bool)
-            table[words] = True
-            tables.append(table)
             for a in range(0, max(1, len(words) - BLOCK), BLOCK) if len(words) > 3 * BLOCK else [0]:
                 part = words[a : a + 2 * BLOCK] if len(words) > 3 * BLOCK else words
                 vectors.append(latent[part & (FEATURES - 1)].sum(0))
@@ -182,45 +189,52 @@ class Items:
         self.of = np.array(self.of, np.int64)
         v = np.array(vectors).reshape(-1, latent.shape[1])
         self.vectors = (v / np.maximum(np.linalg.norm(v, axis=1), 1e-12)[:, None]).astype(np.float32)
-        self.tables = np.array(tables).reshape(-1, 1 << 16)
-        self.need = np.array([min(len(w), 2 * BLOCK) for w in self.words])
 
 
 LEAKS = "doc_id long, item_id long, common int, item_words int, share double, answer boolean, word_start long, cosine double"
 
 
-def _leaks(batches: Iterator[pa.RecordBatch], items: Items, latent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    latent = latent.astype(np.float32)
+def _leaks(batches: Iterator[pa.RecordBatch], items: Items, latent: np.ndarray, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    latent = np.vstack([latent, np.zeros((1, latent.shape[1]))]).astype(np.float32)
+    weight = np.append(idf, 0).astype(np.float32)
+    shares = np.zeros((len(items.words), FEATURES + 1), np.float32)  # IDF weights of each item's features
+    for i, w in enumerate(items.words):
+        shares[i, np.array(w) & (FEATURES - 1)] = weight[np.array(w) & (FEATURES - 1)]
+    shares, width = shares.ravel(), FEATURES + 1
+    mass = np.array([weight[np.array(w) & (FEATURES - 1)].sum() * min(1, 2 * BLOCK / len(w)) for w in items.words], np.float32) * SHARED
     for ids, words, offsets in _pieces(batches):
         if not len(words):
             continue
-        starts, text = _blocks(offsets)
-        p = _passages(_summed(latent, (words & (FEATURES - 1)).astype(np.int64), starts), text)
+        f, text = _padded(words & (FEATURES - 1), offsets, NONE)
+        p = _passages(_summed(latent, f), text)
         p /= np.maximum(np.linalg.norm(p, axis=1), 1e-12)[:, None]
+        first = np.searchsorted(text, text)  # first row of each row's text
+        follows = np.append(text[1:] == text[:-1], False)
         rows: dict[tuple[int, int], tuple] = {}
-        for a in range(0, len(p), 8192):
-            cosine = p[a : a + 8192] @ items.vectors.T
-            for w, q in np.argwhere(cosine >= NEAR).tolist():
-                item, at = int(items.of[q]), int(starts[a + w])
-                doc = int(text[a + w])
-                # a common subsequence has no more words than the passage has of the item's
-                own = words[at : min(at + 2 * BLOCK, int(offsets[doc + 1]))]
-                if int(items.tables[item][own].sum()) < ALIKE * 0.5 * items.need[item]:
-                    continue
-                known = rows.get((doc, item))
-                if known and known[0] == len(items.words[item]):
+        for a in range(0, len(p), 4096):
+            cosine = p[a : a + 4096] @ items.vectors.T
+            at, q = np.nonzero(cosine >= NEAR)
+            item, at = items.of[q], at + a
+            base = (item * width)[:, None]
+            shared = shares[base + f[at]].sum(1)
+            more = follows[at]
+            shared[more] += shares[base[more] + f[at[more] + 1]].sum(1)
+            for w, i, c in zip(*(x[shared >= mass[item]].tolist() for x in (at, item, cosine[at - a, q]))):
+                doc, wanted = int(text[w]), items.words[i]
+                known = rows.get((doc, i))
+                if known and known[0] == len(wanted):
                     continue
-                wanted = items.words[item]
-                lo, hi = max(int(offsets[doc]), at - len(wanted)), min(int(offsets[doc + 1]), at + 2 * BLOCK + len(wanted))
+                begin = int(offsets[doc]) + (w - int(first[w])) * BLOCK
+                lo, hi = max(int(offsets[doc]), begin - len(wanted)), min(int(offsets[doc + 1]), begin + 2 * BLOCK + len(wanted))
                 region = words[lo:hi]
                 common = common_subsequence(wanted, region.tolist())
                 if common < ALIKE * len(wanted):
                     continue
-                answer = items.answers[item]
+                answer = items.answers[i]
                 m = len(answer)
                 there = bool(m <= len(region) and (np.lib.stride_tricks.sliding_window_view(region, m) == answer).all(1).any())
                 if (common >= SAME * len(wanted) or there) and (not known or common > known[0]):
-                    rows[doc, item] = (common, len(wanted), common / len(wanted), there, lo - int(offsets[doc]), float(cosine[w, q]))
+                    rows[doc, i] = (common, len(wanted), common / len(wanted), there, lo - int(offsets[doc]), c)
         if rows:
             cols = list(zip(*((ids[d], items.ids[i], *r) for (d, i), r in rows.items())))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.int64(), pa.float64())
@@ -250,6 +264,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for i in range(slices):
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i).toArrow()
         items = Items(rows.column("item_id").to_pylist(), text_bytes(rows.column("text")), latent)
-        own = numbered.where("doc_id is not null").mapInArrow(lambda b, items=items: _leaks(b, items, latent) if items.ids else iter(()), LEAKS)
+        own = numbered.where("doc_id is not null").mapInArrow(lambda b, items=items: _leaks(b, items, latent, idf) if items.ids else iter(()), LEAKS)
         out = own if out is None else out.unionAll(own)
     return out
