@@ -22,7 +22,7 @@ from .winnow import runs, union_spans
 
 LENGTH = 100
 GRAM = 24  # bytes of an anchor
-SHARD_BYTES = 1 << 20  # candidate text in a shard, about
+SHARD_BYTES = 3 << 17  # candidate text in a shard, about: what sorts and gathers of a core's cache can hold
 TEXTS = 2000  # different texts of one anchor in a shard at most, about; beyond, shards are matched by hashes too
 CHUNK = 1 << 19
 END = 0xFF  # no byte of UTF-8
