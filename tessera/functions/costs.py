@@ -42,6 +42,11 @@ def discontinuity(a: str, b: str) -> Column:
     return 1 - (0.40 * dot(f"{a}.chroma", f"{b}.chroma") + 0.40 * dot(f"{a}.timbre", f"{b}.timbre") + 0.20 * dot(f"{a}.energy", f"{b}.energy"))
 
 
+def join_distance(a: Column, b: Column, tail: str, head: str) -> Column:
+    """How little a's end is like b's beginning; 0 from a row to itself or without fingerprints."""
+    return F.when(a == b, F.lit(0.0)).otherwise(F.coalesce(F.greatest(F.lit(0.0), 1 - dot(tail, head)), F.lit(0.0)))
+
+
 def transition_cost(same_song: Column, same_row: Column, a_start: Column, b_start: Column, step: Column, concat: Column, join: Column, p: MatchParams = MatchParams()) -> Column:
     """Cost of playing b after a: a bonus where b goes on where a would, else the edges' costs and those of switching, jumping or repeating."""
     step = F.when(step > 1e-4, step).otherwise(F.lit(p.hop_s))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.costs import MatchParams, complementarity, discontinuity, duration_cost, key_jump, residual_fill, role, transition_cost
+from ..functions.costs import MatchParams, complementarity, discontinuity, duration_cost, join_distance, key_jump, residual_fill, role, transition_cost
 from ..functions.vectors import dot
 
 DESCRIPTOR = ("song_id", "start_s", "end_s", "chroma", "timbre", "energy")
@@ -56,8 +56,11 @@ def step_costs(beam: DataFrame, targets: DataFrame, sources: DataFrame, p: Match
     x = beam.select("target", (F.col("t") + 1).alias("t"), F.col("j").alias("i"), F.col("source_id").alias("a"), F.col("key_shift").alias("a_shift"))
     y = beam.select("target", "t", "j", F.col("source_id").alias("b"), F.col("key_shift").alias("b_shift"))
     rows = x.join(y, ["target", "t"]).join(steps, ["target", "t"]).join(pairs, ["a", "b"])
-    # edge fingerprints need sound; without them the join term is 0
-    cost = transition_cost(F.col("a_song") == F.col("b_song"), F.col("a") == F.col("b"), F.col("a_start"), F.col("b_start"), F.col("step"), p.lambda_concat * F.col("concat"), F.lit(0.0), p)
+    join = F.lit(0.0)  # without edge fingerprints
+    if {"head", "tail"} <= set(sources.columns):
+        rows = rows.join(sources.select(F.col("source_id").alias("a"), "tail"), "a").join(sources.select(F.col("source_id").alias("b"), "head"), "b")
+        join = join_distance(F.col("a"), F.col("b"), "tail", "head")
+    cost = transition_cost(F.col("a_song") == F.col("b_song"), F.col("a") == F.col("b"), F.col("a_start"), F.col("b_start"), F.col("step"), p.lambda_concat * F.col("concat"), p.lambda_join * join, p)
     return rows.select("target", "t", "i", "j", "a", "b", (cost + key_jump(F.col("a_shift"), F.col("b_shift"))).alias("cost"))
 
 
@@ -100,6 +103,19 @@ def cheapest_path(local: DataFrame, steps: DataFrame) -> DataFrame:
     return _fresh(local).groupBy("target").cogroup(_fresh(steps).groupBy("target")).applyInPandas(decode, PATH)
 
 
+def clip_ids(sources: DataFrame) -> DataFrame:
+    """Each song's source_ids by start."""
+    rows = sources.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "source_id"))).alias("r"))
+    return rows.select("song_id", F.transform("r", lambda x: x["source_id"]).alias("ids"))
+
+
+def missing_songs(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Songs of the sources that a target does not use."""
+    songs = [r["song_id"] for r in sources.select("song_id").distinct().collect()]  # a fixed handful
+    grid = rows.select("target").distinct().select("target", F.explode(F.array(*[F.lit(s) for s in songs])).alias("song_id"))
+    return grid.exceptAll(rows.select("target", "song_id").distinct())
+
+
 def tiles(path: DataFrame, beam: DataFrame) -> DataFrame:
     """The beam's rows on the path, with all candidates of the row as an array."""
     row = beam.groupBy("target", "t").agg(F.sort_array(F.collect_list(F.struct("j", "source_id", "key_shift", "score"))).alias("candidates"))

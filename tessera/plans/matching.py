@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.costs import MatchParams, fold_shift, pitch_delta, pitch_steps, residual_fill, role
 from ..functions.vectors import dot, rotate, shares, unit
-from ..operators import decode, factorize, measures, search
-from ..sources import catalog
+from ..functions.arrays import brightness, clock_hundredths, fit_length, frame_of, window_at
+from ..operators import decode, factorize, measures, mosaic, search
+from ..sources import catalog, documents
 from .registry import query
 
 DESC = """
@@ -410,3 +411,60 @@ def stacked_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = out.unionByName(p)
     return out.groupBy("song_id").agg(F.count("*").alias("n"), F.countDistinct("segment_idx").alias("segments"), F.max("end_s").alias("end_s"))
 
+
+
+@query("clip_ids", f"WITH {DESC} SELECT song_id, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(source_id AS VARCHAR), ',' ORDER BY start_s, source_id) AS ids FROM src GROUP BY song_id")
+def clip_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decode.clip_ids(_sides(spark, sf_dir)[1])
+    return rows.select("song_id", F.size("ids").cast("long").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("missing_songs", f"WITH {BEAM4} SELECT target, song_id FROM (SELECT DISTINCT target FROM beam), (SELECT DISTINCT song_id FROM src) EXCEPT SELECT target, song_id FROM beam WHERE j = 1 AND t <= 5")
+def missing_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Songs that the first five rows of a target leave out."""
+    beam, _, s = _beam(spark, sf_dir)
+    return decode.missing_songs(beam.where("j = 1 and t <= 5"), s)
+
+
+@query("slices", f"WITH {DESC}, p AS (SELECT source_id, temporal AS x, source_id % 60 AS a FROM seg) SELECT source_id, round(list_sum(x[a+1:a+16]), 6) AS total, CAST(CASE WHEN a < 48 THEN 16 ELSE 0 END AS BIGINT) AS n, round(list_sum(x[1:20]), 6) AS fit FROM p")
+def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.vectors import total
+
+    d = catalog.descriptors(catalog.table(spark, sf_dir, "embeddings"))
+    w = window_at("temporal", F.col("source_id") % 60, 16)
+    return d.select("source_id", F.round(total(w), 6).alias("total"), F.when(w.isNotNull(), F.size(w).cast("long")).otherwise(F.lit(0).cast("long")).alias("n"), F.round(total(fit_length("temporal", 20)), 6).alias("fit"))
+
+
+@query("tile_frames", f"WITH {DESC} SELECT source_id, CAST(least(greatest(round_even(start_s * 22050 / 512, 0), 0), 299) AS BIGINT) AS frame FROM src")
+def tile_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sides(spark, sf_dir)[1].select("source_id", frame_of(F.col("start_s"), 22050, 512, F.lit(300).cast("long")).alias("frame"))
+
+
+@query("tile_display", f"WITH {BEAM4} SELECT target, t, CAST(CAST(floor(c / 6000) AS BIGINT) AS VARCHAR) || ':' || lpad(CAST(CAST(floor(c / 100) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS clock, round(CAST(0.42 AS DOUBLE) + CAST(0.58 AS DOUBLE) * least(greatest(score, 0), 1), 6) AS bright FROM (SELECT target, t, score, CAST(floor((t - 1) * CAST(2.375 AS DOUBLE) * 100 + 0.5) AS BIGINT) AS c FROM beam WHERE j = 1)")
+def tile_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _beam(spark, sf_dir)[0].where("j = 1")
+    return rows.select("target", "t", clock_hundredths((F.col("t") - 1) * 2.375).alias("clock"), F.round(brightness(F.col("score")), 6).alias("bright"))
+
+
+@query("candidate_beam")
+def candidate_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by priority; checked in the tests."""
+    t, s = _sides(spark, sf_dir)
+    atoms = s.select("source_id", "song_id", F.col("segment_idx").alias("frame"))
+    scored = search.scored(t, s, 16).unionByName(search.scored(t, s, 2, True)).dropDuplicates(["target", "t", "source_id"])
+    return factorize.candidate_beam(scored, atoms, 16)
+
+
+@query("match_sequence")
+def match_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole matcher's figures: its parts are checked one by one."""
+    t, s = _sides(spark, sf_dir)
+    p = MatchParams(top_k=8, max_share=0.5, min_run=2, n_layers=2, lambda_balance=0.5)
+    return mosaic.match_sequence(t, s, p).summary
+
+
+@query("mosaic_documents")
+def mosaic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON documents of the best tiles and their layers."""
+    beam, t, s = _beam(spark, sf_dir, 12)
+    return documents.documents(beam.where("j = 1"), decode.layers(beam.where("j = 1"), beam, t, s, LAYER_P))

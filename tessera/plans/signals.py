@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.arrays import clock
 from ..operators import signals as ops
 from ..sources import catalog
 from .registry import query
@@ -231,6 +232,5 @@ def result_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("display_times", f"WITH {SIG}, e AS (SELECT song_id, max(t) / 1000 AS s FROM sgt GROUP BY song_id) SELECT song_id, CAST(floor(s / 60) AS BIGINT) || ':' || lpad(CAST(CAST(floor(s) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM e")
 def display_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.floor(F.col("s"))
     e = _sig(spark, sf_dir).groupBy("song_id").agg((F.max("t") / 1000).alias("s"))
-    return e.select("song_id", F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0")).alias("clock"))
+    return e.select("song_id", clock(F.col("s")).alias("clock"))
