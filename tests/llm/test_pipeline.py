@@ -23,6 +23,38 @@ def test_stages_keep_the_columns_and_take_effect(spark):
     assert set(whole["doc_id"]) == {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
+def test_run_equals_brute_force(spark):
+    """Stages 2 and 3 again by plain loops from stage 1's rows; stage 4 by whole items; then the packed documents and their token counts."""
+    from test_dedup import brute_classes
+
+    from tessera.llm.queries import tokenizer_path
+    from tessera.llm.tokens import WordTokens
+
+    start = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA)
+    rows = sorted((r["doc_id"], r["text"]) for r in start.select("doc_id", "text").collect())
+    classes = brute_classes(rows)
+    rows = [r for r in rows if classes[r[0]][1] == r[0]]
+    first, kept = {}, {}
+    for i, text in rows:
+        w = (text or "").encode().split()
+        own, gone = set(), bytearray(len(w))
+        for j in range(len(w) - 49):
+            k = tuple(w[j : j + 50])
+            own.add(k)
+            if k in first:
+                gone[j : j + 50] = b"\1" * 50
+        for k in own:
+            first.setdefault(k, i)
+        if not w or not all(gone):
+            kept[i] = b" ".join(x for x, g in zip(w, gone) if not g) if any(gone) else (text or "").encode()
+    items = [" ".join((r["text"] or "").lower().split()) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    kept = {i: t for i, t in kept.items() if not any(x and f" {x} " in f" {' '.join(t.decode().lower().split())} " for x in items)}
+    tokens = WordTokens(tokenizer_path())
+    want = {i: len(tokens.encode([t])[0]) + 1 for i, t in kept.items()}
+    got = corpus_pipeline.run(spark, DATA).toPandas().groupby("doc_id")["length"].sum().to_dict()
+    assert got == want
+
+
 def test_queries_are_registered():
     import __spark_entry__ as driver
 
