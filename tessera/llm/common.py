@@ -97,30 +97,14 @@ def split_words(text: bytes) -> list[bytes]:
 # ---------------------------------------------------------------- hashes
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered up to a bound; forgetting costs time only."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-WORD_HASHES = WordHashes()
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, one after another, and the offset of each text (one more than texts)."""
-    get = WORD_HASHES.__getitem__
     parts, offsets = [], np.zeros(len(texts) + 1, np.int64)
     for i, t in enumerate(texts):
         words = t.split()
         offsets[i + 1] = offsets[i] + len(words)
         if words:
-            parts.append(np.fromiter(map(get, words), np.uint64, len(words)))
+            parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), offsets
 
 

@@ -283,7 +283,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     ASCII letters are lower-cased, words are [^\\x20\\x09-\\x0D]+, a document's set is its distinct 5-word shingles (fewer words: the
     whole sequence). Documents without words or with null text have the empty set and link with nothing. Every pair that
     shares a signature is compared, or is in one component by other links. Shingles and sets go by 64-bit hashes. doc_id is a key; a
-    repeated row comes twice, a null id is its own (null) component. Extra columns are not read; an empty table gives no rows.
+    repeated row comes twice, a null id gets its text's class, null if no document of known id has it. Extra columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
