@@ -39,26 +39,17 @@ def numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (words >> np.uint64(48)).astype(np.uint16), offsets
 
 
-def _blocks(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each block of each text, number of its text); the last block of a text may be shorter."""
-    n = np.diff(offsets)
-    per = -(-n // BLOCK)
-    text = np.repeat(np.arange(len(n)), per)
-    first = np.concatenate([[0], np.cumsum(per)])[:-1]
-    return offsets[text] + (np.arange(len(text)) - first[text]) * BLOCK, text
-
-
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's word numbers; last, a row with the task's numbers of passages that have each feature."""
     df = np.zeros(FEATURES + 1, np.int64)  # at the end the number of passages
     for ids, texts in text_chunks(batches):
         words, offsets = numbers(texts)
-        starts, _ = _blocks(offsets)
-        if len(starts):
-            block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, offsets[-1])))
-            pairs = np.unique(block * FEATURES + (words & (FEATURES - 1)))
-            df[:-1] += np.bincount(pairs % FEATURES, minlength=FEATURES)
-            df[-1] += len(starts)
+        own = np.sort(_padded(words & (FEATURES - 1), offsets, NONE)[0].astype(np.uint16), axis=1)
+        if len(own):
+            new = np.ones(own.shape, bool)
+            new[:, 1:] = own[:, 1:] != own[:, :-1]
+            df[:-1] += np.bincount(own[new], minlength=FEATURES + 1)[:FEATURES]
+            df[-1] += len(own)
         rows = [words[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary()), pa.array([None] * len(ids), pa.list_(pa.int64()))], names=["doc_id", "words", "df"])
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([df.tolist()], pa.list_(pa.int64()))], names=["doc_id", "words", "df"])
