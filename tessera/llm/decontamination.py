@@ -20,8 +20,8 @@ from .common import discard, grouped_batches, materialize, settle, small_batches
 
 BLOCK = 16  # words; a passage has two blocks
 FEATURES = 1 << 14
-RANK = 48
-NEAR = 0.47  # least cosine of a candidate
+RANK = 64
+NEAR = 0.4  # least cosine of a candidate
 SHARED = 0.55  # least part of the IDF weight that a passage can share with an item which a candidate's passage does
 SAME = 0.75  # share of an item's words in a common subsequence that is a leak by itself
 ALIKE = 0.5  # share that is one if the item's answer is there too
