@@ -293,9 +293,9 @@ def nmf_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir)[0].select("target", "t", "song_id", "r", "source_id", "score")
 
 
-@query("diag_continuity", f"WITH {SCORE}{ACT} SELECT a.target, a.t, a.source_id, round(a.h + CAST(0.35 AS DOUBLE) * coalesce(max(b.h), 0), 6) AS h FROM act a LEFT JOIN act b ON b.target = a.target AND b.t = a.t - 1 AND b.song_id = a.song_id AND b.frame = a.frame - 1 GROUP BY a.target, a.t, a.source_id, a.h")
+@query("diag_continuity", f"WITH {SCORE}{ACT} SELECT a.target, a.t, a.source_id, round(a.h + CAST(0.35 AS DOUBLE) * coalesce(max(b.h), 0), 9) AS h FROM act a LEFT JOIN act b ON b.target = a.target AND b.t = a.t - 1 AND b.song_id = a.song_id AND b.frame = a.frame - 1 GROUP BY a.target, a.t, a.source_id, a.h")
 def diag_continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factorize.diagonal_continuity(_act(spark, sf_dir)[0], 0.35).select("target", "t", "source_id", F.round("h", 6).alias("h"))
+    return factorize.diagonal_continuity(_act(spark, sf_dir)[0], 0.35).select("target", "t", "source_id", F.round("h", 9).alias("h"))
 
 
 def _changes(t: DataFrame, radius: int) -> DataFrame:
@@ -312,11 +312,11 @@ def _changes(t: DataFrame, radius: int) -> DataFrame:
 @query(
     "repetition_suppress",
     f"WITH {SCORE}{ACT}, shp AS (SELECT song_id AS target, segment_idx AS t, [x / greatest(list_sum(chroma), 1e-8) FOR x IN chroma] AS v FROM tgt), chg AS (SELECT x.target, x.t, list_sum([abs(x.v[i] - y.v[i]) FOR i IN range(1, 13)]) AS c FROM shp x JOIN shp y ON y.target = x.target AND y.t = x.t - 1) "
-    "SELECT a.target, a.t, a.source_id, round(CASE WHEN c.c > 0.08 AND coalesce(max(b.h), 0) >= a.h THEN a.h * CAST(0.18 AS DOUBLE) ELSE a.h END, 6) AS h FROM act a LEFT JOIN act b ON b.target = a.target AND b.t = a.t - 1 AND b.source_id = a.source_id LEFT JOIN chg c ON c.target = a.target AND c.t = a.t GROUP BY a.target, a.t, a.source_id, a.h, c.c",
+    "SELECT a.target, a.t, a.source_id, round(CASE WHEN c.c > 0.08 AND coalesce(max(b.h), 0) >= a.h THEN a.h * CAST(0.18 AS DOUBLE) ELSE a.h END, 9) AS h FROM act a LEFT JOIN act b ON b.target = a.target AND b.t = a.t - 1 AND b.source_id = a.source_id LEFT JOIN chg c ON c.target = a.target AND c.t = a.t GROUP BY a.target, a.t, a.source_id, a.h, c.c",
 )
 def repetition_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     act, t, _ = _act(spark, sf_dir)
-    return factorize.suppress_repetition(act, _changes(t, 1), 1, 0.18).select("target", "t", "source_id", F.round("h", 6).alias("h"))
+    return factorize.suppress_repetition(act, _changes(t, 1), 1, 0.18).select("target", "t", "source_id", F.round("h", 9).alias("h"))
 
 
 POLY = ",\nown AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY target, t, song_id ORDER BY h DESC, source_id) = 1 THEN h ELSE 0 END AS v FROM act),\npol AS (SELECT target, t, source_id, song_id, CASE WHEN row_number() OVER (PARTITION BY target, t ORDER BY v DESC, source_id) <= 3 THEN v ELSE 0 END AS h FROM own)"
@@ -440,10 +440,10 @@ def tile_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sides(spark, sf_dir)[1].select("source_id", frame_of(F.col("start_s"), 22050, 512, F.lit(300).cast("long")).alias("frame"))
 
 
-@query("tile_display", f"WITH {BEAM4} SELECT target, t, CAST(CAST(floor(c / 6000) AS BIGINT) AS VARCHAR) || ':' || lpad(CAST(CAST(floor(c / 100) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS clock, round(CAST(0.42 AS DOUBLE) + CAST(0.58 AS DOUBLE) * least(greatest(score, 0), 1), 6) AS bright FROM (SELECT target, t, score, CAST(floor((t - 1) * CAST(2.375 AS DOUBLE) * 100 + 0.5) AS BIGINT) AS c FROM beam WHERE j = 1)")
+@query("tile_display", f"WITH {BEAM4} SELECT target, t, CAST(CAST(floor(c / 6000) AS BIGINT) AS VARCHAR) || ':' || lpad(CAST(CAST(floor(c / 100) AS BIGINT) % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS clock, round(CAST(0.42 AS DOUBLE) + CAST(0.58 AS DOUBLE) * least(greatest(score, 0), 1), 9) AS bright FROM (SELECT target, t, score, CAST(floor((t - 1) * CAST(2.375 AS DOUBLE) * 100 + 0.5) AS BIGINT) AS c FROM beam WHERE j = 1)")
 def tile_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _beam(spark, sf_dir)[0].where("j = 1")
-    return rows.select("target", "t", clock_hundredths((F.col("t") - 1) * 2.375).alias("clock"), F.round(brightness(F.col("score")), 6).alias("bright"))
+    return rows.select("target", "t", clock_hundredths((F.col("t") - 1) * 2.375).alias("clock"), F.round(brightness(F.col("score")), 9).alias("bright"))
 
 
 @query("candidate_beam")
