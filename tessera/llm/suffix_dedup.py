@@ -27,6 +27,7 @@ TEXTS = 2000  # different texts of one anchor in a shard at most, about; beyond,
 CHUNK = 1 << 19
 END = 0xFF  # no byte of UTF-8
 OWN = 0x9FB21C651E98DF25
+UNITS = mix(np.arange(1, 257, dtype=np.uint64))  # each byte's hash
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -88,8 +89,8 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.
         keys = batch.column("keys").to_pylist() if "keys" in batch.schema.names else [None] * batch.num_rows
         at = 0
         for ids, texts in text_chunks(iter([batch]), CHUNK):
-            units = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-            yield ids, mix(units + np.uint64(1)), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), keys[at : at + len(ids)]
+            units = UNITS[np.frombuffer(b"".join(texts), np.uint8)]
+            yield ids, units, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), keys[at : at + len(ids)]
             at += len(ids)
 
 
@@ -151,16 +152,16 @@ def _late(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         lead = np.append(True, mine[by][1:] != mine[by][:-1])
         late = np.ones(len(row), bool)
         late[by[lead]] = False
-        hashes = signed(window_hashes(mix(text.astype(np.uint64) + np.uint64(1)), length, OWN)) if more.any() else None
-        cuts = np.cumsum(windows) - windows
-        lo, hi, out_hash = [], [], []
-        for i, (a, n) in enumerate(zip(cuts.tolist(), windows.tolist())):
-            change = np.flatnonzero(np.diff(late[a : a + n].view(np.int8), prepend=0, append=0)).astype(np.int32)
-            lo.append(change[::2])
-            hi.append(change[1::2])
-            out_hash.append(hashes[first[i] : first[i] + n].tolist() if more[i] else None)
-        kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([group.column("key").combine_chunks(), group.column("variant").combine_chunks(), *(pa.array(x, k) for x, k in zip((lo, hi, out_hash), kinds))], names=["key", "variant", "lo", "hi", "hashes"])
+        hashes = signed(window_hashes(UNITS[text], length, OWN)) if more.any() else None
+        # stretches of late windows, each within its text
+        begins = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
+        ends = np.append(begins[1:], True) if len(row) else begins
+        up = np.flatnonzero(late & (begins | ~np.append(False, late[:-1])))
+        down = np.flatnonzero(late & (ends | ~np.append(late[1:], False)))
+        at = np.concatenate([[0], np.cumsum(np.bincount(row[up], minlength=len(texts)))]).astype(np.int32)
+        lo, hi = (pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (place[up], place[down] + 1))
+        out_hash = pa.array([hashes[f : f + n].tolist() if m else None for f, n, m in zip(first.tolist(), windows.tolist(), more.tolist())] if more.any() else [None] * len(texts), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([group.column("key").combine_chunks(), group.column("variant").combine_chunks(), lo, hi, out_hash], names=["key", "variant", "lo", "hi", "hashes"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
