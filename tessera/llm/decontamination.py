@@ -22,7 +22,6 @@ BLOCK = 16  # words; a passage has two blocks
 FEATURES = 1 << 14
 RANK = 64
 NEAR = 0.4  # least cosine of a candidate
-SHARED = 0.55  # least part of the IDF weight that a passage can share with an item which a candidate's passage does
 SAME = 0.75  # share of an item's words in a common subsequence that is a leak by itself
 ALIKE = 0.5  # share that is one if the item's answer is there too
 ITEM_BYTES = 8 << 20  # benchmark text that is held at once; a larger benchmark is taken in slices
@@ -185,47 +184,98 @@ class Items:
 LEAKS = "doc_id long, item_id long, common int, item_words int, share double, answer boolean, word_start long, cosine double"
 
 
-def _leaks(batches: Iterator[pa.RecordBatch], items: Items, latent: np.ndarray, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+class Bounds:
+    """What stretches of blocks can have of each item at most, and where texts have answers whole."""
+
+    def __init__(self, items: Items):
+        self.length = np.array([len(w) for w in items.words])
+        self.answers = items.answers
+        vocabulary = np.unique(np.concatenate(items.words))
+        self.row = np.zeros((1 << 16) + 1, np.int64)  # the last is of the words that fill up
+        self.row[vocabulary] = np.arange(1, len(vocabulary) + 1)
+        self.has = np.zeros((len(vocabulary) + 1, len(items.words)), np.uint8)
+        self.each = -(-self.length // 64)  # places of an item that one of 64 bits stands for
+        bits: dict[int, int] = {}
+        for i, (w, each) in enumerate(zip(items.words, self.each.tolist())):
+            self.has[self.row[w], i] = 1
+            for j, r in enumerate(self.row[w].tolist()):
+                key = i * len(self.has) + r
+                bits[key] = bits.get(key, 0) | 1 << j // each
+        self.keys = np.array(sorted(bits))
+        self.bits = np.array([bits[k] for k in self.keys.tolist()], np.uint64)
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """Running sums over blocks of the words that each item has; a stretch's is at least any common subsequence."""
+        out = np.zeros((len(rows) + 1, len(self.length)), np.int32)
+        for a in range(0, len(rows), PIECE // BLOCK // 8):
+            own = self.has[rows[a : a + PIECE // BLOCK // 8]].sum(1, dtype=np.uint8)
+            out[a + 1 : a + 1 + len(own)] = own
+        return np.cumsum(out, axis=0, out=out)
+
+    def covered(self, rows: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Upper bounds of the places of each item whose word is in the blocks from begin to end."""
+        seen = np.zeros(len(item), np.uint64)
+        for d in range(int((end - begin).max(initial=0))):
+            own = rows[np.minimum(begin + d, end - 1)]
+            at, k = np.nonzero(self.has[own, item[:, None]])
+            np.bitwise_or.at(seen, at, self.bits[np.searchsorted(self.keys, item[at] * len(self.has) + own[at, k])])
+        return np.bitwise_count(seen) * self.each[item]
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Where words has answers whole: item << 40 | place of its first word, ascending."""
+        order = np.argsort(words, kind="stable")
+        first = np.array([a[0] for a in self.answers], words.dtype)
+        out = [np.zeros(0, np.int64)]
+        for i, (a, b) in enumerate(zip(*(np.searchsorted(words, first, side, order).tolist() for side in ("left", "right")))):
+            answer, at = self.answers[i], order[a:b]
+            at = at[at <= len(words) - len(answer)]
+            for k in range(1, len(answer)):
+                if not len(at):
+                    break
+                at = at[words[at + k] == answer[k]]
+            out.append((i << 40) + at)
+        return np.concatenate(out)
+
+
+def _leaks(batches: Iterator[pa.RecordBatch], items: Items, latent: np.ndarray) -> Iterator[pa.RecordBatch]:
     latent = np.vstack([latent, np.zeros((1, latent.shape[1]))]).astype(np.float32)
-    weight = np.append(idf, 0).astype(np.float32)
-    shares = np.zeros((len(items.words), FEATURES + 1), np.float32)  # IDF weights of each item's features
-    for i, w in enumerate(items.words):
-        shares[i, np.array(w) & (FEATURES - 1)] = weight[np.array(w) & (FEATURES - 1)]
-    shares, width = shares.ravel(), FEATURES + 1
-    mass = np.array([weight[np.array(w) & (FEATURES - 1)].sum() * min(1, 2 * BLOCK / len(w)) for w in items.words], np.float32) * SHARED
+    bounds = Bounds(items)
     for ids, words, offsets in _pieces(batches):
         if not len(words):
             continue
         f, text = _padded(words & (FEATURES - 1), offsets, NONE)
         p = _passages(_summed(latent, f), text)
         p /= np.maximum(np.linalg.norm(p, axis=1), 1e-12)[:, None]
-        first = np.searchsorted(text, text)  # first row of each row's text
-        follows = np.append(text[1:] == text[:-1], False)
+        first, last = np.searchsorted(text, text), np.searchsorted(text, text, "right")  # rows of each row's text
+        own = bounds.row[_padded(words, offsets, 1 << 16)[0]]
+        counts, places = bounds.counts(own), bounds.places(words)
         rows: dict[tuple[int, int], tuple] = {}
         for a in range(0, len(p), 4096):
             cosine = p[a : a + 4096] @ items.vectors.T
             at, q = np.nonzero(cosine >= NEAR)
-            item, at = items.of[q], at + a
-            base = (item * width)[:, None]
-            shared = shares[base + f[at]].sum(1)
-            more = follows[at]
-            shared[more] += shares[base[more] + f[at[more] + 1]].sum(1)
-            for w, i, c in zip(*(x[shared >= mass[item]].tolist() for x in (at, item, cosine[at - a, q]))):
-                doc, wanted = int(text[w]), items.words[i]
-                known = rows.get((doc, i))
-                if known and known[0] == len(wanted):
-                    continue
-                begin = int(offsets[doc]) + (w - int(first[w])) * BLOCK
-                lo, hi = max(int(offsets[doc]), begin - len(wanted)), min(int(offsets[doc + 1]), begin + 2 * BLOCK + len(wanted))
-                region = words[lo:hi]
-                common = common_subsequence(wanted, region.tolist())
-                if common < ALIKE * len(wanted):
-                    continue
-                answer = items.answers[i]
-                m = len(answer)
-                there = bool(m <= len(region) and (np.lib.stride_tricks.sliding_window_view(region, m) == answer).all(1).any())
-                if (common >= SAME * len(wanted) or there) and (not known or common > known[0]):
-                    rows[doc, i] = (common, len(wanted), common / len(wanted), there, lo - int(offsets[doc]), c)
+            new = np.ones(len(at), bool)  # an item's passages follow each other
+            new[1:] = (at[1:] != at[:-1]) | (items.of[q[1:]] != items.of[q[:-1]])
+            at, item, c = at[new] + a, items.of[q[new]], cosine[at[new], q[new]]
+            n, doc = bounds.length[item], text[at]
+            begin = offsets[doc] + (at - first[at]) * BLOCK
+            lo, hi = np.maximum(offsets[doc], begin - n), np.minimum(offsets[doc + 1], begin + 2 * BLOCK + n)
+            found = np.append(places, np.iinfo(np.int64).max)[np.searchsorted(places, (item << 40) + lo)]
+            there = found <= (item << 40) + hi - np.array([len(x) for x in items.answers])[item]
+            need = np.where(there, ALIKE, SAME) * n
+            # only what can't have as many words in common is left out before the subsequence
+            reach = -(-n // BLOCK)
+            low, high = np.maximum(first[at], at - reach), np.minimum(last[at], at + 2 + reach)
+            some = np.flatnonzero(counts[high, item] - counts[low, item] >= need)
+            for s in range(0, len(some), 4096):
+                part = some[s : s + 4096]
+                part = part[bounds.covered(own, item[part], low[part], high[part]) >= need[part]]
+                for d, i, x, y, least, whole, near in zip(*(v[part].tolist() for v in (doc, item, lo, hi, need, there, c))):
+                    wanted, known = items.words[i], rows.get((d, i))
+                    if known and known[0] == len(wanted):
+                        continue
+                    common = common_subsequence(wanted, words[x:y].tolist())
+                    if common >= least and (not known or common > known[0]):
+                        rows[d, i] = (common, len(wanted), common / len(wanted), whole, x - int(offsets[d]), near)
         if rows:
             cols = list(zip(*((ids[d], items.ids[i], *r) for (d, i), r in rows.items())))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.int64(), pa.float64())
@@ -255,6 +305,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for i in range(slices):
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i).toArrow()
         items = Items(rows.column("item_id").to_pylist(), text_bytes(rows.column("text")), latent)
-        own = numbered.where("doc_id is not null").mapInArrow(lambda b, items=items: _leaks(b, items, latent, idf) if items.ids else iter(()), LEAKS)
+        own = numbered.where("doc_id is not null").mapInArrow(lambda b, items=items: _leaks(b, items, latent) if items.ids else iter(()), LEAKS)
         out = own if out is None else out.unionAll(own)
     return out

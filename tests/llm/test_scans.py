@@ -69,6 +69,51 @@ def test_leaks_in_slices_and_of_nothing(spark, bench, no_docs, monkeypatch):
     assert decontamination.find_leaks(df, items.where("item_id < 0")).count() == 0
 
 
+def test_paraphrases_at_all_places_of_the_grid(spark):
+    """20 to 24 of 32 words in order are found at every offset where the answer is whole or they are 24; 17 without the answer are no leak."""
+    r = random.Random(9)
+    words = lambda n: ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    items, docs, want = [], [(9000 + i, " ".join(words(300))) for i in range(40)], set()
+    for i in range(6):
+        item = words(26)
+        item[-1] += "."
+        answer = words(6)
+        answer[-1] += "."
+        items.append((i, " ".join(item + answer)))
+        for offset in range(16):
+            for k, changed in enumerate((range(0, 26, 3), range(6, 18), range(12, 20), range(10, 24))):
+                own = item + answer
+                for j in changed:
+                    own[j] = words(1)[0]
+                if k == 3:
+                    own[-1] = "other."
+                doc = i * 1000 + offset * 10 + k
+                docs.append((doc, " ".join(words(32 + offset) + own + words(40))))
+                if k < 3:
+                    want.add((doc, i))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r_["doc_id"], r_["item_id"]) for r_ in decontamination.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
+def test_bounds_leave_out_no_common_subsequence():
+    """Counts and covered places of blocks against whole subsequences, for items of up to several times 64 words; answers against plain search."""
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 90, n)) + ". " + " ".join(f"w{x}" for x in r.integers(0, 90, m)) for n, m in ((5, 1), (30, 2), (63, 1), (64, 3), (65, 2), (200, 4))]
+    items = decontamination.Items(list(range(6)), [t.encode() for t in texts], np.ones((decontamination.FEATURES, 2)))
+    words = decontamination.numbers([" ".join(f"w{x}" for x in r.integers(0, 120, 1600)).encode()])[0]
+    bounds = decontamination.Bounds(items)
+    rows = bounds.row[decontamination._padded(words, np.array([0, len(words)]), 1 << 16)[0]]
+    counts = bounds.counts(rows)
+    for i, a in enumerate(items.words):
+        for begin, end in ((0, 1), (3, 9), (40, 70), (0, 100)):
+            common = decontamination.common_subsequence(a, words[16 * begin : 16 * end].tolist())
+            covered = bounds.covered(rows, np.array([i]), np.array([begin]), np.array([end]))[0]
+            assert common <= covered and common <= counts[end, i] - counts[begin, i]
+    want = [(i << 40) + p for i, a in enumerate(items.answers) for p in range(len(words)) if words[p : p + len(a)].tolist() == a.tolist()]
+    assert bounds.places(words).tolist() == want and want
+
+
 def test_common_subsequence_against_table():
     r = np.random.default_rng(1)
     for _ in range(60):
