@@ -20,6 +20,7 @@ from .common import small_batches, text_bytes
 # HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math select object audio video canvas".split())
+SWALLOW = frozenset("script style".split())  # without an end tag, all that follows is theirs
 CLOSED_BY_BLOCK = frozenset("p".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
@@ -51,18 +52,30 @@ class Page:
         self.pieces: list[tuple[int, str]] = []  # (node, text)
         self.links: list[int] = [0]
         self.inline: list[int] = [0]
+        self.plain = True  # no block elements
         self._read(source)
 
     def _read(self, s: str) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, with the block node they are in
         at, in_link = 0, 0
         run: list[str] = []  # text of the present block
+        unclosed: set[str] = set()  # RAW elements without an end tag from here on
 
         def flush() -> None:
             if run:
                 text = " ".join("".join(run).split())
+                node = stack[-1][1]
+                if text and not node:  # text in the root is judged as a paragraph of its own
+                    node = len(self.tag)
+                    self.tag.append("p")
+                    self.words.append(frozenset())
+                    self.parent.append(0)
+                    self.depth.append(1)
+                    for of in (self.links, self.inline):
+                        of.append(of[0])
+                        of[0] = 0
                 if text:
-                    self.pieces.append((stack[-1][1], text))
+                    self.pieces.append((node, text))
                 run.clear()
 
         n = len(s)
@@ -96,8 +109,13 @@ class Page:
                 continue
             if name in RAW:
                 if not m[3].endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(s, at)
-                    at = end.end() if end else n
+                    end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(s, at)
+                    if end:
+                        at = end.end()
+                    elif name in SWALLOW:
+                        at = n
+                    else:
+                        unclosed.add(name)
                 continue
             if name in BLOCKS:
                 flush()
@@ -119,6 +137,7 @@ class Page:
                     continue
                 node = len(self.tag)
                 own = stack[-1][1]
+                self.plain = False
                 self.tag.append(name)
                 self.words.append(frozenset(w for g in WORDS_OF.findall(m[3]) for w in SPLIT.split("".join(g).lower()) if w) if m[3] else frozenset())
                 self.parent.append(own)
@@ -391,7 +410,7 @@ def extract(sources: list[str], model: BoostedTrees) -> list[str]:
     out = []
     for page, own in zip(pages, odds):
         kept = decode(page, own)
-        out.append("\n\n".join(text for node, text in page.pieces if kept[node] and (node or len(own) == 1)))
+        out.append("\n\n".join(text for node, text in page.pieces if kept[node] or page.plain))
     return out
 
 

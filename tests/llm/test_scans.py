@@ -251,6 +251,17 @@ def test_pages_of_all_kinds(spark):
     assert html_text.extract_pages(df.where("page_id > 90")).count() == 0
 
 
+def test_text_in_the_root_and_after_unclosed_elements():
+    say = "The first of the long lines of this story, which goes on for a while and ends here."
+    more = "A second paragraph tells what came of it, and why nobody had seen it coming."
+    model = html_text.trained()
+    pages = [f"{say} <p>{more}</p>", f"<html><body><article><p>{more}</p></article></body></html>{say}", *(f"<article><p>{say}</p><{t}><p>{more}</p></article>" for t in ("svg", "object", "video", "select", "noscript"))]
+    for page, text in zip(pages, html_text.extract(pages, model)):
+        assert say in text and more in text, page
+    assert html_text.extract([f"<p>{say}</p><script>{more}", f"{say}<b> and</b> so on"], model) == [say, f"{say} and so on"]
+    assert html_text.Page("<svg>" * 20_000 + "<p>end</p>").pieces == [(1, "end")]
+
+
 def test_nothing_is_kept_under_a_dropped_node():
     page = html_text.Page(PAGE)
     r = np.random.default_rng(1)
