@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
@@ -16,6 +16,22 @@ from tessera.llm.substring_dedup import dedup_substrings
 from tessera.llm.toxicity import score_toxicity, train_on
 
 
+def _all_named(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The documents, those of null doc_id with numbers of their own from the one returned on; no other doc_id reaches it."""
+    top = docs.agg(F.max("doc_id")).first()[0]
+    first = 0 if top is None else top + 1
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return docs, first
+    # written, so that the numbers stay
+    named = materialize(nameless.withColumn("doc_id", F.lit(first).cast("long") + F.monotonically_increasing_id()), "named")
+    return docs.where("doc_id is not null").unionByName(named), first
+
+
+def _as_before(docs: DataFrame, first: int) -> DataFrame:
+    return docs.withColumn("doc_id", F.when(F.col("doc_id") < first, F.col("doc_id")))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.5."""
     model = train_on(docs, table(spark, sf_dir, "labels"))
@@ -23,27 +39,34 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the one with the smallest doc_id."""
-    kept = jaccard_classes(docs).where("component_id = doc_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each component of linked documents, the one with the smallest doc_id; null ones come last, each row by itself."""
+    named, first = _all_named(docs)
+    kept = jaccard_classes(named).where("component_id = doc_id").select("doc_id")
+    return _as_before(named.join(kept, "doc_id", "left_semi"), first).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that a document of smaller doc_id has; documents left without words go.
 
-    A text that loses nothing stays as it is; of others the kept words are joined by blanks.
+    A text that loses nothing stays as it is; of others the kept words are joined by blanks. Rows of null doc_id come last, each
+    by itself; rows that repeat a document stay as many.
     """
-    cut = dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_text")
-    rows = docs.join(cut, "doc_id").where("n_removed = 0 or n_removed < n_words")
+    named, first = _all_named(docs)
+    cut = dedup_substrings(named).select("doc_id", "n_words", "n_removed", "kept_text")
+    # one row for each document; the window streams over the join's own order
+    again = F.lag(F.lit(True)).over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    cut = cut.withColumn("again", again).where("again is null").drop("again")
+    rows = named.join(cut, "doc_id").where("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return rows.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return _as_before(rows.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns)), first)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    named, first = _all_named(docs)
+    leaks = find_leaks(named, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return _as_before(named.join(leaks, "doc_id", "left_anti"), first).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,30 @@ def test_run_equals_brute_force(spark):
     assert got == want
 
 
+def test_null_ids_and_repeated_rows(spark):
+    """Rows of null doc_id are documents like others, and a document's repeated rows stay as many."""
+    import random
+
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcdefghi") for _ in range(6)) for _ in range(n))
+    clean, copied, twice, shared, repeated, other = text(80), text(80), text(80), text(60), text(90), text(90)
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    rows = [(None, clean), (1, copied), (None, copied), (None, twice), (None, twice), (2, shared + " " + other), (None, shared + " " + text(90)), (3, repeated), (3, repeated), (None, text(50) + " " + item + " " + text(50)), (4, shared + " " + text(30))]
+    rows.append(rows[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "length(text) n_chars")
+    key = lambda df: sorted((-1 if x["doc_id"] is None else x["doc_id"], x["text"]) for x in df.collect())
+    tail = rows[6][1].split()[60:], rows[10][1].split()[60:]
+    one = corpus_pipeline.keep_one_of_near_copies(spark, docs, DATA).cache()
+    want = [(-1 if i is None else i, t) for i, t in (rows[0], rows[1], rows[3], rows[5], rows[6], rows[7], rows[8], rows[9], rows[10], rows[11])]
+    assert key(one) == sorted(want)
+    two = corpus_pipeline.cut_repeated_passages(spark, one, DATA).cache()
+    want[4] = (-1, " ".join(tail[0]))
+    want[8] = want[9] = (4, " ".join(tail[1]))
+    assert key(two) == sorted(want)
+    three = corpus_pipeline.drop_contaminated(spark, two, DATA)
+    assert key(three) == sorted(x for x in want if item not in x[1])
+
+
 def test_queries_are_registered():
     import __spark_entry__ as driver
 
