@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 CHUNK_BYTES = 2 << 20  # text that a Python worker takes apart at once
@@ -21,10 +22,12 @@ CHUNK_BYTES = 2 << 20  # text that a Python worker takes apart at once
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a new local one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a new local one in local mode (tests); on a cluster an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(spark, "_tessera_dir", None):
         spark._tessera_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return spark._tessera_dir
@@ -60,8 +63,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of so many rows at most: whole texts of a batch are in a Python worker at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches of so many rows at most: whole texts of a batch are in a Python worker at once. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = int(spark.conf.get(name))
+    if was <= 0 or was > rows:
+        spark.conf.set(name, str(rows))
+
+
+# ---------------------------------------------------------------- groups of any size
+
+SALTS = 32  # tasks that a group of any size is dealt over
+
+
+def with_group(rows: DataFrame, keys: list[str], spread: str, facts: list[Column], where: str | None = None) -> DataFrame:
+    """The rows, each with facts of its group (aggregates that combine before the shuffle); groups that fail `where` are left out.
+
+    A group's rows are dealt over SALTS parts by a hash of `spread`, and its facts are joined to the parts that it has: there
+    are never more of these than rows, and a hot group is no one task's. Null keys are left out.
+    """
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    groups = rows.groupBy(*keys).agg(*facts, F.bit_or(F.expr("shiftleft(1L, _part)")).alias("_parts"))
+    if where:
+        groups = groups.where(where)
+    every = ", ".join(str(i) for i in range(SALTS))
+    groups = groups.withColumn("_part", F.explode(F.expr(f"filter(array({every}), i -> (shiftright(_parts, i) & 1L) = 1L)"))).drop("_parts")
+    return rows.hint("merge").join(groups, [*keys, "_part"]).drop("_part")
 
 
 # ---------------------------------------------------------------- texts in Arrow batches

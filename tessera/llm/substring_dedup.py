@@ -1,11 +1,13 @@
 """Removal of word passages that an earlier document has, with automata of repeated phrases.
 
 1. Every window of `window` words is shown by an anchor phrase of `phrase` words (winnow). Phrases that anchor windows in two
-   documents or more are confirmed as repeated.
-2. Documents are dealt into shards of bounded size, with the confirmed phrases that occur there. Each shard compiles them
-   into an Aho-Corasick automaton and streams its documents through it: every hit on an anchor gives a run of windows.
-3. Equal runs are one variant, shown by its smallest document; of different variants with one anchor the windows are
-   compared by hash. Windows that a smaller document has are removed.
+   documents or more are confirmed: every window that documents share has one.
+2. The confirmed phrases are dealt into shards by the smallest document that has them, so that what was copied together stays
+   together. A shard's phrases are compiled into an Aho-Corasick automaton. Every document streams through the automaton of
+   every shard that one of its anchors belongs to, and through one at least. The automaton's hits alone say where phrases
+   occur: windows are assigned to the hits in them, and a window without a hit is not repeated.
+3. Equal runs are one variant, shown by its smallest document; of different variants on one phrase the windows are compared
+   by hash. Windows that a smaller document has are removed.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, grouped_batches, materialize, mix, settle, signed, small_batches, sorted_groups, split_words, text_bytes, text_chunks, window_hashes, word_hashes
+from .common import CHUNK_BYTES, discard, grouped_batches, materialize, mix, settle, signed, small_batches, sorted_groups, split_words, text_bytes, text_chunks, window_hashes, with_group, word_hashes
 from .winnow import runs, union_spans
 
 WINDOW = 50
 PHRASE = 10
-SHARD_BYTES = 4 << 20  # text of a shard, about; a longer document is one shard
+PHRASES = 4096  # phrases of a shard, about: some 20 MB of automaton
+PART = 1024  # documents that one part of a shard streams, about
 OWN = 0x2545F4914F6CDD1D
 
 
@@ -48,49 +51,80 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, phrase: int) -> Ite
 RUNS = "doc_id long, start long, count int, key long, variant long, windows array<long>"
 
 
-def _locate(batches: Iterator[pa.RecordBatch], window: int, phrase: int) -> Iterator[pa.RecordBatch]:
-    """Runs of a shard's documents on confirmed phrases, found by the shard's automaton."""
-    import ahocorasick
+class Phrases:
+    """A shard's automaton: words joined by blanks, one before and one after."""
+
+    def __init__(self, phrase: int):
+        import ahocorasick
+
+        self.phrase = phrase
+        self.automaton = ahocorasick.Automaton()
+
+    def add(self, words: list[bytes]) -> None:
+        self.automaton.add_word(_line(words), len(words))
+
+    def compile(self) -> None:
+        self.automaton.make_automaton()
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The words at which a phrase of the shard starts."""
+        if not len(self.automaton):
+            return np.zeros(0, np.int64)
+        line = _line(words)
+        ends = np.fromiter((end for end, _ in self.automaton.iter(line)), np.int64)
+        blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32) if len(ends) else ends
+        return np.searchsorted(blanks, ends) - self.phrase
+
 
-    for group in grouped_batches(batches, ["shard"]):
+def _line(words: list[bytes]) -> str:
+    return " " + b" ".join(words).decode("utf-8", "replace") + " "
+
+
+def _compiled(texts: list[bytes], keys: list[list[int]], window: int, phrase: int) -> Phrases:
+    """The automaton of the confirmed phrases that these documents are the first to have."""
+    out = Phrases(phrase)
+    for text, own in zip(texts, keys):
+        words, offsets = word_hashes([text])
+        r = runs(words, offsets, window, phrase)
+        split = split_words(text)
+        for a in r.anchor[np.isin(signed(r.key), np.array(own, np.int64))].tolist():
+            out.add(split[a : a + phrase])
+    out.compile()
+    return out
+
+
+def _locate(batches: Iterator[pa.RecordBatch], window: int, phrase: int) -> Iterator[pa.RecordBatch]:
+    """Runs of the documents of each part of a shard, from the hits of the shard's automaton."""
+    for group in grouped_batches(batches, ["shard", "part"]):
+        texts = [t or b"" for t in text_bytes(group.column("text"))]
         keys = group.column("keys").to_pylist()
-        all_ids, all_texts = group.column("doc_id").to_pylist(), [t or b"" for t in text_bytes(group.column("text"))]
+        first = [i for i, own in enumerate(keys) if own]
+        automaton = _compiled([texts[i] for i in first], [keys[i] for i in first], window, phrase)
+        streamed = np.flatnonzero(group.column("streamed").to_numpy(zero_copy_only=False)).tolist()
+        ids = group.column("doc_id").to_pylist()
         at = 0
-        while at < len(all_ids):  # of a large group, documents of about a shard's size at a time
+        while at < len(streamed):
             end, size = at, 0
-            while end < len(all_ids) and (end == at or size + len(all_texts[end]) <= SHARD_BYTES):
-                size += len(all_texts[end])
+            while end < len(streamed) and (end == at or size + len(texts[streamed[end]]) <= CHUNK_BYTES):
+                size += len(texts[streamed[end]])
                 end += 1
-            yield from _locate_in(ahocorasick, all_ids[at:end], all_texts[at:end], keys[at:end], window, phrase)
+            own = streamed[at:end]
+            yield from _located([ids[i] for i in own], [texts[i] for i in own], automaton, window, phrase)
             at = end
 
 
-def _locate_in(ahocorasick, ids: list[int], texts: list[bytes], keys: list[list[int]], window: int, phrase: int) -> Iterator[pa.RecordBatch]:
-    split = [split_words(t) for t in texts]
+def _located(ids: list[int], texts: list[bytes], automaton: Phrases, window: int, phrase: int) -> Iterator[pa.RecordBatch]:
     words, offsets = word_hashes(texts)
-    r = runs(words, offsets, window, phrase)
-    confirmed = np.unique(np.array([k for own in keys for k in own or ()], np.int64))
-    mine = np.isin(signed(r.key), confirmed)
-    if not mine.any():
+    hit = np.zeros(len(words), bool)
+    for t, a in zip(texts, offsets.tolist()):
+        hit[automaton.places(split_words(t)) + a] = True
+    if not hit.any():
         return
-    automaton = ahocorasick.Automaton()
-    for t, a in zip(r.text[mine].tolist(), r.anchor[mine].tolist()):
-        automaton.add_word(" " + b" ".join(split[t][a : a + phrase]).decode("utf-8", "replace") + " ", phrase)
-    automaton.make_automaton()
-    hits = []
-    for t in np.unique(r.text[mine]).tolist():
-        line = " " + b" ".join(split[t]).decode("utf-8", "replace") + " "
-        ends = np.fromiter((e for e, _ in automaton.iter(line)), np.int64)
-        if len(ends):
-            spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
-            hits.append(np.searchsorted(spaces, ends) - phrase + offsets[t])
-    found = np.concatenate(hits) if hits else np.zeros(0, np.int64)
-    pick = np.flatnonzero(np.isin(r.anchor + offsets[r.text], found) & mine)
+    r = runs(words, offsets, window, phrase, hit)
     own = window_hashes(words, window, OWN)
-    flat, count = r.flat[pick], r.count[pick]
-    total = mix(own[flat] + mix(own[flat + count - 1] + mix(count.astype(np.uint64))))
+    total = mix(own[r.flat] + mix(own[r.flat + r.count - 1] + mix(r.count.astype(np.uint64))))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.array(ids, np.int64)[r.text[pick]]), pa.array(r.start[pick]), pa.array(count.astype(np.int32)), pa.array(signed(r.key[pick])), pa.array(signed(total)), _lists([signed(own[a : a + n]) for a, n in zip(flat.tolist(), count.tolist())])],
+        [pa.array(np.array(ids, np.int64)[r.text]), pa.array(r.start), pa.array(r.count.astype(np.int32)), pa.array(signed(r.key)), pa.array(signed(total)), _lists([signed(own[a : a + n]) for a, n in zip(r.flat.tolist(), r.count.tolist())])],
         names=["doc_id", "start", "count", "key", "variant", "windows"],
     )
 
@@ -117,34 +151,58 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
+def _dealt(docs: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(shard, part, streamed, doc_id, text, keys): documents beside the shards that they stream through, in parts of bounded size.
+
+    A document whose phrases a shard compiles comes to every part of it, with these phrases' keys.
+    """
+    spark = docs.sparkSession
+    anchors = materialize(docs.mapInArrow(lambda b: _anchors(b, window, phrase), "key long, doc_id long"), "anchors")
+    bounds = [F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")]
+    confirmed = anchors.groupBy("key").agg(*bounds).where("lo < hi").count()
+    shards = F.lit(max(1, -(-confirmed // PHRASES)))
+    own = with_group(anchors, ["key"], "doc_id", bounds, "lo < hi").withColumn("shard", F.pmod(F.xxhash64("lo"), shards))
+    own = own.groupBy("doc_id").agg(F.collect_set("shard").alias("shards"), F.collect_list(F.when(F.col("lo") == F.col("doc_id"), F.col("key"))).alias("keys"))
+    routes = docs.select("doc_id").distinct().join(own, "doc_id", "left")
+    routes = routes.select("doc_id", F.coalesce("shards", F.array(F.pmod(F.xxhash64("doc_id", F.lit(1)), shards))).alias("shards"), "keys")
+    routes = materialize(routes, "routes")
+    discard(anchors)
+    settle(spark)
+    deals = with_group(routes.select("doc_id", F.explode("shards").alias("shard"), F.coalesce(F.size("keys") > 0, F.lit(False)).alias("first")), ["shard"], "doc_id", [F.ceil(F.count("*") / PART).alias("parts")])
+    mine = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("parts"))
+    deals = deals.withColumn("compiled", F.col("first") & (F.col("shard") == F.pmod(F.xxhash64("doc_id"), shards))).withColumn("mine", mine)
+    deals = deals.withColumn("part", F.explode(F.when(F.col("compiled"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("mine"))))
+    deals = deals.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "part", (F.col("part") == F.col("mine")).alias("streamed"), "compiled")).alias("deals"))
+    deals = materialize(deals.join(routes, "doc_id").select("doc_id", "deals", "keys"), "deals")
+    discard(routes)
+    settle(spark)
+    rows = docs.hint("merge").join(deals, "doc_id").select("doc_id", "text", "keys", F.inline("deals"))
+    return rows.select("shard", "part", "streamed", "doc_id", "text", F.when(F.col("compiled"), F.col("keys")).alias("keys"))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """(doc_id, a, b): words a to b (exclusive) of a document that windows cover which a document of smaller doc_id has too."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
-    anchors = materialize(docs.mapInArrow(lambda b: _anchors(b, window, phrase), "key long, doc_id long"), "anchors")
-    repeated = anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    wanted = materialize(anchors.join(repeated, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "wanted")
-    discard(anchors)
-    settle(spark)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    dealt = docs.hint("merge").join(wanted, "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    located = sorted_groups(dealt.select("shard", "doc_id", "text", "keys"), ["shard"]).mapInArrow(lambda b: _locate(b, window, phrase), RUNS)
+    located = sorted_groups(_dealt(docs, window, phrase), ["shard", "part"]).mapInArrow(lambda b: _locate(b, window, phrase), RUNS)
     located = materialize(located, "runs")
     settle(spark)
     # equal runs are one variant; its smallest document keeps it, as far as variants are concerned
     variants = located.groupBy("key", "variant").agg(F.min("doc_id").alias("first"), F.first("windows").alias("windows"))
     variants = materialize(variants, "variants")
-    several = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    own = variants.join(several, "key").select("key", "variant", "first", F.posexplode("windows").alias("place", "hash"))
-    least = own.groupBy("key", "hash").agg(F.min("first").alias("least"))
-    late = own.join(least, ["key", "hash"]).where("least < first").groupBy("key", "variant").agg(F.collect_list("place").alias("places"))
-    known = materialize(variants.select("key", "variant", "first").join(late, ["key", "variant"], "left"), "known")
-    found = located.select("doc_id", "start", "count", "key", "variant").join(known, ["key", "variant"])
+    own = with_group(variants, ["key"], "variant", [F.count("*").alias("n")], "n > 1").select("key", "variant", "first", F.posexplode("windows").alias("place", "hash"))
+    late = with_group(own, ["key", "hash"], "variant", [F.min("first").alias("least")]).where("least < first").groupBy("key", "variant").agg(F.collect_list("place").alias("places"))
+    late = materialize(late, "late")
+    settle(spark)
+    found = with_group(located.select("doc_id", "start", "count", "key", "variant"), ["key", "variant"], "doc_id", [F.min("doc_id").alias("first")])
     whole = found.where("doc_id > first").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + window).alias("b"))
-    part = found.where("doc_id = first and places is not null").select("doc_id", "start", F.explode("places").alias("place")).withColumn("a", F.col("start") + F.col("place"))
-    return whole.unionAll(part.select("doc_id", "a", (F.col("a") + window).alias("b")))
+    part = found.where("doc_id = first").join(late, ["key", "variant"]).select("doc_id", "start", F.explode("places").alias("place")).withColumn("a", F.col("start") + F.col("place"))
+    spans = materialize(whole.unionAll(part.select("doc_id", "a", (F.col("a") + window).alias("b"))), "spans")
+    for table in (located, variants, late):
+        discard(table)
+    settle(spark)
+    return spans
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -152,10 +210,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
 
     Words are [^\\x20\\x09-\\x0D]+, unchanged. Each word is removed that a window of `window` words covers whose word sequence also
     starts in a document with a smaller doc_id; windows are judged on the input. Null text: no words. doc_id is a key (rows
-    that repeat one are one document to the search, and each is cut). Shorter documents keep all. Extra columns are not read.
+    that repeat one are one document to the search, and each is cut; of null ones nothing is removed, and nothing because of them).
+    Shorter documents keep all. Extra columns are not read; an empty table gives no rows.
     """
-    spans = materialize(repeated_spans(docs, window, phrase), "spans")
-    settle(docs.sparkSession)
+    spans = repeated_spans(docs, window, phrase)
     cuts = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
     rows = docs.select("doc_id", "text").hint("merge").join(cuts, "doc_id", "left")
     return rows.mapInArrow(lambda b: _remove(b, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -145,6 +145,32 @@ def test_intervals_are_equal_prefixes():
         assert all(len(v) == 1 for v in full.values()) and len({next(iter(v)) for v in full.values()}) == len(full)
 
 
+def test_the_automaton_alone_finds_occurrences(monkeypatch):
+    """Without hits there are no runs, and of a phrase that is not compiled no window is found."""
+    import pyarrow as pa
+
+    r = random.Random(3)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = text(200)
+    texts = [text(60) + " " + shared, shared + " " + text(80), text(300)]
+    keys = []
+    for t in texts[:2]:
+        words, offsets = substring_dedup.word_hashes([t.encode()])
+        keys.append(winnow.runs(words, offsets, 50, 10).key.view(np.int64).tolist())
+    both = sorted(set(keys[0]) & set(keys[1]))
+
+    def located(own):
+        batch = pa.RecordBatch.from_pydict({"shard": [0] * 3, "part": [0] * 3, "streamed": [True] * 3, "doc_id": [1, 2, 3], "text": texts, "keys": [own, None, None]})
+        return [x for b in substring_dedup._locate(iter([batch]), 50, 10) for x in b.to_pylist()]
+
+    rows = located(both)
+    assert {x["doc_id"] for x in rows} == {1, 2} and {x["key"] for x in rows} == set(both)
+    less = located(both[1:])
+    assert {x["key"] for x in less} == set(both[1:])
+    monkeypatch.setattr(substring_dedup.Phrases, "places", lambda self, words: np.zeros(0, np.int64))
+    assert located(both) == []
+
+
 def test_equal_windows_have_equal_anchors():
     r = np.random.default_rng(9)
     text = r.integers(0, 4, 3000).astype(np.uint64)
