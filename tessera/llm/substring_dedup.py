@@ -3,9 +3,10 @@
 1. Every window of `window` words is shown by an anchor phrase of `phrase` words (winnow). Phrases that anchor windows in two
    documents or more are confirmed: every window that documents share has one.
 2. The confirmed phrases are dealt into shards by the smallest document that has them, so that what was copied together stays
-   together. A shard's phrases are compiled into an Aho-Corasick automaton. Every document streams through the automaton of
-   every shard that one of its anchors belongs to, and through one at least. The automaton's hits alone say where phrases
-   occur: windows are assigned to the hits in them, and a window without a hit is not repeated.
+   together. A shard's phrases are compiled into an Aho-Corasick automaton. Every document streams through the automata of all
+   shards that have one of its anchors: a document whose anchors are all unconfirmed has no repeated window, as each of its
+   windows has been looked up, and streams through none. The automaton's hits alone say where phrases occur: windows are
+   assigned to the hits in them, and a window without a hit is not repeated.
 3. Equal runs are one variant, shown by its smallest document; of different variants on one phrase the windows are compared
    by hash. Windows that a smaller document has are removed.
 """
@@ -163,12 +164,10 @@ def _dealt(docs: DataFrame, window: int, phrase: int) -> DataFrame:
     shards = F.lit(max(1, -(-confirmed // PHRASES)))
     own = with_group(anchors, ["key"], "doc_id", bounds, "lo < hi").withColumn("shard", F.pmod(F.xxhash64("lo"), shards))
     own = own.groupBy("doc_id").agg(F.collect_set("shard").alias("shards"), F.collect_list(F.when(F.col("lo") == F.col("doc_id"), F.col("key"))).alias("keys"))
-    routes = docs.select("doc_id").distinct().join(own, "doc_id", "left")
-    routes = routes.select("doc_id", F.coalesce("shards", F.array(F.pmod(F.xxhash64("doc_id", F.lit(1)), shards))).alias("shards"), "keys")
-    routes = materialize(routes, "routes")
+    routes = materialize(own, "routes")
     discard(anchors)
     settle(spark)
-    deals = with_group(routes.select("doc_id", F.explode("shards").alias("shard"), F.coalesce(F.size("keys") > 0, F.lit(False)).alias("first")), ["shard"], "doc_id", [F.ceil(F.count("*") / PART).alias("parts")])
+    deals = with_group(routes.select("doc_id", F.explode("shards").alias("shard"), (F.size("keys") > 0).alias("first")), ["shard"], "doc_id", [F.ceil(F.count("*") / PART).alias("parts")])
     mine = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("parts"))
     deals = deals.withColumn("compiled", F.col("first") & (F.col("shard") == F.pmod(F.xxhash64("doc_id"), shards))).withColumn("mine", mine)
     deals = deals.withColumn("part", F.explode(F.when(F.col("compiled"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("mine"))))
