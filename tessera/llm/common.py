@@ -213,3 +213,24 @@ def grouped_batches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
         last = tuple(c[-1] for c in cols)
     if kept:
         yield pa.Table.from_batches(kept)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """A sorted stream of batches as tables of whole groups, many in each; for groups of bounded size."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy()
+        if kept and kept[-1].column(key)[-1].as_py() != values[0]:
+            yield pa.Table.from_batches(kept)
+            kept = []
+        change = np.flatnonzero(values[1:] != values[:-1])
+        if len(change):
+            last = int(change[-1]) + 1
+            yield pa.Table.from_batches([*kept, batch.slice(0, last)])
+            kept = [batch.slice(last)]
+        else:
+            kept.append(batch)
+    if kept:
+        yield pa.Table.from_batches(kept)

@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, discard, grouped_batches, materialize, mix, settle, signed, small_batches, sorted_groups, split_words, text_bytes, text_chunks, window_hashes, with_group, word_hashes
+from .common import CHUNK_BYTES, discard, grouped_batches, materialize, mix, settle, signed, small_batches, sorted_groups, split_words, text_bytes, text_chunks, whole_groups, window_hashes, with_group, word_hashes
 from .winnow import runs, union_spans
 
 WINDOW = 50
 PHRASE = 10
 PHRASES = 4096  # phrases of a shard, about: some 20 MB of automaton
+VARIANTS = 2000  # variants of a phrase that one task compares at most; those of more are dealt out by window
 PART = 1024  # documents that one part of a shard streams, about
 OWN = 0x2545F4914F6CDD1D
 
@@ -130,6 +131,26 @@ def _located(ids: list[int], texts: list[bytes], automaton: Phrases, window: int
     )
 
 
+def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each phrase's variants, the windows that one of a smaller document has too."""
+    for group in whole_groups(batches, "key"):
+        group = group.combine_chunks()
+        lists = group.column("windows").chunk(0)
+        count = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        key, first, hashes = group.column("key").to_numpy()[row], group.column("first").to_numpy()[row], lists.flatten().to_numpy()
+        order = np.lexsort((first, hashes, key))
+        new = np.append(True, (key[order][1:] != key[order][:-1]) | (hashes[order][1:] != hashes[order][:-1]))
+        least = np.empty(len(row), np.int64)
+        least[order] = first[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+        late = least < first
+        n = np.bincount(row[late], minlength=len(count))
+        some = np.flatnonzero(n)
+        places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[some])]).astype(np.int32)), pa.array(place[late].astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([*(pa.array(group.column(c).to_numpy()[some]) for c in ("key", "variant")), places], names=["key", "variant", "places"])
+
+
 def _remove(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -190,15 +211,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     # equal runs are one variant; its smallest document keeps it, as far as variants are concerned
     variants = located.groupBy("key", "variant").agg(F.min("doc_id").alias("first"), F.first("windows").alias("windows"))
     variants = materialize(variants, "variants")
-    own = with_group(variants, ["key"], "variant", [F.count("*").alias("n")], "n > 1").select("key", "variant", "first", F.posexplode("windows").alias("place", "hash"))
-    late = with_group(own, ["key", "hash"], "variant", [F.min("first").alias("least")]).where("least < first").groupBy("key", "variant").agg(F.collect_list("place").alias("places"))
-    late = materialize(late, "late")
+    several = materialize(with_group(variants, ["key"], "variant", [F.count("*").alias("n")], "n > 1"), "several")
+    discard(variants)
+    settle(spark)
+    few = sorted_groups(several.where(F.col("n") <= VARIANTS).select("key", "variant", "first", "windows"), ["key"]).mapInArrow(_late, "key long, variant long, places array<int>")
+    # the windows of a phrase of many variants are dealt out one by one
+    many = several.where(F.col("n") > VARIANTS).select("key", "variant", "first", F.posexplode("windows").alias("place", "hash"))
+    many = with_group(many, ["key", "hash"], "variant", [F.min("first").alias("least")]).where("least < first").groupBy("key", "variant").agg(F.collect_list("place").alias("places"))
+    late = materialize(few.unionAll(many), "late")
     settle(spark)
     found = with_group(located.select("doc_id", "start", "count", "key", "variant"), ["key", "variant"], "doc_id", [F.min("doc_id").alias("first")])
     whole = found.where("doc_id > first").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("count") - 1 + window).alias("b"))
     part = found.where("doc_id = first").join(late, ["key", "variant"]).select("doc_id", "start", F.explode("places").alias("place")).withColumn("a", F.col("start") + F.col("place"))
     spans = materialize(whole.unionAll(part.select("doc_id", "a", (F.col("a") + window).alias("b"))), "spans")
-    for table in (located, variants, late):
+    for table in (located, several, late):
         discard(table)
     settle(spark)
     return spans

@@ -105,8 +105,9 @@ def brute_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "phrase"), [(50, 10), (12, 4)])
-def test_substrings_equal_brute_force(docs, rows, window, phrase):
+@pytest.mark.parametrize(("window", "phrase", "variants"), [(50, 10, 2000), (12, 4, 2000), (12, 4, 1)])
+def test_substrings_equal_brute_force(docs, rows, window, phrase, variants, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "VARIANTS", variants)  # 1: windows of all phrases are dealt out
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup_substrings(docs, window, phrase).collect()}
     assert got == brute_words(rows, window)
 
