@@ -27,7 +27,7 @@ from .winnow import runs, union_spans
 WINDOW = 50
 PHRASE = 10
 PHRASES = 4096  # phrases of a shard, about: some 20 MB of automaton
-VARIANTS = 2000  # variants of a phrase that one task compares at most; those of more are dealt out by window
+VARIANTS = 50_000  # variants of a phrase that one task compares at most (41 windows of 8 bytes each); those of more are dealt out by window
 PART = 1024  # documents that one part of a shard streams, about
 OWN = 0x2545F4914F6CDD1D
 
