@@ -1,18 +1,16 @@
 """Toxicity by compression distance: which of two zstandard dictionaries, of toxic or of ordinary text, makes a window shorter.
 
-A window is a word between blanks with a constant tail that both dictionaries end in, so that every window is compressed as a
-match-bearing block and its length tells how much of the word the dictionary holds. A word's distance is its length with the
-ordinary dictionary less that with the toxic one. A text is shown by how many of its windows pass each threshold, and a
-logistic calibration of the labelled sample turns that into a score.
+Texts are read in windows of WORDS words. Both dictionaries begin with one base, trained on ordinary text, so that ordinary
+stretches cost the same with either; after it each has its own part, trained on windows of its own class in ROUNDS: each
+round trains on those windows that the dictionary so far makes least short for their length. A window's distance is its length
+with the ordinary dictionary less that with the toxic one. A text is shown by how many of its windows pass each threshold; a
+logistic calibration on labelled documents that the dictionaries have not seen turns that into a score.
 """
 
 from __future__ import annotations
 
 import math
-import random
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,48 +19,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_chunks
+from .common import discard, materialize, small_batches, text_chunks
 
-SAMPLE = (2000, 6000)  # labelled documents to learn from at most: toxic, ordinary
-SAMPLE_BYTES = 50_000  # longer labelled documents are not learnt from
-TOXIC_DICT, ORDINARY_DICT = 2048, 32768  # bytes
+WORDS = 5  # words of a window
+SAMPLE = (3000, 6000)  # labelled documents to learn from at most: toxic, ordinary; half for the dictionaries, half to calibrate
+WINDOWS = (100_000, 300_000)  # windows of these, picked by hash, that the dictionaries are trained on at most
+BASE, OWN, ROUNDS, WORST = 400_000, 1536, 6, 0.04  # bytes of the base and of a round's part; rounds; share of the windows of a round
+LEVEL = 16
 TOP = 9  # distances are counted from 1 to TOP
-SALIENT = 8.0  # standard errors by which a word must be more frequent in toxic documents to be trained on
-TAIL = bytes(range(1, 30))  # constant end of every window and dictionary: matches don't start in a block's last bytes
-TOKEN = re.compile(rb"[a-z\x80-\xff]+")
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Lower-cased runs of letters, of whole texts."""
-    return TOKEN.findall(text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode("utf-8"))
+def windows(text: bytes) -> list[bytes]:
+    """Lower-cased words of the whole text, WORDS at a time; the last window may be shorter."""
+    words = (text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode("utf-8")).split()
+    return [b" " + b" ".join(words[i : i + WORDS]) + b" " for i in range(0, len(words), WORDS)]
 
 
-class Distances(dict):
-    """Word: its compression distance, remembered up to a bound."""
-
-    LIMIT = 500_000
-
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        super().__init__()
-        self.toxic, self.ordinary = self._compressor(toxic), self._compressor(ordinary)
-
-    @staticmethod
-    def _compressor(content: bytes):
-        import zstandard as z
-
-        how = z.ZstdCompressionParameters.from_level(
-            19, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0, min_match=3, strategy=z.STRATEGY_BTLAZY2, hash_log=15, chain_log=15, window_log=17, target_length=64, search_log=6
-        )
-        held = z.ZstdCompressionDict(content + TAIL, dict_type=z.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(compression_params=how)
-        return z.ZstdCompressor(dict_data=held, compression_params=how).compress
+def compressor(dictionary: bytes):
+    import zstandard as z
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        window = b" " + word + b" " + TAIL
-        value = self[word] = max(0, min(TOP, len(self.ordinary(window)) - len(self.toxic(window))))
-        return value
+    how = z.ZstdCompressionParameters.from_level(LEVEL, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0, min_match=3)
+    held = z.ZstdCompressionDict(dictionary)
+    held.precompute_compress(compression_params=how)
+    return z.ZstdCompressor(dict_data=held, compression_params=how).compress
 
 
 @dataclass(frozen=True)
@@ -75,89 +54,85 @@ class ToxicityModel:
     bias: float
 
 
-def features(words: list[bytes], distances: Distances) -> list[float]:
-    """Shares and numbers of windows at each distance or beyond, and the length; all saturate."""
-    n = len(words)
-    counts = np.bincount(np.fromiter(map(distances.__getitem__, words), np.int64, n), minlength=TOP + 1) if n else np.zeros(TOP + 1, np.int64)
-    beyond = counts[::-1].cumsum()[::-1][2:].astype(float)
+_HELD: dict[int, tuple] = {}
+
+
+def distances(text: bytes, toxic: bytes, ordinary: bytes) -> np.ndarray:
+    """Each window's length with the ordinary dictionary less that with the toxic one, from 0 to TOP."""
+    key = zlib.crc32(toxic) << 32 | zlib.crc32(ordinary)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = compressor(toxic), compressor(ordinary)
+    by_toxic, by_ordinary = _HELD[key]
+    own = windows(text)
+    return np.clip(np.fromiter((len(by_ordinary(w)) - len(by_toxic(w)) for w in own), np.int64, len(own)), 0, TOP)
+
+
+def features(text: bytes, toxic: bytes, ordinary: bytes) -> list[float]:
+    """Shares and numbers of windows at each distance or beyond, and the length; the shares saturate."""
+    own = distances(text, toxic, ordinary)
+    n = len(own)
+    beyond = np.bincount(own, minlength=TOP + 1)[::-1].cumsum()[::-1][1:].astype(float)
     share = beyond / max(n, 1)
-    return [*np.sqrt(share), *np.minimum(share * 20, 1.0), *np.log1p(beyond), math.log1p(n)]
+    return [*np.sqrt(share), *np.minimum(share * 10, 1.0), *np.log1p(beyond), math.log1p(n)]
 
 
-def _contents(samples: list[bytes], size: int) -> bytes:
-    """The content of a dictionary that zstandard trains on the samples, without its entropy tables."""
+def _trained(samples: list[bytes], size: int):
+    """A dictionary that zstandard trains on the samples; None of too little text."""
     import zstandard as z
 
-    if len(samples) < 16:
-        return b"".join(samples)[-size:]
     try:
-        return z.train_dictionary(size + 256, samples).as_bytes()[-size:]
-    except z.ZstdError:  # too little text
-        return b"".join(samples)[-size:]
+        return z.train_dictionary(size, samples, d=6, k=9 if size < 4096 else 32, steps=0)
+    except (z.ZstdError, ValueError):
+        return None
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = 7) -> ToxicityModel | None:
-    """None unless both labels occur. Copies of a text count once."""
-    docs = sorted({(t, int(bool(y))) for t, y in zip(texts, labels)})
-    number = Counter(y for _, y in docs)
-    if len(number) < 2:
-        return None
-    # words of toxic documents; of the others only these are counted
-    have = (Counter(), Counter())
-    for t, y in docs:
-        if y:
-            have[1].update(set(tokens(t)))
-    often = {w for w, k in have[1].items() if k > 2}
-    for t, y in docs:
-        if not y:
-            have[0].update(often.intersection(tokens(t)))
-
-    def salience(w: bytes) -> float:
-        p = (have[0][w] + have[1][w]) / len(docs)
-        return (have[1][w] / number[1] - have[0][w] / number[0]) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / number[0] + 1 / number[1]))
-
-    salient = {w for w in often if salience(w) > SALIENT}
-    draw = random.Random(seed)
-    # a word is trained on twice in a row: the trainer weighs stretches of eight bytes or so
-    toxic, ordinary = [], []
-    for t, y in docs:
-        words = tokens(t)
-        if y:
-            toxic += [b" " + w + b"  " + w + b" " for w in words if w in salient]
-        else:
-            ordinary += [b" " + b" ".join(words[i : i + 8]) + b" " for i in range(0, len(words), 8) if draw.random() < 0.25]
-    draw.shuffle(ordinary)
-    draw.shuffle(toxic)
-    dicts = _contents(toxic[:40_000], TOXIC_DICT), _contents(ordinary[:80_000], ORDINARY_DICT)
-    distances = Distances(*dicts)
-    distances.LIMIT = 200_000
-    x = np.array([features(tokens(t), distances) for t, _ in docs])
-    y = np.array([y for _, y in docs], float)
+def _content(samples: list[bytes], size: int) -> bytes:
+    """What such a dictionary holds, without its tables."""
+    held = _trained(samples, size + 300)
+    return held.as_bytes()[-size:] if held else b"".join(samples)[-size:]
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """(toxic, ordinary): trained on windows of either class."""
+    cut = len(ordinary) * 3 // 4
+    held = _trained(ordinary[:cut], BASE)
+    base = held.as_bytes() if held else (b"".join(ordinary[:cut])[-BASE:] or b" " * 8)
+
+    def with_own(samples: list[bytes]) -> bytes:
+        out = base
+        size = np.array([len(w) for w in samples], float)
+        for _ in range(ROUNDS if samples else 0):
+            compress = compressor(out)
+            cost = np.array([len(compress(w)) for w in samples], float)
+            if len(np.unique(size)) > 1:
+                cost -= np.polyval(np.polyfit(size, cost, 1), size)
+            worst = np.argsort(-cost, kind="stable")[: max(64, int(len(samples) * WORST))]
+            out += _content([samples[i] for i in worst.tolist()], OWN)
+        return out
+
+    return with_own(toxic), with_own(ordinary[cut:])
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, dicts: tuple[bytes, bytes], share: float) -> ToxicityModel:
+    """Newton's method on the penalised likelihood; `share`: of all labelled documents, those of label 1 (the sample has more)."""
     centre, scale = x.mean(0), x.std(0) + 1e-6
-    x = (x - centre) / scale
-    w = np.zeros(x.shape[1] + 1)
-    one = np.hstack([x, np.ones((len(x), 1))])
+    one = np.hstack([(x - centre) / scale, np.ones((len(x), 1))])
+    w = np.zeros(one.shape[1])
     ridge = np.diag([1.0] * x.shape[1] + [1e-6])
-    for _ in range(60):  # Newton's method on the penalised likelihood
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(one @ w, -30, 30)))
         step = np.linalg.solve((one * (p * (1 - p))[:, None]).T @ one + ridge, one.T @ (p - y) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return ToxicityModel(*dicts, tuple(centre), tuple(scale), tuple(w[:-1]), float(w[-1]))
-
-
-_DISTANCES: dict[int, Distances] = {}
+    return ToxicityModel(*dicts, tuple(centre), tuple(scale), tuple(w[:-1]), float(w[-1] + math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))))
 
 
 def score(texts: list[bytes], model: ToxicityModel | None) -> np.ndarray:
     if model is None or not texts:
         return np.zeros(len(texts))
-    key = zlib.crc32(model.toxic + model.ordinary)
-    if key not in _DISTANCES:
-        _DISTANCES.clear()
-        _DISTANCES[key] = Distances(model.toxic, model.ordinary)
-    x = np.array([features(tokens(t), _DISTANCES[key]) for t in texts])
+    x = np.array([features(t, model.toxic, model.ordinary) for t in texts])
     z = ((x - np.array(model.centre)) / np.array(model.scale)) @ np.array(model.weights) + model.bias
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -166,22 +141,61 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [windows(t or b"") for t in batch.column("text").to_pylist()]
+        y = np.repeat(batch.column("y").to_numpy(), [len(w) for w in own])
+        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array([w for ws in own for w in ws], pa.binary())], names=["y", "w"])
+
+
 def train_on(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityModel | None:
-    """Learns from a bounded sample of labelled rows (SAMPLE), picked by a hash of the id, none of the held-out fifth."""
+    """Learns from a bounded sample of labelled documents (SAMPLE), picked by a hash of the id, none of the held-out fifth.
+
+    Documents of every length take part, on their whole texts; to the driver come at most WINDOWS windows and the sample's
+    features. Labels that are null or have no document count for nothing; of several for one document the largest counts;
+    equal texts count once. None unless both labels occur in both halves of the sample.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
     known = labels.select("doc_id", label).where(~is_held_out()).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max(label).alias("y")).withColumn("y", (F.col("y") != 0).cast("int"))
+    known = known.groupBy("doc_id").agg(F.max(label).alias("y")).select("doc_id", (F.col("y") != 0).cast("int").alias("y"))
+    known = materialize(docs.select("doc_id").distinct().join(known, "doc_id"), "known")
+    number = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows at most
+    if len(number) < 2:
+        return None
     picks = None
     for y, n in ((1, SAMPLE[0]), (0, SAMPLE[1])):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picks = some if picks is None else picks.unionAll(some)
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(picks), "doc_id")  # at most sum(SAMPLE) ids
-    rows = rows.select(F.col("text").cast("binary").alias("text"), "y").toArrow()
-    pairs = sorted(zip(rows.column("text").to_pylist(), rows.column("y").to_pylist()))
-    return train([t for t, _ in pairs], [y for _, y in pairs])
+    rows = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id")  # at most sum(SAMPLE) ids
+    rows = rows.select("y", F.col("text").cast("binary").alias("text")).dropDuplicates(["y", "text"])
+    rows = materialize(rows.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))), "labelled")
+    seen = rows.where("half = 0").select("y", "text").mapInArrow(_window_rows, "y int, w binary")
+    samples = [seen.where(F.col("y") == y).orderBy(F.xxhash64("w"), "w").limit(n).select("w").toArrow().column("w").to_pylist() for y, n in ((1, WINDOWS[0]), (0, WINDOWS[1]))]
+    if not all(samples):
+        return None
+    dicts = dictionaries(*samples)
+
+    def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [features(t or b"", *dicts) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+
+    shares = rows.where("half = 1").select("y", "text").mapInArrow(shown, "y int, x array<double>").orderBy("y", "x").toArrow()
+    discard(rows)
+    discard(known)
+    y = shares.column("y").to_numpy().astype(float)
+    if len(np.unique(y)) < 2:
+        return None
+    return calibrated(np.array(shares.column("x").to_pylist()), y, dicts, number[1] / (number[0] + number[1]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """Every row with toxicity (0 to 1) and toxic (1 if toxicity >= 0.5). Null text counts as empty; no model: 0."""
+    """Every row with toxicity (0 to 1) and toxic (1 if toxicity >= 0.5), on its whole text.
+
+    Null text counts as empty; no model: 0. Repeated rows are scored again; an empty table gives no rows. Columns of the input
+    called toxicity or toxic are replaced, others stay.
+    """
     small_batches(docs.sparkSession)
     own = docs.drop("toxicity", "toxic")
 
