@@ -10,6 +10,7 @@ logistic calibration on labelled documents that the dictionaries have not seen t
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -174,6 +175,8 @@ def train_on(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxici
     samples = [seen.where(F.col("y") == y).orderBy(F.xxhash64("w"), "w").limit(n).select("w").toArrow().column("w").to_pylist() for y, n in ((1, WINDOWS[0]), (0, WINDOWS[1]))]
     if not all(samples):
         return None
+    for own in samples:  # the trainer picks stretch by stretch: sorted windows would leave it little choice
+        random.Random(7).shuffle(own)
     dicts = dictionaries(*samples)
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
