@@ -217,14 +217,26 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.standard_normal((400, 8)))], "vec_id long, embedding array<double>")
     q = df.where("vec_id % 10 = 0")
     whole = nearest.nearest_neighbours(df, q).toPandas()
-    monkeypatch.setattr(nearest, "INDEX_BLOCK", 90)
-    monkeypatch.setattr(nearest, "QUERY_BLOCK", 15)
-    parts = nearest.nearest_neighbours(df, q).toPandas()
-    same = len(set(zip(whole["query_id"], whole["vec_id"])) & set(zip(parts["query_id"], parts["vec_id"])))
-    assert len(whole) == len(parts) == 200 and same >= 180
+    monkeypatch.setattr(nearest, "BLOCK", 40)
+    monkeypatch.setattr(nearest, "QUERIES", 15)
+    for regions in (1024, 3):  # 3: regions of several blocks
+        monkeypatch.setattr(nearest, "REGIONS", regions)
+        parts = nearest.nearest_neighbours(df, q).toPandas()
+        same = len(set(zip(whole["query_id"], whole["vec_id"])) & set(zip(parts["query_id"], parts["vec_id"])))
+        assert len(whole) == len(parts) == 200 and same >= 180
     assert nearest.nearest_neighbours(df, df.where("vec_id < 0")).count() == 0
 
 
+def test_repeated_vectors(spark):
+    """A row that comes twice, asked or not, counts once."""
+    r = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.standard_normal((60, 8)))]
+    once = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    twice = spark.createDataFrame(rows + rows[:30] + [rows[0]], "vec_id long, embedding array<double>")
+    get = lambda df: [tuple(x) for x in nearest.nearest_neighbours(df, df.where("vec_id % 10 = 0")).orderBy("query_id", "rank").collect()]
+    assert get(once) == get(twice)
+
+
 def test_chi_square():
     assert abs(nearest.chi_square_quantile(0.95, 2) - 5.991465) < 1e-5
     assert abs(nearest.chi_square_quantile(0.95, 8) - 15.507313) < 1e-5
