@@ -6,7 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,16 +75,19 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 SALTS = 32  # tasks that a group of any size is dealt over
 
 
-def with_group(rows: DataFrame, keys: list[str], spread: str, facts: list[Column], where: str | None = None) -> DataFrame:
+def with_group(rows: DataFrame, keys: list[str], spread: str, facts: list[Column], where: str | None = None, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows, each with facts of its group (aggregates that combine before the shuffle); groups that fail `where` are left out.
 
     A group's rows are dealt over SALTS parts by a hash of `spread`, and its facts are joined to the parts that it has: there
-    are never more of these than rows, and a hot group is no one task's. Null keys are left out.
+    are never more of these than rows, and a hot group is no one task's. `also` may add columns to the table of groups. Null
+    keys are left out.
     """
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     groups = rows.groupBy(*keys).agg(*facts, F.bit_or(F.expr("shiftleft(1L, _part)")).alias("_parts"))
     if where:
         groups = groups.where(where)
+    if also:
+        groups = also(groups)
     every = ", ".join(str(i) for i in range(SALTS))
     groups = groups.withColumn("_part", F.explode(F.expr(f"filter(array({every}), i -> (shiftright(_parts, i) & 1L) = 1L)"))).drop("_parts")
     return rows.hint("merge").join(groups, [*keys, "_part"]).drop("_part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, with_group
 
 MAX_STEPS = 60  # each step shortens paths by a constant factor; 60 suffice for any table
 
@@ -18,17 +18,16 @@ def _digest(edges: DataFrame) -> tuple:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Every vertex hands its smallest neighbour (or itself) to its larger (large) or not larger (small) neighbours.
 
-    Only a minimum for each vertex is gathered, never its neighbours; the join is one that Spark can split if a vertex is hot.
+    Only a minimum for each vertex is gathered, never its neighbours; a hot vertex's rows are dealt over several tasks.
     """
     if large:
         near = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = near.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    pairs = near.join(low, near["u"] == low["c"])
+    pairs = with_group(near, ["u"], "v", [F.min("v").alias("m")]).withColumn("m", F.least("m", "u"))
     if large:
         return pairs.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    return pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+    return pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(pairs.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,30 +1,34 @@
 """Jaccard self-join of documents on word shingles, with PartEnum signatures.
 
-Sets within a size band differ in at most k features if they are similar enough. The feature domain is dealt into n > k
-partitions; two such sets then agree on at least n - k of them, and share the signature of one. Equal sets are one class
-from the start. The classes of a signature meet under the smallest of them, their hub; those that have one hub are compared
-in blocks, where links already found spare comparing what they join: a large group of copies costs about one comparison
-a member. Bounds from bucket counts go before texts.
+Sets within a size band differ in at most k features if they are similar enough. The feature domain is dealt into first-level
+partitions and each of these into second-level ones. Of two such sets some first-level partitions hold few differences, and
+there all subsets of second-level partitions of one size are enumerated: one of them has no difference, so its features are a
+shared signature. Equal sets are one class from the start, and only one document of each makes signatures. The classes that
+share a signature are first compared with the smallest of them, their hub, which is linear; only in groups that are then still
+of several components are members compared with each other. Bounds from bucket counts go before texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, grouped_batches, materialize, mix, settle, signed, small_batches, sorted_groups, text_bytes, text_chunks, window_hashes, word_hashes
+from .common import discard, grouped_batches, materialize, mix, settle, signed, small_batches, sorted_groups, text_bytes, text_chunks, window_hashes, with_group, word_hashes
 from .components import connected_components
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
-BAND = 1.5  # a band's largest size over its smallest
+BAND = 1.25  # a band's largest size over its smallest
 BASE = 0x9E3779B97F4A7C15
 KEYS = ["hub", "i", "j"]
 BLOCK = 384  # members of a hub in one block; a task compares two blocks
+STAR = 256  # members of a hub that one task compares with it
 
 
 def bands(size: int, num: int = NUM, den: int = DEN, ratio: float = BAND) -> list[tuple[int, int]]:
@@ -43,14 +47,33 @@ def bands(size: int, num: int = NUM, den: int = DEN, ratio: float = BAND) -> lis
         low, band = high + 1, band + 1
 
 
-def partitions(high: int, num: int = NUM, den: int = DEN) -> tuple[int, int]:
-    """(k, n) of a band: the most features in which linked sets of at most `high` differ, and the partitions dealt.
+class Scheme(NamedTuple):
+    """Of n1 first-level partitions at least `sure` hold k2 differences or fewer; each has n2 second-level ones."""
+
+    n1: int
+    n2: int
+    k2: int
+    sure: int
+
+
+def differences(high: int, num: int = NUM, den: int = DEN) -> int:
+    """The most features in which linked sets of at most `high` differ: |A - B| + |B - A| <= (den - num) / (den + num) * (|A| + |B|)."""
+    return (den - num) * 2 * high // (den + num)
+
+
+def scheme(k: int) -> Scheme:
+    """k2 + 1 differences or more are in k // (k2 + 1) first-level partitions at most; some more than these make empty subsets rare."""
+    if k < 4:
+        return Scheme(1, k + 3 if k else 1, k, 1)
+    if k < 12:
+        return Scheme(k // 3 + 1, 5, 2, 1)
+    return Scheme(k // 2 + 3, 3, 1, 3)
 
-    |A - B| + |B - A| <= (den - num) / (den + num) * (|A| + |B|). Three tenths more than k leave over k partitions with features
-    even in the band's smallest sets; empty ones are signatures only of a set with n - k or more of them.
-    """
-    k = (den - num) * 2 * high // (den + num)
-    return k, k + 4 + 3 * k // 10
+
+def single(k: int) -> Scheme:
+    """One level only: subsets are whole partitions, of which more than k are filled even in a band's smallest sets."""
+    n = k + 4 + 3 * k // 10
+    return Scheme(n, 1, 0, n - k)
 
 
 def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
@@ -69,44 +92,47 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray], common: Common | None = None, num: int = NUM, den: int = DEN) -> list[np.ndarray]:
-    """PartEnum signatures of each set: for each band of it, a hash of each partition's features with the band and partition.
+    """PartEnum signatures of each set, for each band of it: hashes of its features in each enumerated subset of partitions.
 
-    Common features may be left out of the domain: without them sets differ in no more features, so linked sets still agree on
-    n - k partitions, and share a signature unless both have n - k empty ones or more. Such sets give the signatures of the
-    whole domain too, and the empty ones if even there as many are empty.
+    Common features may be left out of the domain: without them sets differ in no more features. A signature without features
+    is not given. If less than `sure` first-level partitions of one of two linked sets have such a subset, a signature with
+    features is shared; sets with as many of them also give the signatures of the next domain: the whole one, then the whole one with
+    one level, where those without features are given too.
     """
-    whole = [(i, s, *t) for i, s in enumerate(sets) if len(s) for t in ((band, *partitions(high, num, den)) for band, high in bands(len(s), num, den))]
+    own = [(i, band, differences(high, num, den)) for i, s in enumerate(sets) if len(s) for band, high in bands(len(s), num, den)]
     out: list[list[np.ndarray]] = [[] for _ in sets]
-    if common is not None:
-        rare = common.without(sets)
-        sparse = []
-        for task, sig, own in _cells([(i, rare[i], *t) for i, _, *t in whole], 0):
-            out[task[0]].append(sig[own])
-            sparse.append(len(own) - int(own.sum()) >= task[4] - task[3])
-        whole = [t for t, x in zip(whole, sparse) if x]
-    for task, sig, own in _cells(whole, 1):
-        out[task[0]].append(sig if len(own) - int(own.sum()) >= task[4] - task[3] else sig[own])
+    steps = [(common.without(sets), scheme)] if common is not None else []
+    steps += [(sets, scheme), (sets, single)]
+    for domain, (features, how) in enumerate(steps, 3 - len(steps)):
+        last, left = domain == 2, []
+        for task, sig, filled in _subsets([(i, band, k, features[i], how(k)) for i, band, k in own], domain):
+            sparse = int((~filled).any(1).sum()) >= task[4].sure
+            out[task[0]].append(sig.ravel() if last and sparse else sig[filled])
+            if sparse:
+                left.append(task[:3])
+        own = left
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
-def _cells(tasks: list[tuple], domain: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
-    """For each (set's number, features, band, k, n): its n partitions' hashes, and which have features."""
+def _subsets(tasks: list[tuple], domain: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """For each (set's number, band, k, features, scheme): hashes of its features in each first-level partition (rows) and subset, and which have features."""
     if not tasks:
         return
-    sizes = np.array([len(t[1]) for t in tasks])
-    parts = np.array([t[4] for t in tasks], np.int64)
-    first = np.concatenate([[0], np.cumsum(parts)])
-    features = np.concatenate([t[1] for t in tasks])
+    sizes = np.array([len(t[3]) for t in tasks])
+    n1, n2 = (np.array([getattr(t[4], x) for t in tasks], np.int64) for x in ("n1", "n2"))
+    first = np.concatenate([[0], np.cumsum(n1 * n2)])
+    features = np.concatenate([t[3] for t in tasks])
     spread = mix(features ^ np.uint64(0x5851F42D4C957F2D))
-    cell = ((spread >> np.uint64(20)) % np.repeat(parts, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(first[:-1], sizes)
+    cell = ((spread >> np.uint64(20)) % np.repeat(n1 * n2, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(first[:-1], sizes)
     part = np.uint64(0x3FFFFFF)  # sums of 26 bits are exact in doubles
-    low, high, more = (np.bincount(cell, (x & part).astype(np.float64), first[-1]).astype(np.uint64) for x in (spread, mix(spread), features >> np.uint64(7)))
-    filled = np.bincount(cell, minlength=first[-1]) > 0
-    place = np.arange(first[-1], dtype=np.uint64) - np.repeat(first[:-1], parts).astype(np.uint64)
-    band = np.repeat(np.array([t[2] * 2 + domain for t in tasks], np.uint64), parts)
-    sig = mix(low + mix(high + mix(more + mix(band << np.uint64(32) | place))))
+    sums = [np.bincount(cell, (x & part).astype(np.float64), first[-1]) for x in (spread, mix(spread), features >> np.uint64(7))]
+    sums.append(np.bincount(cell, minlength=first[-1]).astype(np.float64))
     for j, task in enumerate(tasks):
-        yield task, sig[first[j] : first[j + 1]], filled[first[j] : first[j + 1]]
+        n = task[4]
+        chosen = np.array(list(combinations(range(n.n2), n.n2 - n.k2)), np.int64)
+        low, high, more, count = (x[first[j] : first[j + 1]].reshape(n.n1, n.n2)[:, chosen].sum(2) for x in sums)
+        place = np.arange(low.size, dtype=np.uint64).reshape(low.shape) | np.uint64(task[1] * 4 + domain) << np.uint64(32)
+        yield task, mix(low.astype(np.uint64) + mix(high.astype(np.uint64) + mix(more.astype(np.uint64) + mix(place)))), count > 0
 
 
 class Common:
@@ -130,13 +156,13 @@ class Common:
         return [f[k] for f, k in zip(np.split(flat, cuts), np.split(keep, cuts))]
 
 
-SAMPLE, OFTEN = 8000, 5
+SAMPLE, OFTEN, COMMON = 8000, 5, 1 << 19
 
 
 def common_features(docs: DataFrame) -> Common:
     """Shingles of at least OFTEN different sets in a sample of about SAMPLE documents.
 
-    They only steer which features make signatures: any choice gives the same links. At most the sample's shingles / OFTEN.
+    They only steer which features make signatures: any choice gives the same links. The COMMON most frequent ones at most.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +172,7 @@ def common_features(docs: DataFrame) -> Common:
 
     n = max(1, docs.count())
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < SAMPLE)
-    often = part.mapInArrow(rows, "set_id long, f array<long>").dropDuplicates(["set_id"]).select(F.explode("f").alias("f")).groupBy("f").count().where(F.col("count") >= OFTEN).select("f")
+    often = part.mapInArrow(rows, "set_id long, f array<long>").dropDuplicates(["set_id"]).select(F.explode("f").alias("f")).groupBy("f").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "f").limit(COMMON).select("f")
     return Common(often.toArrow().column("f").to_numpy().view(np.uint64))
 
 
@@ -209,12 +235,60 @@ def linked(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool
 
 def _in_blocks(members: DataFrame) -> DataFrame:
     """(hub, ..., block, i, j) of members (hub, ...): each once for every pair of blocks of its hub that has its own."""
-    n = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    rows = members.join(n, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = with_group(members, ["hub"], "rep", [F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
 
 
+def possible_rows(n: np.ndarray, counts: list[bytes], hub_n: np.ndarray, hub_counts: list[bytes], num: int = NUM, den: int = DEN) -> np.ndarray:
+    """possible() of each row's two sets."""
+    out = (np.minimum(n, hub_n) * den >= np.maximum(n, hub_n) * num) & (np.minimum(n, hub_n) > 0)
+    width, hub_width = np.array([len(c) for c in counts]), np.array([len(c) for c in hub_counts])
+    for w, v in np.unique(np.stack([width[out], hub_width[out]], 1), axis=0).tolist():
+        own = np.flatnonzero(out & (width == w) & (hub_width == v))
+        a, b = (np.frombuffer(b"".join([x[i] for i in own.tolist()]), np.uint8).reshape(len(own), -1).astype(np.int32) for x in (counts, hub_counts))
+        cut = (w != v) & ((a.max(1, initial=0) == 255) | (b.max(1, initial=0) == 255))
+        least = min(w, v)
+        differ = np.abs(a.reshape(len(own), least, -1).sum(2) - b.reshape(len(own), least, -1).sum(2)).sum(1)
+        out[own] = cut | (differ * (den + num) <= (n[own] + hub_n[own]) * (den - num))
+    return out
+
+
+def _beside_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members and hubs that may be linked."""
+    for b in batches:
+        maybe = possible_rows(b.column("n").to_numpy(), b.column("counts").to_pylist(), b.column("hub_n").to_numpy(), b.column("hub_counts").to_pylist())
+        yield b.filter(pa.array(maybe)).select(["hub_rep", "rep"])
+
+
+def _star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each hub with the members beside it; the hub's row comes first."""
+    for group in grouped_batches(batches, ["hub", "part"]):
+        sets = shingle_sets([t or b"" for t in text_bytes(group.column("text"))])
+        ids, first = group.column("rep").to_pylist(), group.column("first").to_pylist()
+        if first[0]:
+            out = [(ids[0], i) for i, s, f in zip(ids, sets, first) if not f and linked(sets[0], s)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+
+def _compare_with_hubs(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between the members and the hub of each (hub, set_id): first by bounds, then by texts."""
+    hub = classes.select(F.col("set_id").alias("hub"), F.col("rep").alias("hub_rep"), F.col("n").alias("hub_n"), F.col("counts").alias("hub_counts"))
+    rows = with_group(pairs, ["hub"], "set_id", [], also=lambda groups: groups.join(hub, "hub"))
+    rows = rows.join(classes, "set_id").select("hub_rep", "rep", "n", "counts", "hub_n", "hub_counts")
+    left = materialize(rows.mapInArrow(_beside_hub, "hub_rep long, rep long").distinct(), "beside")
+    settle(docs.sparkSession)
+    left = with_group(left, ["hub_rep"], "rep", [F.ceil(F.count("*") / STAR).cast("long").alias("parts")]).select(F.col("hub_rep").alias("hub"), F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), "rep")
+    rows = left.select("*", F.lit(False).alias("first")).unionAll(left.select("hub", "part", F.col("hub").alias("rep"), F.lit(True).alias("first")).distinct())
+    # a merge join at every size: what is left grows with the documents
+    rows = rows.join(docs.hint("merge"), F.col("rep") == F.col("doc_id")).select("hub", "part", "first", "rep", "text")
+    rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("first"))
+    links = materialize(rows.mapInArrow(_star_links, "a long, b long"), "links")
+    settle(docs.sparkSession)
+    return links
+
+
 def _apart(group: pa.Table, maybe: np.ndarray) -> np.ndarray:
     """Only pairs of different components; of two different blocks, only pairs across."""
     comp = group.column("comp").to_numpy()
@@ -250,14 +324,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(sets: DataFrame) -> DataFrame:
-    """(sig, hub, set_id) of every signature that two different sets or more share; hub is the smallest, and not a row itself.
+    """(hub, set_id) of all sets that share a signature with a smaller one; hub is the smallest that has it.
 
-    The window streams over sorted rows and keeps none; copies of a set fall together there.
+    The window streams over sorted rows and keeps none.
     """
-    w = Window.partitionBy("sig").orderBy("set_id")
-    rows = sets.select(F.explode("sigs").alias("sig"), "set_id")
-    rows = rows.withColumns({"was": F.lag("set_id").over(w), "hub": F.min("set_id").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
-    return rows.where("set_id <> hub and set_id <> was").select("sig", "hub", "set_id")
+    w = Window.partitionBy("sig").orderBy("set_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = sets.select(F.explode("sigs").alias("sig"), "set_id").withColumn("hub", F.min("set_id").over(w))
+    return rows.where("set_id <> hub").select("hub", "set_id").distinct()
 
 
 def _with_hubs(pairs: DataFrame) -> DataFrame:
@@ -288,27 +361,28 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    common = common_features(docs)
-    sets = materialize(docs.mapInArrow(lambda batches: _set_rows(batches, common), SETS), "sets")
+    common = spark.sparkContext.broadcast(common_features(docs))  # at most COMMON numbers
+    sets = materialize(docs.mapInArrow(lambda batches: _set_rows(batches, common.value), SETS), "sets")
     facts = materialize(sets.drop("sigs"), "facts")
-    shared = materialize(_groups(sets.where("n_shingles > 0")), "groups")
-    discard(sets)
-    settle(spark)
     # equal sets are one class, shown by its smallest document
     classes = facts.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
     classes = materialize(classes, "classes")
-    pairs = materialize(shared.groupBy("hub", "set_id").agg(F.count("*").alias("n")), "pairs")
-    discard(shared)
+    only = sets.where("n_shingles > 0").select("doc_id", "set_id", "sigs").join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    pairs = materialize(_groups(only), "pairs")
+    discard(sets)
     settle(spark)
-    # first, each set beside the one hub with which it shares the most signatures
-    best = pairs.groupBy("set_id").agg(F.max(F.struct("n", "hub")).getField("hub").alias("hub")).select("hub", "set_id")
-    known = classes.withColumn("comp", F.col("rep"))
-    links = _compare(_with_hubs(best), known, docs)
-    # then beside all its hubs, where these links leave components apart
+    links = _compare_with_hubs(pairs, classes, docs)
     nodes = materialize(connected_components(links, "a", "b"), "nodes")
-    known = materialize(classes.join(nodes, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component_id", "rep")).drop("node", "component_id"), "known")
-    members = _with_hubs(pairs.select("hub", "set_id"))
-    links = links.unionAll(_compare(members, known, docs))
-    nodes = connected_components(links, "a", "b")
+    known = classes.join(nodes, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component_id", "rep")).drop("node", "component_id")
+    known = materialize(known, "known")
+    # then members of one hub that are still in different components
+    members = _with_hubs(pairs).join(known.select("set_id", "comp"), "set_id")
+    members = with_group(members, ["hub"], "set_id", [F.min("comp").alias("lo"), F.max("comp").alias("hi")], "lo < hi").select("hub", "set_id")
+    more = _compare(members, known, docs)
+    nodes = connected_components(links.unionAll(more), "a", "b")
     named = classes.join(nodes, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component_id", "rep").alias("comp"))
-    return facts.join(named, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = with_group(facts.where("n_shingles > 0").select("doc_id", "n_shingles", "set_id"), ["set_id"], "doc_id", [], also=lambda groups: groups.join(named, "set_id"))
+    out = out.select("doc_id", "n_shingles", F.col("comp").alias("component_id")).unionAll(facts.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    for table in (pairs, known):
+        discard(table)
+    return out
