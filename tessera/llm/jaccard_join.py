@@ -24,7 +24,7 @@ from .components import connected_components
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
-BAND = 1.25  # a band's largest size over its smallest
+BAND = 1.5  # a band's largest size over its smallest
 BASE = 0x9E3779B97F4A7C15
 KEYS = ["hub", "i", "j"]
 BLOCK = 384  # members of a hub in one block; a task compares two blocks
@@ -67,7 +67,8 @@ def scheme(k: int) -> Scheme:
         return Scheme(1, k + 3 if k else 1, k, 1)
     if k < 12:
         return Scheme(k // 3 + 1, 5, 2, 1)
-    return Scheme(k // 2 + 3, 3, 1, 3)
+    more = max(2, k // 24)
+    return Scheme(k // 2 + 1 + more, 3, 1, 1 + more)
 
 
 def single(k: int) -> Scheme:
@@ -91,30 +92,27 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray], common: Common | None = None, num: int = NUM, den: int = DEN) -> list[np.ndarray]:
+def signatures(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[np.ndarray]:
     """PartEnum signatures of each set, for each band of it: hashes of its features in each enumerated subset of partitions.
 
-    Common features may be left out of the domain: without them sets differ in no more features. A signature without features
-    is not given. If less than `sure` first-level partitions of one of two linked sets have such a subset, a signature with
-    features is shared; sets with as many of them also give the signatures of the next domain: the whole one, then the whole one with
-    one level, where those without features are given too.
+    A subset without features gives none. If less than `sure` first-level partitions of one of two linked sets have such a
+    subset, a signature with features is shared; sets with as many of them (few, small ones mostly) also give signatures of one
+    level, where, of those with as many empty partitions again, empty ones count too.
     """
     own = [(i, band, differences(high, num, den)) for i, s in enumerate(sets) if len(s) for band, high in bands(len(s), num, den)]
     out: list[list[np.ndarray]] = [[] for _ in sets]
-    steps = [(common.without(sets), scheme)] if common is not None else []
-    steps += [(sets, scheme), (sets, single)]
-    for domain, (features, how) in enumerate(steps, 3 - len(steps)):
-        last, left = domain == 2, []
-        for task, sig, filled in _subsets([(i, band, k, features[i], how(k)) for i, band, k in own], domain):
+    for level, how in enumerate((scheme, single)):
+        left = []
+        for task, sig, filled in _subsets([(i, band, k, sets[i], how(k)) for i, band, k in own], level):
             sparse = int((~filled).any(1).sum()) >= task[4].sure
-            out[task[0]].append(sig.ravel() if last and sparse else sig[filled])
+            out[task[0]].append(sig.ravel() if level and sparse else sig[filled])
             if sparse:
                 left.append(task[:3])
         own = left
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
-def _subsets(tasks: list[tuple], domain: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+def _subsets(tasks: list[tuple], level: int) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
     """For each (set's number, band, k, features, scheme): hashes of its features in each first-level partition (rows) and subset, and which have features."""
     if not tasks:
         return
@@ -131,51 +129,10 @@ def _subsets(tasks: list[tuple], domain: int) -> Iterator[tuple[tuple, np.ndarra
         n = task[4]
         chosen = np.array(list(combinations(range(n.n2), n.n2 - n.k2)), np.int64)
         low, high, more, count = (x[first[j] : first[j + 1]].reshape(n.n1, n.n2)[:, chosen].sum(2) for x in sums)
-        place = np.arange(low.size, dtype=np.uint64).reshape(low.shape) | np.uint64(task[1] * 4 + domain) << np.uint64(32)
+        place = np.arange(low.size, dtype=np.uint64).reshape(low.shape) | np.uint64(task[1] * 2 + level) << np.uint64(32)
         yield task, mix(low.astype(np.uint64) + mix(high.astype(np.uint64) + mix(more.astype(np.uint64) + mix(place)))), count > 0
 
 
-class Common:
-    """Features that many sets have, as a sorted array; most others fail a bitmap first."""
-
-    BITS = 22
-
-    def __init__(self, features: np.ndarray):
-        self.features = np.sort(features)
-        self.bitmap = np.zeros(1 << self.BITS, bool)
-        self.bitmap[(self.features >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-
-    def without(self, sets: list[np.ndarray]) -> list[np.ndarray]:
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        keep = np.ones(len(flat), bool)
-        maybe = np.flatnonzero(self.bitmap[(flat >> np.uint64(64 - self.BITS)).astype(np.int64)])
-        if len(maybe) and len(self.features):
-            at = np.minimum(np.searchsorted(self.features, flat[maybe]), len(self.features) - 1)
-            keep[maybe[self.features[at] == flat[maybe]]] = False
-        cuts = np.cumsum([len(s) for s in sets])[:-1]
-        return [f[k] for f, k in zip(np.split(flat, cuts), np.split(keep, cuts))]
-
-
-SAMPLE, OFTEN, COMMON = 8000, 5, 1 << 19
-
-
-def common_features(docs: DataFrame) -> Common:
-    """Shingles of at least OFTEN different sets in a sample of about SAMPLE documents.
-
-    They only steer which features make signatures: any choice gives the same links. The COMMON most frequent ones at most.
-    """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_chunks(batches):
-            sets = shingle_sets(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(_set_ids(sets), pa.int64()), _lists([signed(x) for x in sets], np.int64)], names=["set_id", "f"])
-
-    n = max(1, docs.count())
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < SAMPLE)
-    often = part.mapInArrow(rows, "set_id long, f array<long>").dropDuplicates(["set_id"]).select(F.explode("f").alias("f")).groupBy("f").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "f").limit(COMMON).select("f")
-    return Common(often.toArrow().column("f").to_numpy().view(np.uint64))
-
-
 def _set_ids(sets: list[np.ndarray]) -> list[int]:
     return [int(mix(mix(s).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(s))).view(np.int64)[0]) for s in sets]
 
@@ -211,7 +168,7 @@ def possible(sizes: np.ndarray, counts: list[bytes], num: int = NUM, den: int =
     return out
 
 
-SETS = "doc_id long, n_shingles long, set_id long, counts binary, sigs array<long>"
+SETS = "doc_id long, n_shingles long, set_id long, counts binary"
 
 
 def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
@@ -219,15 +176,20 @@ def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(kind, copy=False)))
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch], common: Common | None = None) -> Iterator[pa.RecordBatch]:
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in text_chunks(batches):
         sets = shingle_sets(texts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(_set_ids(sets), pa.int64()), pa.array([bucket_counts(s) for s in sets], pa.binary()), _lists([signed(x) for x in signatures(sets, common)], np.int64)],
+            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(_set_ids(sets), pa.int64()), pa.array([bucket_counts(s) for s in sets], pa.binary())],
             names=[c.split()[0] for c in SETS.split(", ")],
         )
 
 
+def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts in text_chunks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists([signed(x) for x in signatures(shingle_sets(texts))], np.int64)], names=["rep", "sigs"])
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return bool(len(a) and len(b)) and den * both >= num * (len(a) + len(b) - both)
@@ -273,10 +235,10 @@ def _star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare_with_hubs(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between the members and the hub of each (hub, set_id): first by bounds, then by texts."""
-    hub = classes.select(F.col("set_id").alias("hub"), F.col("rep").alias("hub_rep"), F.col("n").alias("hub_n"), F.col("counts").alias("hub_counts"))
-    rows = with_group(pairs, ["hub"], "set_id", [], also=lambda groups: groups.join(hub, "hub"))
-    rows = rows.join(classes, "set_id").select("hub_rep", "rep", "n", "counts", "hub_n", "hub_counts")
+    """Links (a, b) between the members and the hub of each (hub, rep): first by bounds, then by texts."""
+    hub = classes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("counts").alias("hub_counts"))
+    rows = with_group(pairs, ["hub"], "rep", [], also=lambda groups: groups.join(hub, "hub"))
+    rows = rows.join(classes, "rep").select(F.col("hub").alias("hub_rep"), "rep", "n", "counts", "hub_n", "hub_counts")
     left = materialize(rows.mapInArrow(_beside_hub, "hub_rep long, rep long").distinct(), "beside")
     settle(docs.sparkSession)
     left = with_group(left, ["hub_rep"], "rep", [F.ceil(F.count("*") / STAR).cast("long").alias("parts")]).select(F.col("hub_rep").alias("hub"), F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), "rep")
@@ -323,23 +285,19 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
 
-def _groups(sets: DataFrame) -> DataFrame:
-    """(hub, set_id) of all sets that share a signature with a smaller one; hub is the smallest that has it.
+def _groups(signed_: DataFrame) -> DataFrame:
+    """(hub, rep) of all sets, by their document, that share a signature with a smaller one; hub is the smallest that has it.
 
     The window streams over sorted rows and keeps none.
     """
-    w = Window.partitionBy("sig").orderBy("set_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = sets.select(F.explode("sigs").alias("sig"), "set_id").withColumn("hub", F.min("set_id").over(w))
-    return rows.where("set_id <> hub").select("hub", "set_id").distinct()
-
-
-def _with_hubs(pairs: DataFrame) -> DataFrame:
-    return pairs.unionAll(pairs.select("hub", F.col("hub").alias("set_id")).distinct())
+    w = Window.partitionBy("sig").orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = signed_.select(F.explode("sigs").alias("sig"), "rep").withColumn("hub", F.min("rep").over(w))
+    return rows.where("rep <> hub").select("hub", "rep").distinct()
 
 
 def _compare(members: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between members (hub, set_id) of a hub that are in different components as known: first by bounds, then by texts."""
-    rows = _in_blocks(members.join(known, "set_id").select("hub", "rep", "comp", "n", "counts"))
+    """Links (a, b) between members (hub, rep) of a hub that are in different components as known: first by bounds, then by texts."""
+    rows = _in_blocks(members.join(known, "rep").select("hub", "rep", "comp", "n", "counts"))
     left = sorted_groups(rows, KEYS).mapInArrow(_candidates, "hub long, rep long, comp long").distinct()
     left = materialize(left, "left")
     settle(docs.sparkSession)
@@ -361,27 +319,25 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    common = spark.sparkContext.broadcast(common_features(docs))  # at most COMMON numbers
-    sets = materialize(docs.mapInArrow(lambda batches: _set_rows(batches, common.value), SETS), "sets")
-    facts = materialize(sets.drop("sigs"), "facts")
+    facts = materialize(docs.mapInArrow(_set_rows, SETS), "facts")
     # equal sets are one class, shown by its smallest document
     classes = facts.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
     classes = materialize(classes, "classes")
-    only = sets.where("n_shingles > 0").select("doc_id", "set_id", "sigs").join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    pairs = materialize(_groups(only), "pairs")
-    discard(sets)
+    named = classes.select("rep", "n", "counts").where("rep is not null")
+    shown = docs.hint("merge").join(named.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    pairs = materialize(_groups(shown.mapInArrow(_signed_rows, "rep long, sigs array<long>")), "pairs")
     settle(spark)
-    links = _compare_with_hubs(pairs, classes, docs)
+    links = _compare_with_hubs(pairs, named, docs)
     nodes = materialize(connected_components(links, "a", "b"), "nodes")
-    known = classes.join(nodes, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component_id", "rep")).drop("node", "component_id")
+    known = named.join(nodes, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component_id", "rep")).drop("node", "component_id")
     known = materialize(known, "known")
     # then members of one hub that are still in different components
-    members = _with_hubs(pairs).join(known.select("set_id", "comp"), "set_id")
-    members = with_group(members, ["hub"], "set_id", [F.min("comp").alias("lo"), F.max("comp").alias("hi")], "lo < hi").select("hub", "set_id")
+    members = pairs.unionAll(pairs.select("hub", F.col("hub").alias("rep")).distinct()).join(known.select("rep", "comp"), "rep")
+    members = with_group(members, ["hub"], "rep", [F.min("comp").alias("lo"), F.max("comp").alias("hi")], "lo < hi").select("hub", "rep")
     more = _compare(members, known, docs)
     nodes = connected_components(links.unionAll(more), "a", "b")
-    named = classes.join(nodes, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component_id", "rep").alias("comp"))
-    out = with_group(facts.where("n_shingles > 0").select("doc_id", "n_shingles", "set_id"), ["set_id"], "doc_id", [], also=lambda groups: groups.join(named, "set_id"))
+    comps = classes.join(nodes, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component_id", "rep").alias("comp"))
+    out = with_group(facts.where("n_shingles > 0").select("doc_id", "n_shingles", "set_id"), ["set_id"], "doc_id", [], also=lambda groups: groups.join(comps, "set_id"))
     out = out.select("doc_id", "n_shingles", F.col("comp").alias("component_id")).unionAll(facts.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     for table in (pairs, known):
         discard(table)
