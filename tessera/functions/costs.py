@@ -22,6 +22,7 @@ class MatchParams:
     lambda_join: float = 0.70
     lambda_duration: float = 0.12
     lambda_balance: float = 0.0
+    balance_iters: int = 1
     jump_norm_s: float = 2.0
     hop_s: float = 0.22
     per_song_k: int = 4

@@ -110,11 +110,9 @@ def described(tracks: DataFrame, window: float = 0.45, hop: float = 0.22, variab
             return []
         starts = track_starts(y, sr, hop, window)
         ends = np.minimum(np.append(starts[1:] + min(0.08, 0.3 * hop), starts[-1] + window) if variable else starts + window, len(y) / sr)
-        out = []
-        for i, d in enumerate(k.describe(y, sr, np.stack([starts, ends], 1))):
-            part = y[int(round(d["start_s"] * sr)) : int(round(d["end_s"] * sr))]
-            out.append({**d, "song_id": row["song_id"], "segment_idx": i, "head": k.edge_vector(part, sr, "head"), "tail": k.edge_vector(part, sr, "tail")})
-        return out
+        found = list(k.describe(y, sr, np.stack([starts, ends], 1)))
+        edges = k.edge_vectors([y[int(round(d["start_s"] * sr)) : int(round(d["end_s"] * sr))] for d in found], sr)
+        return [{**d, "song_id": row["song_id"], "segment_idx": i, "head": head, "tail": tail} for i, (d, head, tail) in enumerate(zip(found, *edges))]
 
     return _rows(tracks, one, DESCRIBED)
 

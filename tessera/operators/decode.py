@@ -111,9 +111,8 @@ def clip_ids(sources: DataFrame) -> DataFrame:
 
 def missing_songs(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Songs of the sources that a target does not use."""
-    songs = [r["song_id"] for r in sources.select("song_id").distinct().collect()]  # a fixed handful
-    grid = rows.select("target").distinct().select("target", F.explode(F.array(*[F.lit(s) for s in songs])).alias("song_id"))
-    return grid.exceptAll(rows.select("target", "song_id").distinct())
+    songs = sources.agg(F.collect_set("song_id")).scalar()
+    return rows.groupBy("target").agg(F.collect_set("song_id").alias("used")).select("target", F.explode(F.array_except(songs, "used")).alias("song_id"))
 
 
 def tiles(path: DataFrame, beam: DataFrame) -> DataFrame:
@@ -135,13 +134,13 @@ def transitions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("c", changed).groupBy("target").agg(F.sum(F.coalesce(F.col("c").cast("long"), F.lit(0))).alias("transitions"))
 
 
-def balanced_path(beam: DataFrame, targets: DataFrame, sources: DataFrame, p: MatchParams = MatchParams(), passes: int = 3) -> DataFrame:
-    """The cheapest path, decoded again with a cost on songs above their share: replaced, not added, at every pass."""
+def balanced_path(beam: DataFrame, targets: DataFrame, sources: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
+    """The cheapest path, decoded p.balance_iters times if balance counts, each time with a cost on songs above their share: replaced, not added, at every pass."""
     steps = step_costs(beam, targets, sources, p)
     songs = max(1, sources.select("song_id").distinct().count())
-    limit = min(p.max_share, 1.0 / songs)
+    limit = min(p.max_share, 1.0 / songs) if p.max_share > 0 else 1.0 / songs
     bias, path = None, None
-    for n in range(max(1, passes if p.lambda_balance > 0 else 1)):
+    for n in range(max(1, p.balance_iters if p.lambda_balance > 0 else 1)):
         path = cheapest_path(local_costs(beam, targets, sources, p, bias).select("target", "t", "j", "local"), steps)
         over = F.greatest(F.lit(0.0), F.col("share") - limit)
         bias = song_shares(path.join(beam, ["target", "t", "j"])).select("target", "song_id", (p.lambda_balance * F.pow(over, 1.25) * (1 + 0.55 * n)).alias("bias"))
@@ -262,35 +261,33 @@ def enforce_min_runs(rows: DataFrame, sources: DataFrame, min_run: int, hop_s: f
     Runs are those of the input; what earlier ones did counts for shares and positions.
     """
 
+    names = [c.split()[0] for c in TILES.split(", ")]
+
     def absorb(tile: pd.DataFrame, clips: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values("t").reset_index(drop=True)
-        n = len(tile)
-        if min_run <= 1 or n < min_run:
-            return tile[[c.split()[0] for c in TILES.split(", ")]]
-        limit = max(1, math.floor(max_share * n)) if max_share > 0 else n
-        songs = tile["song_id"].to_numpy()
-        cuts = [0, *(np.flatnonzero(songs[1:] != songs[:-1]) + 1).tolist(), n]
-        spans = list(zip(cuts, cuts[1:]))
-        count = Counter(songs.tolist())
-        for r, (a, b) in enumerate(spans):
-            if b - a >= min_run or len(spans) == 1:
+        tile = tile.sort_values("t")[names]
+        col = {c: tile[c].to_numpy().copy() for c in ("source_id", "song_id", "start_s", "score", "key_shift")}
+        song, place = tile["song_id"].to_numpy(), np.arange(len(tile))
+        limit = max(1, math.floor(max_share * len(tile))) if max_share > 0 else len(tile)
+        number = np.cumsum(np.append(False, song[1:] != song[:-1]))
+        stretch = [place[number == r] for r in range(number[-1] + 1)] if min_run > 1 and len(tile) >= min_run else []
+        for r, own in enumerate(stretch):
+            sides = [(len(stretch[i]), stretch[i]) for i in (r - 1, r + 1) if 0 <= i < len(stretch)]
+            if len(own) >= min_run or not sides:
                 continue
-            left, right = (spans[r - 1] if r else None), (spans[r + 1] if r + 1 < len(spans) else None)
-            from_left = right is None or (left is not None and left[1] - left[0] >= right[1] - right[0])
-            taker = songs[left[0]] if from_left else songs[right[0]]
-            own = clips[clips["song_id"] == taker].sort_values(["start_s", "source_id"])
-            if count[taker] + b - a > limit or own.empty:
+            longest = max(sides, key=lambda x: x[0])[1]  # the left one of equal ones
+            taker = song[longest[0]]
+            clip = clips[clips["song_id"] == taker].sort_values(["start_s", "source_id"])
+            if (col["song_id"] == taker).sum() + len(own) > limit or clip.empty:
                 continue
-            beside = left[1] - 1 if from_left else right[0]
-            begin = tile.at[beside, "start_s"] + (hop_s if from_left else -hop_s * (b - a))
-            key = tile.at[beside, "key_shift"]
-            for i in range(a, b):
-                c = own.iloc[int((own["start_s"] - (begin + (i - a) * hop_s)).abs().to_numpy().argmin())]
-                count[tile.at[i, "song_id"]] -= 1
-                count[taker] += 1
-                tile.loc[i, ["source_id", "song_id", "start_s", "key_shift"]] = [c["source_id"], taker, c["start_s"], key]
-                tile.at[i, "score"] *= 0.98
-        return tile[[c.split()[0] for c in TILES.split(", ")]].astype({"source_id": "int64", "key_shift": "int32", "start_s": "float64"})
+            # on from the left neighbour where it is of that song, else up to the right one
+            left = r > 0 and song[stretch[r - 1][0]] == taker
+            beside = own[0] - 1 if left else own[-1] + 1
+            wanted = col["start_s"][beside] + hop_s * (np.arange(len(own)) + 1 if left else np.arange(len(own)) - len(own))
+            nearest = np.abs(clip["start_s"].to_numpy() - wanted[:, None]).argmin(1)
+            col["source_id"][own], col["start_s"][own] = clip["source_id"].to_numpy()[nearest], clip["start_s"].to_numpy()[nearest]
+            col["song_id"][own], col["key_shift"][own] = taker, col["key_shift"][beside]
+            col["score"][own] *= 0.98
+        return tile.assign(**col).astype({"source_id": "int64", "key_shift": "int32", "start_s": "float64"})
 
     clips = sources.select("song_id", "source_id", "start_s")
     starts = clips.select("source_id", F.col("start_s").alias("s"))

@@ -12,7 +12,7 @@ from ..functions.costs import MatchParams
 from . import decode, search
 
 # Allowed ranges of options.
-RANGES = {"top_k": (1, 100), "lambda_switch": (0, 5), "lambda_jump": (0, 5), "lambda_self": (0, 5), "lambda_concat": (0, 5), "lambda_join": (0, 5), "lambda_duration": (0, 5), "lambda_balance": (0, 10), "jump_norm_s": (0.01, 60), "hop_s": (0.02, 10), "per_song_k": (1, 100), "max_share": (0, 1), "min_run": (1, 64), "n_layers": (1, 8), "layer_primary_weight": (0, 1)}
+RANGES = {"top_k": (1, 100), "lambda_switch": (0, 5), "lambda_jump": (0, 5), "lambda_self": (0, 5), "lambda_concat": (0, 5), "lambda_join": (0, 5), "lambda_duration": (0, 5), "lambda_balance": (0, 10), "balance_iters": (1, 8), "jump_norm_s": (0.01, 60), "hop_s": (0.02, 10), "per_song_k": (1, 100), "max_share": (0, 1), "min_run": (1, 64), "n_layers": (1, 8), "layer_primary_weight": (0, 1)}
 
 
 def checked(p: MatchParams, window_s: float | None = None) -> MatchParams:
@@ -34,17 +34,18 @@ class Mosaic(NamedTuple):
 
 
 def match_sequence(targets: DataFrame, sources: DataFrame, p: MatchParams = MatchParams(), weights: search.Weights = search.Weights()) -> Mosaic:
-    """Each target row's source and layers. Diverse beams where likeness is not all; quotas hold before and after runs are absorbed."""
+    """Each target row's source and layers. Diverse beams where likeness is not all; there quotas hold before and after runs are absorbed."""
     checked(p)
+    quotas = not p.fidelity_first and p.max_share < 1
     beam = search.beam_topk(targets, sources, p.top_k, weights) if p.fidelity_first else search.beam_diverse(targets, sources, p.top_k, p.per_song_k, weights)
     path = decode.balanced_path(beam, targets, sources, p)
     starts = sources.select("source_id", "start_s")
     rows = path.drop("cost").join(beam, ["target", "t", "j"]).join(starts, "source_id").select(*[c.split()[0] for c in decode.TILES.split(", ")])
-    if p.max_share < 1:
+    if quotas:
         rows = decode.enforce_max_share(rows, beam, sources, p.max_share)
     if p.min_run > 1:
         rows = decode.enforce_min_runs(rows, sources, p.min_run, p.hop_s, p.max_share)
-        if p.max_share < 1:
+        if quotas:
             rows = decode.enforce_max_share(rows, beam, sources, p.max_share)
     layers = decode.layers(rows, beam, targets, sources, p)
     greedy = decode.transitions(beam.where("j = 1")).withColumnRenamed("transitions", "greedy_transitions")

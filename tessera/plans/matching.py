@@ -246,12 +246,13 @@ def contribution_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.contributions(_layers(spark, sf_dir), catalog.SOURCES)
 
 
-@query("residual_fill", f"WITH {DESC}, p AS (SELECT t.song_id AS target, t.segment_idx AS t, [greatest(0.0, t.chroma[i] - a.chroma[i]) FOR i IN range(1, 13)] AS miss, b.chroma FROM tgt t JOIN src a ON a.song_id = 'A' AND a.segment_idx = t.segment_idx JOIN src b ON b.song_id = 'B' AND b.segment_idx = t.segment_idx) SELECT target, t, round(CASE WHEN sqrt(list_sum([x * x FOR x IN miss])) < 1e-6 THEN 0 ELSE list_inner_product(miss, chroma) / sqrt(list_sum([x * x FOR x IN miss])) END, 6) AS fill FROM p")
+@query("residual_fill", f"WITH {DESC}, p AS (SELECT t.song_id AS target, t.segment_idx AS t, a.song_id AS a, b.song_id AS b, [greatest(0.0, t.chroma[i] - a.chroma[i]) FOR i IN range(1, 13)] AS miss, b.chroma FROM tgt t JOIN src a ON a.segment_idx = t.segment_idx JOIN src b ON b.song_id > a.song_id AND b.segment_idx = t.segment_idx) SELECT target, t, a, b, round(CASE WHEN sqrt(list_sum([x * x FOR x IN miss])) < 1e-6 THEN 0 ELSE list_inner_product(miss, chroma) / sqrt(list_sum([x * x FOR x IN miss])) END, 6) AS fill FROM p")
 def residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, s = _sides(spark, sf_dir)
-    a = s.where("song_id = 'A'").select("segment_idx", F.col("chroma").alias("a"))
-    b = s.where("song_id = 'B'").select("segment_idx", F.col("chroma").alias("b"))
-    return t.join(a, "segment_idx").join(b, "segment_idx").select(F.col("song_id").alias("target"), F.col("segment_idx").alias("t"), F.round(residual_fill("chroma", "a", "b"), 6).alias("fill"))
+    a = s.select("segment_idx", F.col("song_id").alias("a"), F.col("chroma").alias("first"))
+    b = s.select("segment_idx", F.col("song_id").alias("b"), F.col("chroma").alias("second"))
+    rows = t.join(a, "segment_idx").join(b, "segment_idx").where("b > a")
+    return rows.select(F.col("song_id").alias("target"), F.col("segment_idx").alias("t"), "a", "b", F.round(residual_fill("chroma", "first", "second"), 6).alias("fill"))
 
 
 @query("shift_policy", f"WITH {BEAM4}, s AS (SELECT target, t, j, key_shift * 3 - 12 AS s FROM beam), f AS (SELECT *, s - 12 * CASE WHEN s > 6 THEN ceil((s - 6) / 12) WHEN s < -6 THEN -ceil((-6 - s) / 12) ELSE 0 END AS f FROM s) SELECT target, t, j, CAST(f AS DOUBLE) AS folded, CASE WHEN abs(f) >= 1.5 THEN CAST(0 AS DOUBLE) ELSE CAST(least(greatest(f, CAST(-0.35 AS DOUBLE)), CAST(0.35 AS DOUBLE)) AS DOUBLE) END AS drums FROM f")
@@ -352,7 +353,7 @@ def nmf_learn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def balanced_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares after decoding with a cost on over-used songs; iterative, checked in the tests by behaviour."""
     beam, t, s = _beam(spark, sf_dir, 8)
-    path = decode.balanced_path(beam, t, s, MatchParams(top_k=8, lambda_balance=1.2), 3)
+    path = decode.balanced_path(beam, t, s, MatchParams(top_k=8, lambda_balance=1.2, balance_iters=3))
     return decode.song_shares(path.join(beam, ["target", "t", "j"]))
 
 
@@ -419,11 +420,11 @@ def clip_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("song_id", F.size("ids").cast("long").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("missing_songs", f"WITH {BEAM4} SELECT target, song_id FROM (SELECT DISTINCT target FROM beam), (SELECT DISTINCT song_id FROM src) EXCEPT SELECT target, song_id FROM beam WHERE j = 1 AND t <= 5")
+@query("missing_songs", f"WITH {BEAM4} SELECT target, song_id FROM (SELECT DISTINCT target FROM beam), (SELECT DISTINCT song_id FROM src) EXCEPT SELECT target, song_id FROM beam WHERE j = 1")
 def missing_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Songs that the first five rows of a target leave out."""
+    """Songs that a target's best rows leave out."""
     beam, _, s = _beam(spark, sf_dir)
-    return decode.missing_songs(beam.where("j = 1 and t <= 5"), s)
+    return decode.missing_songs(beam.where("j = 1"), s)
 
 
 @query("slices", f"WITH {DESC}, p AS (SELECT source_id, temporal AS x, source_id % 60 AS a FROM seg) SELECT source_id, round(list_sum(x[a+1:a+16]), 6) AS total, CAST(CASE WHEN a < 48 THEN 16 ELSE 0 END AS BIGINT) AS n, round(list_sum(x[1:20]), 6) AS fit FROM p")

@@ -103,7 +103,7 @@ def segment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TILES = f"{SPANS}, tls AS (SELECT song_id, place, CAST(floor(start / 3600) AS BIGINT) AS pos, greatest(1, coalesce(lead(CAST(floor(start / 3600) AS BIGINT)) OVER (PARTITION BY song_id ORDER BY place) - CAST(floor(start / 3600) AS BIGINT), 12)) AS span FROM spn)"
-FADES = f"{TILES}, ons AS (SELECT song_id, CAST(floor(t / 3600) AS BIGINT) AS at FROM sgt WHERE i % 3 = 0), nxt AS (SELECT *, lead(span) OVER w AS ns, lead(pos) OVER w AS edge FROM tls WINDOW w AS (PARTITION BY song_id ORDER BY place)), nea AS (SELECT n.*, EXISTS (SELECT 1 FROM ons o WHERE o.song_id = n.song_id AND abs(o.at - n.edge) <= 1) AS near, least(6, span // 2, ns // 2) AS xf FROM nxt n), sem AS (SELECT *, greatest(xf, least(2, span, ns)) AS seam FROM nea), fad AS (SELECT song_id, place, pos, span, CAST(CASE WHEN edge IS NULL THEN 0 WHEN near THEN least(seam, greatest(1, least(greatest(2, CAST(round_even(xf * CAST(0.35 AS DOUBLE), 0) AS BIGINT)), span, ns))) ELSE seam END AS BIGINT) AS fade FROM sem)"
+FADES = f"{TILES}, ons AS (SELECT song_id, CAST(floor(t / 3600) AS BIGINT) AS at FROM sgt), nxt AS (SELECT *, lead(span) OVER w AS ns, lead(pos) OVER w AS edge FROM tls WINDOW w AS (PARTITION BY song_id ORDER BY place)), nea AS (SELECT n.*, EXISTS (SELECT 1 FROM ons o WHERE o.song_id = n.song_id AND abs(o.at - n.edge) <= 1) AS near, least(6, span // 2, ns // 2) AS xf FROM nxt n), sem AS (SELECT *, greatest(xf, least(2, span, ns)) AS seam FROM nea), fad AS (SELECT song_id, place, pos, span, CAST(CASE WHEN edge IS NULL THEN 0 WHEN near THEN least(seam, greatest(1, least(greatest(2, CAST(round_even(xf * CAST(0.35 AS DOUBLE), 0) AS BIGINT)), span, ns))) ELSE seam END AS BIGINT) AS fade FROM sem)"
 
 
 def _fades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def _fades(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _spans(spark, sf_dir).withColumn("pos", F.floor(F.col("start") / 3600))
     gap = F.lead("pos").over(Window.partitionBy("song_id").orderBy("place")) - F.col("pos")
     tiles = spans.select("song_id", "place", "pos", F.greatest(F.lit(1), F.coalesce(gap, F.lit(12))).cast("long").alias("span"))
-    onsets = _sig(spark, sf_dir).where("i % 3 = 0").select("song_id", F.floor(F.col("t") / 3600).alias("at"))
+    onsets = _sig(spark, sf_dir).select("song_id", F.floor(F.col("t") / 3600).alias("at"))
     return ops.seam_fades(tiles, onsets, 6, 2, 1)
 
 
@@ -211,10 +211,9 @@ def url_video_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.table(spark, sf_dir, "pages").select("page_id", urls.video_id(link).alias("video_id"))
 
 
-@query("search_text", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(trim(text[1:40])), 'song|songs|music|track|tracks|audio|official') THEN trim(text[1:40]) ELSE trim(text[1:40]) || ' songs' END AS q FROM conversations WHERE turn = 0")
+@query("search_text", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(trim(text)), 'song|songs|music|track|tracks|audio|official') THEN trim(text) ELSE trim(text) || ' songs' END AS q FROM conversations")
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = catalog.table(spark, sf_dir, "conversations").where("turn = 0")
-    return c.select("conv_id", "turn", urls.search_text(F.substring("text", 1, 40)).alias("q"))
+    return catalog.table(spark, sf_dir, "conversations").select("conv_id", "turn", urls.search_text(F.col("text")).alias("q"))
 
 
 @query("job_key", "SELECT item_id, substr(md5(text), 1, 12) AS key, regexp_matches(substr(md5(text), 1, 12), '^[a-f0-9]{12}$') AS ok FROM benchmark")

@@ -78,7 +78,7 @@ def test_distances():
     assert k.frame_chroma_similarity(a, a, SR) > 0.999 > 0.8 > k.frame_chroma_similarity(a, b, SR)
     assert k.spectral_distance(a, a) == 0 and k.spectral_distance(a[:100], a) == float("inf")
     assert k.onset_correlation(clicks([0.4, 1.1]), clicks([0.4, 1.1]), SR) > 0.99
-    assert abs(np.linalg.norm(k.edge_vector(a, SR, "head")) - 1) < 1e-6
+    assert abs(np.linalg.norm(k.edge_vectors([a], SR)[0]) - 1) < 1e-6
 
 
 def test_roles():
