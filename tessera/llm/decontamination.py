@@ -24,7 +24,8 @@ RANK = 64
 NEAR = 0.4  # least cosine of a candidate
 SAME = 0.75  # share of an item's words in a common subsequence that is a leak by itself
 ALIKE = 0.5  # share that is one if the item's answer is there too
-ITEM_BYTES = 8 << 20  # benchmark text that is held at once; a larger benchmark is taken in slices
+ITEM_BYTES, ITEMS = 1 << 18, 1024  # benchmark text and items that are held at once; a larger benchmark is taken in slices
+PREFIX = 20  # bits of a word that tell at once that no item has it
 PIECE = 1 << 16  # words whose vectors are held at once
 SUMS = 64  # features in one row of partial sums
 NONE = FEATURES  # feature of the words that fill up a text's last block
@@ -33,9 +34,13 @@ WORDS = "doc_id long, words binary, df array<long>"
 
 
 def numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit numbers of all words, ASCII letters lower-cased, and the offsets of the texts."""
-    words, offsets = word_hashes([t.lower() for t in texts])
-    return (words >> np.uint64(48)).astype(np.uint16), offsets
+    """64-bit numbers of all words, ASCII letters lower-cased, and the offsets of the texts."""
+    return word_hashes([t.lower() for t in texts])
+
+
+def features(words: np.ndarray) -> np.ndarray:
+    """The hashed feature of each word in the TF-IDF matrix."""
+    return ((words >> np.uint64(48)) & np.uint64(FEATURES - 1)).astype(np.int64)
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +48,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df = np.zeros(FEATURES + 1, np.int64)  # at the end the number of passages
     for ids, texts in text_chunks(batches):
         words, offsets = numbers(texts)
-        own = np.sort(_padded(words & (FEATURES - 1), offsets, NONE)[0].astype(np.uint16), axis=1)
+        own = np.sort(_padded(features(words), offsets, NONE)[0].astype(np.uint16), axis=1)
         if len(own):
             new = np.ones(own.shape, bool)
             new[:, 1:] = own[:, 1:] != own[:, :-1]
@@ -61,10 +66,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.n
         at = 0
         while at < len(ids):
             end, size = at, 0
-            while end < len(ids) and (end == at or size + len(rows[end]) // 2 <= PIECE):
-                size += len(rows[end]) // 2
+            while end < len(ids) and (end == at or size + len(rows[end]) // 8 <= PIECE):
+                size += len(rows[end]) // 8
                 end += 1
-            yield ids[at:end], np.frombuffer(b"".join(rows[at:end]), np.uint16), np.concatenate([[0], np.cumsum([len(r) // 2 for r in rows[at:end]])])
+            yield ids[at:end], np.frombuffer(b"".join(rows[at:end]), np.uint64), np.concatenate([[0], np.cumsum([len(r) // 8 for r in rows[at:end]])])
             at = end
 
 
@@ -103,7 +108,7 @@ def _range_rows(batches: Iterator[pa.RecordBatch], idf: np.ndarray, omega: np.nd
     for _, words, offsets in _pieces(batches):
         if not len(words):
             continue
-        f, text = _padded(words & (FEATURES - 1), offsets, NONE)
+        f, text = _padded(features(words), offsets, NONE)
         y = _passages(_summed(weighted, f), text) / np.maximum(_passages(_summed(squares, f), text), 1e-12)[:, None]
         back = y.copy()  # a block is in its own passage and in the one before
         same = text[1:] == text[:-1]
@@ -174,7 +179,7 @@ class Items:
             self.answers.append(numbers([sentences[-1]])[0])
             for a in range(0, max(1, len(words) - BLOCK), BLOCK) if len(words) > 3 * BLOCK else [0]:
                 part = words[a : a + 2 * BLOCK] if len(words) > 3 * BLOCK else words
-                vectors.append(latent[part & (FEATURES - 1)].sum(0))
+                vectors.append(latent[features(part)].sum(0))
                 self.of.append(len(self.ids) - 1)
         self.of = np.array(self.of, np.int64)
         v = np.array(vectors).reshape(-1, latent.shape[1])
@@ -190,20 +195,29 @@ class Bounds:
     def __init__(self, items: Items):
         self.length = np.array([len(w) for w in items.words])
         self.answers = items.answers
-        vocabulary = np.unique(np.concatenate(items.words))
-        self.row = np.zeros((1 << 16) + 1, np.int64)  # the last is of the words that fill up
-        self.row[vocabulary] = np.arange(1, len(vocabulary) + 1)
-        self.has = np.zeros((len(vocabulary) + 1, len(items.words)), np.uint8)
+        self.vocabulary = np.unique(np.concatenate([np.array(w, np.uint64) for w in items.words]))
+        self.maybe = np.zeros(1 << PREFIX, bool)  # whether a word of the items begins with these bits
+        self.maybe[(self.vocabulary >> np.uint64(64 - PREFIX)).astype(np.int64)] = True
+        self.has = np.zeros((len(self.vocabulary) + 1, len(items.words)), np.uint8)
         self.each = -(-self.length // 64)  # places of an item that one of 64 bits stands for
         bits: dict[int, int] = {}
         for i, (w, each) in enumerate(zip(items.words, self.each.tolist())):
-            self.has[self.row[w], i] = 1
-            for j, r in enumerate(self.row[w].tolist()):
+            own = self.rows(np.array(w, np.uint64))
+            self.has[own, i] = 1
+            for j, r in enumerate(own.tolist()):
                 key = i * len(self.has) + r
                 bits[key] = bits.get(key, 0) | 1 << j // each
         self.keys = np.array(sorted(bits))
         self.bits = np.array([bits[k] for k in self.keys.tolist()], np.uint64)
 
+    def rows(self, words: np.ndarray) -> np.ndarray:
+        """Each word's number among the items' words, from 1; 0 of other words."""
+        out = np.zeros(len(words), np.int64)
+        some = np.flatnonzero(self.maybe[(words >> np.uint64(64 - PREFIX)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.vocabulary, words[some]), len(self.vocabulary) - 1)
+        out[some] = np.where(self.vocabulary[at] == words[some], at + 1, 0)
+        return out
+
     def counts(self, rows: np.ndarray) -> np.ndarray:
         """Running sums over blocks of the words that each item has; a stretch's is at least any common subsequence."""
         out = np.zeros((len(rows) + 1, len(self.length)), np.int32)
@@ -221,18 +235,20 @@ class Bounds:
             np.bitwise_or.at(seen, at, self.bits[np.searchsorted(self.keys, item[at] * len(self.has) + own[at, k])])
         return np.bitwise_count(seen) * self.each[item]
 
-    def places(self, words: np.ndarray) -> np.ndarray:
-        """Where words has answers whole: item << 40 | place of its first word, ascending."""
-        order = np.argsort(words, kind="stable")
-        first = np.array([a[0] for a in self.answers], words.dtype)
+    def places(self, rows: np.ndarray) -> np.ndarray:
+        """Where a text's words, by their rows, have answers whole: item << 40 | place of the first word, ascending."""
+        some = np.flatnonzero(rows)
+        order = some[np.argsort(rows[some], kind="stable")]
+        answers = [self.rows(a) for a in self.answers]
+        first = np.array([a[0] for a in answers], np.int64)
         out = [np.zeros(0, np.int64)]
-        for i, (a, b) in enumerate(zip(*(np.searchsorted(words, first, side, order).tolist() for side in ("left", "right")))):
-            answer, at = self.answers[i], order[a:b]
-            at = at[at <= len(words) - len(answer)]
+        for i, (a, b) in enumerate(zip(*(np.searchsorted(rows[order], first, side).tolist() for side in ("left", "right")))):
+            answer, at = answers[i], order[a:b]
+            at = at[at <= len(rows) - len(answer)]
             for k in range(1, len(answer)):
                 if not len(at):
                     break
-                at = at[words[at + k] == answer[k]]
+                at = at[rows[at + k] == answer[k]]
             out.append((i << 40) + at)
         return np.concatenate(out)
 
@@ -243,12 +259,13 @@ def _leaks(batches: Iterator[pa.RecordBatch], items: Items, latent: np.ndarray)
     for ids, words, offsets in _pieces(batches):
         if not len(words):
             continue
-        f, text = _padded(words & (FEATURES - 1), offsets, NONE)
+        f, text = _padded(features(words), offsets, NONE)
         p = _passages(_summed(latent, f), text)
         p /= np.maximum(np.linalg.norm(p, axis=1), 1e-12)[:, None]
         first, last = np.searchsorted(text, text), np.searchsorted(text, text, "right")  # rows of each row's text
-        own = bounds.row[_padded(words, offsets, 1 << 16)[0]]
-        counts, places = bounds.counts(own), bounds.places(words)
+        known = bounds.rows(words)
+        own = _padded(known, offsets, 0)[0]
+        counts, places = bounds.counts(own), bounds.places(known)
         rows: dict[tuple[int, int], tuple] = {}
         for a in range(0, len(p), 4096):
             cosine = p[a : a + 4096] @ items.vectors.T
@@ -270,11 +287,11 @@ def _leaks(batches: Iterator[pa.RecordBatch], items: Items, latent: np.ndarray)
                 part = some[s : s + 4096]
                 part = part[bounds.covered(own, item[part], low[part], high[part]) >= need[part]]
                 for d, i, x, y, least, whole, near in zip(*(v[part].tolist() for v in (doc, item, lo, hi, need, there, c))):
-                    wanted, known = items.words[i], rows.get((d, i))
-                    if known and known[0] == len(wanted):
+                    wanted, was = items.words[i], rows.get((d, i))
+                    if was and was[0] == len(wanted):
                         continue
                     common = common_subsequence(wanted, words[x:y].tolist())
-                    if common >= least and (not known or common > known[0]):
+                    if common >= least and (not was or common > was[0]):
                         rows[d, i] = (common, len(wanted), common / len(wanted), whole, x - int(offsets[d]), near)
         if rows:
             cols = list(zip(*((ids[d], items.ids[i], *r) for (d, i), r in rows.items())))
@@ -287,7 +304,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     An item is in a document if they have at least SAME of the item's words in one order close together, or ALIKE of them and the
     item's last sentence whole. ASCII case is ignored. Null or empty texts have no words and are in nothing; items without words
-    are nowhere. Extra columns are not read. An empty table on either side gives no rows.
+    are nowhere. Words are compared by 64-bit hashes. Rows that repeat a document may give their leaks as often. Texts of any length are read
+    whole. Extra columns are not read. An empty table on either side gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -299,8 +317,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
     latent = latent_space(numbered, idf) * idf[:, None]
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-size // ITEM_BYTES))
+    size, number = bench.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    slices = max(1, -(-(size or 0) // ITEM_BYTES), -(-number // ITEMS))
     out = None
     for i in range(slices):
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i).toArrow()

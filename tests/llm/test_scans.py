@@ -103,7 +103,7 @@ def test_bounds_leave_out_no_common_subsequence():
     items = decontamination.Items(list(range(6)), [t.encode() for t in texts], np.ones((decontamination.FEATURES, 2)))
     words = decontamination.numbers([" ".join(f"w{x}" for x in r.integers(0, 120, 1600)).encode()])[0]
     bounds = decontamination.Bounds(items)
-    rows = bounds.row[decontamination._padded(words, np.array([0, len(words)]), 1 << 16)[0]]
+    rows = decontamination._padded(bounds.rows(words), np.array([0, len(words)]), 0)[0]
     counts = bounds.counts(rows)
     for i, a in enumerate(items.words):
         for begin, end in ((0, 1), (3, 9), (40, 70), (0, 100)):
@@ -111,7 +111,7 @@ def test_bounds_leave_out_no_common_subsequence():
             covered = bounds.covered(rows, np.array([i]), np.array([begin]), np.array([end]))[0]
             assert common <= covered and common <= counts[end, i] - counts[begin, i]
     want = [(i << 40) + p for i, a in enumerate(items.answers) for p in range(len(words)) if words[p : p + len(a)].tolist() == a.tolist()]
-    assert bounds.places(words).tolist() == want and want
+    assert bounds.places(bounds.rows(words)).tolist() == want and want
 
 
 def test_common_subsequence_against_table():
