@@ -19,9 +19,8 @@ from .common import small_batches, text_bytes
 
 # HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object audio video canvas".split())
+RAW = frozenset("script style textarea title template iframe select".split())  # not text of the page
 SWALLOW = frozenset("script style".split())  # without an end tag, all that follows is theirs
-CLOSED_BY_BLOCK = frozenset("p".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption button label".split()
@@ -29,7 +28,9 @@ BLOCKS = frozenset(
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[\"'>]")
 WORDS_OF = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -56,10 +57,48 @@ class Page:
         self._read(source)
 
     def _read(self, s: str) -> None:
+        """One pass, in time linear in the page whatever it holds: what has been looked for to the end in vain is not looked for again."""
         stack: list[tuple[str, int]] = [("#root", 0)]  # open elements, with the block node they are in
+        where: dict[str, list[int]] = {}  # places in the stack of each name
+        blocks: list[int] = []  # and of block elements
         at, in_link = 0, 0
         run: list[str] = []  # text of the present block
         unclosed: set[str] = set()  # RAW elements without an end tag from here on
+        quotes = {'"': True, "'": True}  # whether quotes of a kind can enclose any more
+
+        def push(name: str, node: int) -> None:
+            where.setdefault(name, []).append(len(stack))
+            if name in BLOCKS:
+                blocks.append(len(stack))
+            stack.append((name, node))
+
+        def cut(to: int) -> None:
+            while len(stack) > to:
+                name = stack.pop()[0]
+                where[name].pop()
+                if name in BLOCKS:
+                    blocks.pop()
+
+        def last(names: set[str]) -> int:
+            return max((where[x][-1] for x in names if where.get(x)), default=0)
+
+        def tag_end(begin: int) -> int:
+            """The place of a tag's end, not in quotes; -1 if the page has none."""
+            place = begin
+            while True:
+                m = STOP.search(s, place)
+                if m is None:  # quotes hide every end: from here on they count for nothing
+                    quotes.update({'"': False, "'": False})
+                    return s.find(">", begin)
+                if m[0] == ">":
+                    return m.start()
+                place = m.end()
+                if quotes[m[0]]:
+                    close = s.find(m[0], place)
+                    if close < 0:
+                        quotes[m[0]] = False
+                    else:
+                        place = close + 1
 
         def flush() -> None:
             if run:
@@ -80,38 +119,46 @@ class Page:
 
         n = len(s)
         while at < n:
-            m = MARKUP.search(s, at)
-            if m is None:
-                run.append(html.unescape(s[at:]))
-                break
-            if m.start() > at:
-                raw = s[at : m.start()]
+            m = START.search(s, at)
+            begin = m.start() if m else n
+            tag = m is not None and m[0][1] not in "!?"
+            end = tag_end(begin + 1) if tag else begin
+            if end < 0:  # no tag any more
+                begin = n
+            if begin > at:
+                raw = s[at:begin]
                 text = html.unescape(raw) if "&" in raw else raw
                 run.append(text)
                 if in_link:
                     self.links[stack[-1][1]] += len(text.strip())
-            at = m.end()
-            name = m[2]
-            if name is None:
-                if m[0].startswith("<![CDATA["):
-                    run.append(m[0][9:].removesuffix("]]>"))
+            if begin == n:
+                break
+            if not tag:
+                opening, closing = next(((a, b) for a, b in (("<!--", "-->"), ("<![CDATA[", "]]>")) if s.startswith(a, begin)), ("<!", ">"))
+                end = s.find(closing, begin + len(opening))
+                if opening == "<![CDATA[":
+                    run.append(s[begin + 9 : end if end >= 0 else n])
+                at = end + len(closing) if end >= 0 else n
                 continue
+            at = end + 1
+            name = NAME.match(s, begin)[1]
+            attributes = s[begin + 1 + len(name) : end]
             name = name.lower()
-            if m[1]:  # an end tag
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        if any(x[0] in BLOCKS for x in stack[i:]):
-                            flush()
-                        del stack[i:]
-                        break
+            if s[begin + 1] == "/":
+                if where.get(name):
+                    i = where[name][-1]
+                    if blocks and blocks[-1] >= i:
+                        flush()
+                    cut(i)
                 if name == "a":
                     in_link = 0
                 continue
             if name in RAW:
-                if not m[3].endswith("/"):
-                    end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(s, at)
-                    if end:
-                        at = end.end()
+                if not attributes.endswith("/"):
+                    close = None if name in unclosed else re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(s, at)
+                    if close:
+                        end = s.find(">", close.end())
+                        at = end + 1 if end >= 0 else n
                     elif name in SWALLOW:
                         at = n
                     else:
@@ -120,38 +167,30 @@ class Page:
             if name in BLOCKS:
                 flush()
                 if name in ENDS:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] in SCOPES[name]:
-                            break
-                        if stack[i][0] in ENDS[name]:
-                            del stack[i:]
-                            break
-                else:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] in CLOSED_BY_BLOCK:
-                            del stack[i:]
-                            break
-                        if stack[i][0] in BLOCKS:
-                            break
+                    i = last(ENDS[name])
+                    if i > last(SCOPES[name]):
+                        cut(i)
+                elif blocks and stack[blocks[-1]][0] == "p":
+                    cut(blocks[-1])
                 if name == "hr":
                     continue
                 node = len(self.tag)
                 own = stack[-1][1]
                 self.plain = False
                 self.tag.append(name)
-                self.words.append(frozenset(w for g in WORDS_OF.findall(m[3]) for w in SPLIT.split("".join(g).lower()) if w) if m[3] else frozenset())
+                self.words.append(frozenset(w for g in WORDS_OF.findall(attributes) for w in SPLIT.split("".join(g).lower()) if w) if attributes else frozenset())
                 self.parent.append(own)
                 self.depth.append(self.depth[own] + 1)
                 self.links.append(0)
                 self.inline.append(0)
-                stack.append((name, node))
+                push(name, node)
                 in_link = 0
             elif name == "br":
                 run.append(" ")
             elif name not in VOID:
                 self.inline[stack[-1][1]] += 1
-                if not m[3].endswith("/"):
-                    stack.append((name, stack[-1][1]))
+                if not attributes.endswith("/"):
+                    push(name, stack[-1][1])
                     in_link = 1 if name == "a" else in_link
         flush()
 
@@ -417,7 +456,8 @@ def extract(sources: list[str], model: BoostedTrees) -> list[str]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page: kept blocks in page order, white space inside each one space, joined by a blank line.
 
-    Null or empty html gives empty text. Each page by itself: a repeated row comes twice, other columns are not read.
+    Null or empty html gives empty text. Each page by itself: a repeated row comes twice, other columns are not read. Pages of
+    any length, malformed ones too, take time in proportion to it. An empty table gives no rows.
     """
     small_batches(pages.sparkSession, 400)
     model = trained()

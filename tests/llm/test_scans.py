@@ -271,7 +271,18 @@ def test_text_in_the_root_and_after_unclosed_elements():
     for page, text in zip(pages, html_text.extract(pages, model)):
         assert say in text and more in text, page
     assert html_text.extract([f"<p>{say}</p><script>{more}", f"{say}<b> and</b> so on"], model) == [say, f"{say} and so on"]
-    assert html_text.Page("<svg>" * 20_000 + "<p>end</p>").pieces == [(1, "end")]
+    assert html_text.Page("<select>" * 20_000 + "<p>end</p>").pieces == [(1, "end")]
+    assert html_text.extract([f"<article><p>{say} <math><mi>x</mi></math> is so.</p><p>{more}</p></article>"], model) == [f"{say} x is so.\n\n{more}"]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    for part in ("<a ", '<a "', '<a ">" ', "</svg ", "</b>", "<b></i>", "<div></p>", "<b><div></div>", "<div><li></li>", "<!--", "<select></select ", "<p><b>", "&#", "<td><tr>", "<![CDATA[", "<!"):
+        began = time.time()
+        html_text.Page("<div>" * 5_000 + part * n)
+        assert time.time() - began < 20, part
 
 
 def test_nothing_is_kept_under_a_dropped_node():
