@@ -25,7 +25,7 @@ from .common import discard, materialize, small_batches, text_chunks
 WORDS = 5  # words of a window
 SAMPLE = (3000, 6000)  # labelled documents to learn from at most: toxic, ordinary; half for the dictionaries, half to calibrate
 WINDOWS = (100_000, 300_000)  # windows of these, picked by hash, that the dictionaries are trained on at most
-BASE, OWN, ROUNDS, WORST = 400_000, 1536, 6, 0.04  # bytes of the base and of a round's part; rounds; share of the windows of a round
+BASE, OWN, ROUNDS, WORST = 256_000, 1536, 6, 0.04  # bytes of the base and of a round's part; rounds; share of the windows of a round
 LEVEL = 16
 TOP = 9  # distances are counted from 1 to TOP
 
@@ -39,7 +39,7 @@ def windows(text: bytes) -> list[bytes]:
 def compressor(dictionary: bytes):
     import zstandard as z
 
-    how = z.ZstdCompressionParameters.from_level(LEVEL, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0, min_match=3)
+    how = z.ZstdCompressionParameters.from_level(LEVEL, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0, min_match=3, hash_log=17, chain_log=19)
     held = z.ZstdCompressionDict(dictionary)
     held.precompute_compress(compression_params=how)
     return z.ZstdCompressor(dict_data=held, compression_params=how).compress
