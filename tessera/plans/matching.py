@@ -420,11 +420,12 @@ def clip_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("song_id", F.size("ids").cast("long").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("missing_songs", f"WITH {BEAM4} SELECT target, song_id FROM (SELECT DISTINCT target FROM beam), (SELECT DISTINCT song_id FROM src) EXCEPT SELECT target, song_id FROM beam WHERE j = 1")
+@query("missing_songs", f"WITH {BEAM4} SELECT target, song_id FROM (SELECT DISTINCT target || '-' || CAST((t - 1) // 5 AS VARCHAR) AS target FROM beam), (SELECT DISTINCT song_id FROM src) EXCEPT SELECT target || '-' || CAST((t - 1) // 5 AS VARCHAR), song_id FROM beam WHERE j = 1")
 def missing_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Songs that a target's best rows leave out."""
+    """Songs that the best rows of every five steps of a target leave out; each five steps are a target here."""
     beam, _, s = _beam(spark, sf_dir)
-    return decode.missing_songs(beam.where("j = 1"), s)
+    fives = F.concat("target", F.lit("-"), F.floor((F.col("t") - 1) / 5).cast("string"))
+    return decode.missing_songs(beam.where("j = 1").withColumn("target", fives), s)
 
 
 @query("slices", f"WITH {DESC}, p AS (SELECT source_id, temporal AS x, source_id % 60 AS a FROM seg) SELECT source_id, round(list_sum(x[a+1:a+16]), 6) AS total, CAST(CASE WHEN a < 48 THEN 16 ELSE 0 END AS BIGINT) AS n, round(list_sum(x[1:20]), 6) AS fit FROM p")
