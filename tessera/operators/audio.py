@@ -15,13 +15,13 @@ TRACK = "song_id string, sr int, samples array<float>"
 MIN_S, MAX_S = 5.0, 480.0
 
 
-def _rows(tracks: DataFrame, one: Callable[[pd.Series], list[dict]], schema: str) -> DataFrame:
+def _rows(tracks: DataFrame, one: Callable[[dict], list[dict]], schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, row in batch.iterrows():
-                out = one(row)
+            for values in zip(*(batch[c] for c in batch.columns)):
+                out = one(dict(zip(batch.columns, values)))
                 if out:
                     yield pd.DataFrame(out)[names]
 
@@ -80,7 +80,7 @@ def segments(tracks: DataFrame, window: float = 0.45, hop: float = 0.22, onsets:
     if window <= 0 or hop <= 0:
         raise ValueError("window and hop must be positive")
 
-    def cut(row: pd.Series) -> list[dict]:
+    def cut(row: dict) -> list[dict]:
         y, sr = np.asarray(row["samples"], np.float32), int(row["sr"])
         if not len(y):
             return []
@@ -104,7 +104,7 @@ DESCRIBED = "song_id string, segment_idx long, start_s double, end_s double, chr
 def described(tracks: DataFrame, window: float = 0.45, hop: float = 0.22, variable: bool = False) -> DataFrame:
     """Descriptors and edge fingerprints of each track's segments, from one spectrum a track."""
 
-    def one(row: pd.Series) -> list[dict]:
+    def one(row: dict) -> list[dict]:
         y, sr = np.asarray(row["samples"], float), int(row["sr"])
         if not len(y):
             return []
@@ -122,10 +122,57 @@ def pitches(tracks: DataFrame) -> DataFrame:
     return _rows(tracks, lambda r: [{"song_id": r["song_id"], "hz": k.pitch(np.asarray(r["samples"]), int(r["sr"])), "cents": k.tuning_cents(np.asarray(r["samples"]), int(r["sr"])), "role": k.sound_role(np.asarray(r["samples"], float), int(r["sr"]))}], "song_id string, hz double, cents double, role string")
 
 
+def spectra(tracks: DataFrame, size: int = 2048, hop: int = 512) -> DataFrame:
+    """(song_id, frame, magnitude): each track's spectrum, a row a frame."""
+
+    def one(row: dict) -> list[dict]:
+        return [{"song_id": row["song_id"], "frame": i, "magnitude": m} for i, m in enumerate(np.abs(k.stft(row["samples"], size, hop)))]
+
+    return _rows(tracks, one, "song_id string, frame long, magnitude array<double>")
+
+
+def edges(tracks: DataFrame) -> DataFrame:
+    """(song_id, head, tail): edge fingerprints of each track or clip."""
+
+    def one(row: dict) -> list[dict]:
+        head, tail = k.edge_vectors([row["samples"]], int(row["sr"]))
+        return [{"song_id": row["song_id"], "head": head[0], "tail": tail[0]}]
+
+    return _rows(tracks, one, "song_id string, head array<double>, tail array<double>")
+
+
+def shaped(pairs: DataFrame, how: str, hop: int = 256) -> DataFrame:
+    """pairs (song_id, sr, reference, estimate): (song_id, sr, samples), the estimate with the reference's loudness, envelope, transient, colour or detail."""
+    kernels = {
+        "loudness": lambda y, ref, sr: k.match_loudness(y, ref),
+        "envelope": lambda y, ref, sr: k.match_envelope(y, ref, hop=hop),
+        "transient": k.match_transient,
+        "colour": lambda y, ref, sr: k.match_spectrum(y, ref),
+        "detail": lambda y, ref, sr: k.harmonic_reconstruct(y, ref),
+    }
+    shape = kernels[how]
+
+    def one(r: dict) -> list[dict]:
+        y = shape(np.asarray(r["estimate"], float), np.asarray(r["reference"], float), int(r["sr"]))
+        return [{"song_id": r["song_id"], "sr": r["sr"], "samples": y}]
+
+    return _rows(pairs, one, "song_id string, sr int, samples array<double>")
+
+
+def prepared(requests: DataFrame) -> DataFrame:
+    """requests (song_id, sr, samples, start_s, n, steps, rate): (song_id, sr, samples), n samples from start_s on, shifted and stretched."""
+
+    def one(r: dict) -> list[dict]:
+        y = k.prepared_clip(np.asarray(r["samples"], float), int(r["sr"]), float(r["start_s"]), int(r["n"]), float(r["steps"]), float(r["rate"]))
+        return [{"song_id": r["song_id"], "sr": r["sr"], "samples": y}]
+
+    return _rows(requests, one, "song_id string, sr int, samples array<double>")
+
+
 def quality(pairs: DataFrame) -> DataFrame:
     """pairs (song_id, sr, reference, estimate): log mel distance, harmony likeness, rhythm correlation; to four places."""
 
-    def one(r: pd.Series) -> list[dict]:
+    def one(r: dict) -> list[dict]:
         a, b, sr = np.asarray(r["reference"], float), np.asarray(r["estimate"], float), int(r["sr"])
         return [{"song_id": r["song_id"], "log_mel": round(k.log_mel_distance(a, b, sr), 4), "chroma": round(k.frame_chroma_similarity(a, b, sr), 4), "onset": round(k.onset_correlation(a, b, sr), 4)}]
 
