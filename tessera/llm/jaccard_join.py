@@ -10,7 +10,8 @@ of several components are members compared with each other. Bounds from bucket c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 from typing import NamedTuple
 
@@ -27,6 +28,7 @@ NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
 BAND = 1.5  # a band's largest size over its smallest
 BASE = 0x9E3779B97F4A7C15
 KEYS = ["hub", "i", "j"]
+Sign = Callable[[list[np.ndarray]], list[np.ndarray]]  # signatures of each set
 BLOCK = 384  # members of a hub in one block; a task compares two blocks
 STAR = 256  # members of a hub that one task compares with it
 
@@ -176,18 +178,18 @@ def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(kind, copy=False)))
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for ids, texts in text_chunks(batches):
-        sets = shingle_sets(texts)
+        sets = shingle_sets(texts, shingle)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(_set_ids(sets), pa.int64()), pa.array([bucket_counts(s) for s in sets], pa.binary())],
             names=[c.split()[0] for c in SETS.split(", ")],
         )
 
 
-def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed_rows(batches: Iterator[pa.RecordBatch], shingle: int, sign: Sign) -> Iterator[pa.RecordBatch]:
     for ids, texts in text_chunks(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists([signed(x) for x in signatures(shingle_sets(texts))], np.int64)], names=["rep", "sigs"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists([signed(x) for x in sign(shingle_sets(texts, shingle))], np.int64)], names=["rep", "sigs"])
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
@@ -223,10 +225,10 @@ def _beside_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(maybe)).select(["hub_rep", "rep"])
 
 
-def _star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _star_links(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Links of each hub with the members beside it; the hub's row comes first."""
     for group in grouped_batches(batches, ["hub", "part"]):
-        sets = shingle_sets([t or b"" for t in text_bytes(group.column("text"))])
+        sets = shingle_sets([t or b"" for t in text_bytes(group.column("text"))], shingle)
         ids, first = group.column("rep").to_pylist(), group.column("first").to_pylist()
         if first[0]:
             out = [(ids[0], i) for i, s, f in zip(ids, sets, first) if not f and linked(sets[0], s)]
@@ -234,7 +236,7 @@ def _star_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
 
-def _compare_with_hubs(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _compare_with_hubs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """Links (a, b) between the members and the hub of each (hub, rep): first by bounds, then by texts."""
     hub = classes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("counts").alias("hub_counts"))
     rows = with_group(pairs, ["hub"], "rep", [], also=lambda groups: groups.join(hub, "hub"))
@@ -246,7 +248,7 @@ def _compare_with_hubs(pairs: DataFrame, classes: DataFrame, docs: DataFrame) ->
     # a merge join at every size: what is left grows with the documents
     rows = rows.join(docs.hint("merge"), F.col("rep") == F.col("doc_id")).select("hub", "part", "first", "rep", "text")
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", F.desc("first"))
-    links = materialize(rows.mapInArrow(_star_links, "a long, b long"), "links")
+    links = materialize(rows.mapInArrow(partial(_star_links, shingle=shingle), "a long, b long"), "links")
     settle(docs.sparkSession)
     return links
 
@@ -270,10 +272,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from some.combine_chunks().to_batches()
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """Links of each two blocks' texts, but for those between members that others join already."""
     for group in grouped_batches(batches, KEYS):
-        sets = shingle_sets([t or b"" for t in text_bytes(group.column("text"))])
+        sets = shingle_sets([t or b"" for t in text_bytes(group.column("text"))], shingle)
         ids = group.column("rep").to_pylist()
         maybe = _apart(group, possible(np.array([len(s) for s in sets], np.int64), [bucket_counts(s) for s in sets]))
         root, out = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1], []
@@ -295,7 +297,7 @@ def _groups(signed_: DataFrame) -> DataFrame:
     return rows.where("rep <> hub").select("hub", "rep").distinct()
 
 
-def _compare(members: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+def _compare(members: DataFrame, known: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """Links (a, b) between members (hub, rep) of a hub that are in different components as known: first by bounds, then by texts."""
     rows = _in_blocks(members.join(known, "rep").select("hub", "rep", "comp", "n", "counts"))
     left = sorted_groups(rows, KEYS).mapInArrow(_candidates, "hub long, rep long, comp long").distinct()
@@ -303,38 +305,38 @@ def _compare(members: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame
     settle(docs.sparkSession)
     # a merge join at every size: what is left grows with the documents
     rows = _in_blocks(left).join(docs.hint("merge"), F.col("rep") == F.col("doc_id")).select("hub", "i", "j", "block", "rep", "comp", "text")
-    links = materialize(sorted_groups(rows, KEYS).mapInArrow(_links, "a long, b long"), "links")
+    links = materialize(sorted_groups(rows, KEYS).mapInArrow(partial(_links, shingle=shingle), "a long, b long"), "links")
     settle(docs.sparkSession)
     return links
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
+def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, sign: Sign = signatures) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included).
 
-    ASCII letters are lower-cased, words are [^\\x20\\x09-\\x0D]+, a document's set is its distinct 5-word shingles (fewer words: the
-    whole sequence). Documents without words or with null text have the empty set and link with nothing. Every pair that
+    ASCII letters are lower-cased, words are [^\\x20\\x09-\\x0D]+, a document's set is its distinct shingles of 5 words (fewer words: the
+    whole sequence). `sign` gives each set's signatures, PartEnum's unless told otherwise. Documents without words or with null text have the empty set and link with nothing. Every pair that
     shares a signature is compared, or is in one component by other links. Shingles and sets go by 64-bit hashes. doc_id is a key; a
     repeated row comes twice, a null id gets its text's class, null if no document of known id has it. Extra columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    facts = materialize(docs.mapInArrow(_set_rows, SETS), "facts")
+    facts = materialize(docs.mapInArrow(partial(_set_rows, shingle=shingle), SETS), "facts")
     # equal sets are one class, shown by its smallest document
     classes = facts.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
     classes = materialize(classes, "classes")
     named = classes.select("rep", "n", "counts").where("rep is not null")
     shown = docs.hint("merge").join(named.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    pairs = materialize(_groups(shown.mapInArrow(_signed_rows, "rep long, sigs array<long>")), "pairs")
+    pairs = materialize(_groups(shown.mapInArrow(partial(_signed_rows, shingle=shingle, sign=sign), "rep long, sigs array<long>")), "pairs")
     settle(spark)
-    links = _compare_with_hubs(pairs, named, docs)
+    links = _compare_with_hubs(pairs, named, docs, shingle)
     nodes = materialize(connected_components(links, "a", "b"), "nodes")
     known = named.join(nodes, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component_id", "rep")).drop("node", "component_id")
     known = materialize(known, "known")
     # then members of one hub that are still in different components
     members = pairs.unionAll(pairs.select("hub", F.col("hub").alias("rep")).distinct()).join(known.select("rep", "comp"), "rep")
     members = with_group(members, ["hub"], "rep", [F.min("comp").alias("lo"), F.max("comp").alias("hi")], "lo < hi").select("hub", "rep")
-    more = _compare(members, known, docs)
+    more = _compare(members, known, docs, shingle)
     nodes = connected_components(links.unionAll(more), "a", "b")
     comps = classes.join(nodes, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component_id", "rep").alias("comp"))
     out = with_group(facts.where("n_shingles > 0").select("doc_id", "n_shingles", "set_id"), ["set_id"], "doc_id", [], also=lambda groups: groups.join(comps, "set_id"))
@@ -342,3 +344,18 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     for table in (pairs, known):
         discard(table)
     return out
+
+
+def classes_sql(shingle: int, num: int = NUM, den: int = DEN, more: str = "") -> str:
+    """The same for keyed documents in DuckDB: all pairs that share a shingle, and what they reach."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < {shingle} THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - {shingle - 2}), i -> array_to_string(words[i:i + {shingle - 1}], ' ')) END) AS shingle FROM w WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE {den} * both >= {num} * (a.n + b.n - both)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id{more} FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(root) AS root FROM r GROUP BY ALL) c ON c.node = d.doc_id
+"""

@@ -89,17 +89,35 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import audit_sources
 
     return audit_sources(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in vars(sys.modules[__name__]).items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import divergence
-
-    return {"op12_source_divergence": divergence.SQL}
+    from . import collocations, divergence, minhash_dedup
+    from .jaccard_join import SHINGLE, classes_sql
+
+    return {
+        "op10_ngram_jaccard_join": classes_sql(SHINGLE),
+        "op11_phrase_collocations": collocations.SQL,
+        "op12_source_divergence": divergence.SQL,
+        "op13_minhash_dedup": classes_sql(minhash_dedup.SHINGLE, more=", d.doc_id = c.root AS kept"),
+    }

@@ -10,12 +10,12 @@ from tessera.llm import components, jaccard_join, substring_dedup, suffix_dedup,
 from tessera.llm.common import sliding_min, window_hashes
 
 
-def brute_classes(rows):
+def brute_classes(rows, k=5):
     ids = [r[0] for r in rows]
     sets = []
     for r in rows:
         w = [x.lower() for x in (r[1] or "").encode().split()]
-        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
     root = {i: i for i in ids}
 
     def find(x):
