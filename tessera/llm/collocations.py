@@ -252,7 +252,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, bits: int
 
 
 SQL = rf"""
-WITH p AS (SELECT lang, row_number() OVER () AS id, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), w -> w <> '') AS w FROM (
+WITH p AS (SELECT lang, row_number() OVER () AS id, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
     SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
 o AS (SELECT lang, m, w[i:i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, range(1, {LONGEST + 1}) AS t(m) WHERE len(w) >= m)),
 n AS (SELECT lang, count(*) AS n FROM o WHERE m = 1 GROUP BY ALL),

@@ -351,10 +351,10 @@ def classes_sql(shingle: int, num: int = NUM, den: int = DEN, more: str = "") ->
     return f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < {shingle} THEN [array_to_string(words, ' ')]
-        ELSE list_transform(range(1, len(words) - {shingle - 2}), i -> array_to_string(words[i:i + {shingle - 1}], ' ')) END) AS shingle FROM w WHERE len(words) > 0),
+        ELSE list_transform(range(1, len(words) - {shingle - 2}), lambda i: array_to_string(words[i:i + {shingle - 1}], ' ')) END) AS shingle FROM w WHERE len(words) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE {den} * both >= {num} * (a.n + b.n - both)),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE {den} * shared >= {num} * (a.n + b.n - shared)),
 u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT u.y, r.root FROM r JOIN u ON u.x = r.node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.root AS component_id{more} FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(root) AS root FROM r GROUP BY ALL) c ON c.node = d.doc_id
