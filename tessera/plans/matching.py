@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.costs import MatchParams, fold_shift, pitch_delta, pitch_steps, residual_fill, role
 from ..functions.vectors import dot, rotate, shares, unit
 from ..functions.arrays import brightness, clock_hundredths, fit_length, frame_of, window_at
-from ..operators import decode, factorize, measures, mosaic, search
+from ..operators import decode, factorize, measures, mosaic, numbering, search
 from ..sources import catalog, documents
 from .registry import query
 
@@ -310,14 +310,16 @@ def _changes(t: DataFrame, radius: int) -> DataFrame:
     return out
 
 
-@query(
-    "repetition_suppress",
-    f"WITH {SCORE}{ACT}, shp AS (SELECT song_id AS target, segment_idx AS t, [x / greatest(list_sum(chroma), 1e-8) FOR x IN chroma] AS v FROM tgt), chg AS (SELECT x.target, x.t, list_sum([abs(x.v[i] - y.v[i]) FOR i IN range(1, 13)]) AS c FROM shp x JOIN shp y ON y.target = x.target AND y.t = x.t - 1) "
-    "SELECT a.target, a.t, a.source_id, round(CASE WHEN c.c > 0.08 AND coalesce(max(b.h), 0) >= a.h THEN a.h * CAST(0.18 AS DOUBLE) ELSE a.h END, 9) AS h FROM act a LEFT JOIN act b ON b.target = a.target AND b.t = a.t - 1 AND b.source_id = a.source_id LEFT JOIN chg c ON c.target = a.target AND c.t = a.t GROUP BY a.target, a.t, a.source_id, a.h, c.c",
-)
+def _suppressed_sql(lag: int) -> str:
+    """Table rp{lag} from rp{lag - 1}: one lag of repetition."""
+    return f"""cg{lag} AS (SELECT x.target, x.t, list_sum([abs(x.v[i] - y.v[i]) FOR i IN range(1, 13)]) AS c FROM shp x JOIN shp y ON y.target = x.target AND y.t = x.t - {lag}),
+rp{lag} AS (SELECT a.target, a.t, a.source_id, CASE WHEN c.c > 0.08 AND coalesce(max(b.h), 0) >= a.h THEN a.h * CAST(0.18 AS DOUBLE) ELSE a.h END AS h FROM rp{lag - 1} a LEFT JOIN rp{lag - 1} b ON b.target = a.target AND b.t = a.t - {lag} AND b.source_id = a.source_id LEFT JOIN cg{lag} c ON c.target = a.target AND c.t = a.t GROUP BY a.target, a.t, a.source_id, a.h, c.c)"""
+
+
+@query("repetition_suppress", f"WITH {SCORE}{ACT}, shp AS (SELECT song_id AS target, segment_idx AS t, [x / greatest(list_sum(chroma), 1e-8) FOR x IN chroma] AS v FROM tgt), rp0 AS (SELECT target, t, source_id, h FROM act), {', '.join(_suppressed_sql(lag) for lag in (1, 2, 3))} SELECT target, t, source_id, round(h, 9) AS h FROM rp3")
 def repetition_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     act, t, _ = _act(spark, sf_dir)
-    return factorize.suppress_repetition(act, _changes(t, 1), 1, 0.18).select("target", "t", "source_id", F.round("h", 9).alias("h"))
+    return factorize.suppress_repetition(act, _changes(t, 3), 3, 0.18).select("target", "t", "source_id", F.round("h", 9).alias("h"))
 
 
 POLY = ",\nown AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY target, t, song_id ORDER BY h DESC, source_id) = 1 THEN h ELSE 0 END AS v FROM act),\npol AS (SELECT target, t, source_id, song_id, CASE WHEN row_number() OVER (PARTITION BY target, t ORDER BY v DESC, source_id) <= 3 THEN v ELSE 0 END AS h FROM own)"
@@ -448,13 +450,37 @@ def tile_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("target", "t", clock_hundredths((F.col("t") - 1) * 2.375).alias("clock"), F.round(brightness(F.col("score")), 9).alias("bright"))
 
 
-@query("candidate_beam")
-def candidate_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates by priority; checked in the tests."""
+PICKS = "list_filter({0}, lambda x, i: list_position({0}, x) = i)[1:16]"
+CANDIDATES = f"""{SCORE}{KNN},
+nea AS (SELECT *, CAST(row_number() OVER (PARTITION BY target, t ORDER BY score DESC, source_id) AS BIGINT) AS r FROM score QUALIFY r <= 8),
+ent AS (SELECT target, t, source_id, 0 AS kind, '' AS song, r, 0 AS side FROM nea UNION ALL SELECT target, t, source_id, 1, song_id, r, 0 FROM knn
+  UNION ALL SELECT n.target, n.t, b.source_id, 2, '', n.r, CASE WHEN b.segment_idx < s.segment_idx THEN 0 ELSE 1 END FROM nea n JOIN src s USING (source_id) JOIN src b ON b.song_id = s.song_id AND abs(b.segment_idx - s.segment_idx) = 1 WHERE n.r <= 4),
+bas AS (SELECT target, t, list(source_id ORDER BY kind, song, r, side) AS l, list(source_id ORDER BY r) FILTER (WHERE kind = 0) AS near FROM ent GROUP BY ALL),
+nxt AS (SELECT map(list(s.source_id), list(n.source_id)) AS m FROM src s JOIN src n ON n.song_id = s.song_id AND n.segment_idx = s.segment_idx + 1),
+cbm AS (SELECT target, t, near, {PICKS.format('l')} AS p FROM bas WHERE t = 1
+  UNION ALL
+  SELECT target, t, near, {PICKS.format('l')} FROM (SELECT b.target, b.t, b.near, b.l || list_filter([m[x] FOR x IN c.p[1:4]], lambda x: x IS NOT NULL) AS l FROM cbm c JOIN bas b ON b.target = c.target AND b.t = c.t + 1, nxt)),
+cnd AS (SELECT target, t, slot, CASE WHEN slot <= len(p) THEN p[slot] ELSE near[(slot - len(p) - 1) % len(near) + 1] END AS source_id FROM (SELECT *, unnest(range(1, 17)) AS slot FROM cbm))"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t, s = _sides(spark, sf_dir)
     atoms = s.select("source_id", "song_id", F.col("segment_idx").alias("frame"))
     scored = search.scored(t, s, 16).unionByName(search.scored(t, s, 2, True)).dropDuplicates(["target", "t", "source_id"])
-    return factorize.candidate_beam(scored, atoms, 16)
+    return factorize.candidate_beam(scored, atoms, 16), atoms
+
+
+@query("candidate_beam", f"WITH RECURSIVE {CANDIDATES} SELECT target, t, slot, source_id FROM cnd")
+def candidate_beam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by priority; SQL builds row after row."""
+    return _candidates(spark, sf_dir)[0]
+
+
+@query("atom_index", f"WITH RECURSIVE {CANDIDATES} SELECT target, t, slot, source_id, CAST(dense_rank() OVER (ORDER BY s.song_id, s.segment_idx) - 1 AS BIGINT) AS atom FROM cnd JOIN src s USING (source_id)")
+def atom_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The used atoms numbered without gaps by song and frame, and each candidate's number."""
+    beam, atoms = _candidates(spark, sf_dir)
+    return numbering.dense_index(beam.join(atoms, "source_id"), ["song_id", "frame"], "atom")[1].select("target", "t", "slot", "source_id", "atom")
 
 
 @query("match_sequence")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.arrays import clock
+from ..operators import numbering
 from ..operators import signals as ops
 from ..sources import catalog
 from .registry import query
@@ -164,15 +165,9 @@ def interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("loudness_gain", f"WITH {SIG}, r AS (SELECT song_id, sqrt(avg(y * y) + 1e-12) AS r FROM sgt GROUP BY song_id), q AS (SELECT *, lag(r, 1, r) OVER (ORDER BY song_id) AS ref FROM r) SELECT song_id, round(least(greatest(power(ref / r, CAST(0.85 AS DOUBLE)), 0.35), 3.5), 6) AS gain FROM q")
 def loudness_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each song against the one before it in id order."""
-    r = ops.levels(_sig(spark, sf_dir)).select("song_id", "rms")
-    ids = r.select("song_id")
-    before = r.select(F.col("song_id").alias("prev"), F.col("rms").alias("ref"))
-    # ids are dense from the data set; the previous one is found by an equi-join on the next larger id
-    from pyspark.sql import Window
-
-    nxt = ids.select("song_id", F.lag("song_id").over(Window.orderBy("song_id")).alias("prev"))
-    rows = r.join(nxt, "song_id").join(before, "prev", "left")
-    return rows.select("song_id", F.round(ops.loudness_gain(F.col("rms"), F.coalesce("ref", "rms")), 6).alias("gain"))
+    r = numbering.numbered(ops.levels(_sig(spark, sf_dir)).select("song_id", "rms"), ["song_id"])
+    before = r.select((F.col("place") + 1).alias("place"), F.col("rms").alias("ref"))
+    return r.join(before, "place", "left").select("song_id", F.round(ops.loudness_gain(F.col("rms"), F.coalesce("ref", "rms")), 6).alias("gain"))
 
 
 HOSTS = tuple(f"{p}{h}.example.{e}" for p in ("", "m.") for h in ("ththre", "ththth", "thther", "tionsh", "thththre") for e in ("com", "net", "org"))
