@@ -57,21 +57,22 @@ def _part(column: str) -> Column:
 
 
 def dense_shares(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(groups with their vocabulary's size, (lang, source, term, count, p of the group, q of the language) of every group and kept term)."""
+    """(groups (g, lang, source, v: terms kept), (g, lang, term, count, p of the group, q of the language) of every group and kept term)."""
     of_term = Window.partitionBy("lang", "term")
     counts = term_counts(docs).withColumns({"docs": F.sum("docs").over(of_term), "all": F.sum("n").over(of_term)})
     counts = materialize(counts.where(F.col("docs") >= least_docs).drop("docs"), "terms")
     vocabulary = materialize(counts.groupBy("lang", "term").agg(F.first("all").alias("all")), "vocabulary")
-    counts = counts.drop("all")
     langs = vocabulary.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("of_lang"))
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("of_group"))
-    groups = materialize(_named(docs).select("lang", "source").distinct().join(langs, "lang", "left").join(sums, ["lang", "source"], "left"), "groups")
+    groups = _named(docs).select("lang", "source").distinct().join(langs, "lang", "left").join(sums, ["lang", "source"], "left")
+    groups = materialize(groups.withColumn("g", F.monotonically_increasing_id()), "groups")  # written, so that the numbers stay
+    numbered = counts.join(groups.select("lang", "source", "g"), ["lang", "source"]).select("g", "term", "n")
     # each language's vocabulary beside each of its groups: in parts, as a few languages may hold all rows
     crossed = _on_all_parts(groups.where("v > 0")).hint("merge").join(vocabulary.withColumn("part", _part("term")), ["lang", "part"])
-    filled = crossed.join(counts, ["lang", "source", "term"], "left").withColumn("count", F.coalesce("n", F.lit(0).cast("long")))
+    filled = crossed.join(numbered, ["g", "term"], "left").withColumn("count", F.coalesce("n", F.lit(0).cast("long")))
     p = share(F.col("count"), F.coalesce("of_group", F.lit(0).cast("long")) + F.col("v"))
     q = share(F.col("all"), F.col("of_lang") + F.col("v"))
-    return groups, materialize(filled.select("lang", "source", "term", "count", p.alias("p"), q.alias("q")), "shares")
+    return groups.select("g", "lang", "source", "v"), materialize(filled.select("g", "lang", "term", "count", p.alias("p"), q.alias("q")), "shares")
 
 
 def audit_sources(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
@@ -83,18 +84,19 @@ def audit_sources(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_
     that is first in UTF-8. Extra columns are not read; an empty table gives no rows.
     """
     groups, shares = dense_shares(docs, least_docs)
-    one, other = (shares.select("lang", "term", F.col("source").alias(s), F.col("p").alias(p)) for s, p in (("source", "p"), ("item", "q")))
-    both = one.hint("merge").join(other, ["lang", "term"]).where("source < item")
-    sums = both.groupBy("lang", "source", "item").agg(F.sum(divergence(F.col("p"), F.col("q"))).alias("there"), F.sum(divergence(F.col("q"), F.col("p"))).alias("back"))
-    ways = F.array(F.struct("source", "item", F.col("there").alias("value")), F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))
-    pairs = sums.select("lang", F.inline(ways))
+    name = groups.select("g", "lang", "source")
+    one, other = (shares.select("lang", "term", F.col("g").alias(g), F.col("p").alias(p)) for g, p in (("g", "p"), ("h", "q")))
+    both = one.hint("merge").join(other, ["lang", "term"]).where("g < h")
+    sums = both.groupBy("g", "h").agg(F.sum(divergence(F.col("p"), F.col("q"))).alias("there"), F.sum(divergence(F.col("q"), F.col("p"))).alias("back"))
+    ways = F.array(F.struct("g", "h", F.col("there").alias("value")), F.struct(F.col("h").alias("g"), F.col("g").alias("h"), F.col("back").alias("value")))
+    pairs = sums.select(F.inline(ways)).join(name, "g").join(name.select(F.col("g").alias("h"), F.col("source").alias("item")), "h").select("lang", "source", "item", "value")
     bare = groups.where("v is null").select("lang", "source")
     none = bare.withColumn("part", _part("source")).hint("merge").join(_on_all_parts(bare.withColumnRenamed("source", "item")), ["lang", "part"]).where("source <> item")
     pairs = pairs.unionByName(none.select("lang", "source", "item", F.lit(0).cast("long").alias("value")))
-    terms = shares.where("count > 0 and p > q").select("lang", "source", F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
+    terms = shares.where("count > 0 and p > q").select("g", F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
     # a limit of the rank cuts each task's rows before they are shuffled
-    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    pairs, terms = pairs.withColumn("rank", rank), terms.withColumn("rank", rank).where(F.col("rank") <= top)
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("value"), "item"))
+    pairs, terms = pairs.withColumn("rank", rank("lang", "source")), terms.withColumn("rank", rank("g")).where(F.col("rank") <= top).join(name, "g")
     rows = [r.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank") for part, r in (("pair", pairs), ("term", terms))]
     return rows[0].unionByName(rows[1])
 
