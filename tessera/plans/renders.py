@@ -6,22 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.costs import role
-from ..operators import numbering, render
+from ..operators import render
 from ..sources import catalog
+from .frames import FLUX, song_onsets
 from .matching import LAYER_SQL, _layers, _sides
 from .registry import query
 
 SR, WINDOW, SIZE = 291, 0.45, 512  # a hop of .22 s is one vector
+GUARD = max(16, round(0.004 * SR))
 STEMMED = ("A", "B")  # songs that have stems too
 X = "CAST({} AS DOUBLE)".format
 WAV = """wav AS (SELECT song_id, flatten(list(e ORDER BY segment_idx)) AS y FROM src JOIN raw USING (source_id) GROUP BY song_id),
 kin AS (SELECT song_id, y, [greatest(v, 0) FOR v IN y] AS drums, [least(v, 0) FOR v IN y] AS bass, [v * v FOR v IN y] AS other, [abs(v) / 2 FOR v IN y] AS vocals FROM wav)"""
-PLAN = f"""tp AS (SELECT song_id AS target, segment_idx - 1 AS place, start_s, CAST(round_even(start_s * {SR}, 0) AS BIGINT) AS pos, CAST(round_even(least(greatest(end_s - start_s, {X(.12)}), {X(2 * WINDOW)}) * {SR}, 0) AS BIGINT) AS win FROM tgt),
+PLAN = f"""{FLUX},
+ons AS (SELECT song_id AS target, CAST(start AS BIGINT) * 64 AS "at" FROM fo WHERE ok),
+tp AS (SELECT song_id AS target, segment_idx - 1 AS place, start_s, CAST(round_even(start_s * {SR}, 0) AS BIGINT) AS pos, CAST(round_even(least(greatest(end_s - start_s, {X(.12)}), {X(2 * WINDOW)}) * {SR}, 0) AS BIGINT) AS win FROM tgt),
 fst AS (SELECT l.target, l.t - 1 AS place, l.song_id, s.start_s AS source_s FROM lay l JOIN src s USING (source_id) WHERE l.layer = 0),
 ps AS (SELECT *, greatest(1, coalesce(lead(pos) OVER w - pos, win)) AS span, lead(pos) OVER w AS edge, lead(song_id) OVER w AS next_song, lead(source_s) OVER w AS next_s FROM tp JOIN fst USING (target, place) WINDOW w AS (PARTITION BY target ORDER BY place)),
 pn AS (SELECT *, lead(span) OVER (PARTITION BY target ORDER BY place) AS next_span FROM ps),
 px AS (SELECT *, least({round(.03 * SR)}, span // 2, next_span // 2) AS xf, greatest(1, edge - pos) / CAST({SR} AS DOUBLE) AS step FROM pn),
-pf AS (SELECT *, CASE WHEN edge IS NULL THEN 0 ELSE greatest(xf, least({max(16, round(.004 * SR))}, span, next_span)) END AS fade_out, edge IS NOT NULL AND NOT (song_id = next_song AND abs(source_s + step - next_s) <= greatest({X(.06)}, step * {X(.55)})) AS pow FROM px),
+pe AS (SELECT *, greatest(xf, least({GUARD}, span, next_span)) AS seam, EXISTS (SELECT 1 FROM ons o WHERE o.target = px.target AND abs(o."at" - px.edge) <= {round(.02 * SR)}) AS near FROM px),
+pf AS (SELECT *, CASE WHEN edge IS NULL THEN 0 WHEN near THEN least(seam, greatest(1, least(greatest({GUARD}, CAST(round_even(xf * {X(.35)}, 0) AS BIGINT)), span, next_span))) ELSE seam END AS fade_out, edge IS NOT NULL AND NOT (song_id = next_song AND abs(source_s + step - next_s) <= greatest({X(.06)}, step * {X(.55)})) AS pow FROM pe),
 plan AS (SELECT target, place, pos, greatest(win, span + fade_out) AS length, coalesce(lag(fade_out) OVER w, 0) AS fade_in, fade_out, coalesce(lag(pow) OVER w, false) AS power, CAST(round_even((max(start_s) OVER (PARTITION BY target) + {X(WINDOW)}) * {SR}, 0) AS BIGINT) AS n_out FROM pf WINDOW w AS (PARTITION BY target ORDER BY place))"""
 CLIPS = f"""{LAYER_SQL}, {WAV}, {PLAN},
 req AS (SELECT l.target, l.t - 1 AS place, l.layer, l.source_id, l.song_id, l.weight, r.role, p.length AS n, CAST(round_even(s.start_s * {SR}, 0) AS BIGINT) AS a FROM lay l JOIN src s USING (source_id) JOIN rol r USING (source_id) JOIN plan p ON p.target = l.target AND p.place = l.t - 1),
@@ -42,7 +47,7 @@ smp AS (SELECT p.*, unnest(range(0, length)) AS k, unnest(x) AS x FROM plan p JO
 env AS (SELECT target, pos + k AS i, n_out, x, CASE WHEN k < fade_in THEN sin(pi() / 2 * k / fade_in) ELSE 1 END * CASE WHEN k >= length - fade_out THEN CASE WHEN fade_out <= 1 THEN 1 ELSE cos(pi() / 2 * (k - (length - fade_out)) / (fade_out - 1)) END ELSE 1 END AS w,
   CASE WHEN power AND k < fade_in THEN power(sin(pi() * k / greatest(fade_in - 1, 1)), 2) ELSE 0 END AS ease FROM smp WHERE pos + k < n_out),
 sums AS (SELECT target, i, sum(w * x) AS s, sum(w) AS w, sum(w * w) AS w2, max(ease) AS ease, max(n_out) AS n_out FROM env GROUP BY ALL),
-raw_ AS (SELECT target, i, n_out, least({max(16, round(.004 * SR))}, n_out // 2) AS g, CASE WHEN (1 - ease) * w + ease * sqrt(greatest(w2, 1e-12)) > 1e-6 THEN s / ((1 - ease) * w + ease * sqrt(greatest(w2, 1e-12))) ELSE s END AS y FROM sums),
+raw_ AS (SELECT target, i, n_out, least({GUARD}, n_out // 2) AS g, CASE WHEN (1 - ease) * w + ease * sqrt(greatest(w2, 1e-12)) > 1e-6 THEN s / ((1 - ease) * w + ease * sqrt(greatest(w2, 1e-12))) ELSE s END AS y FROM sums),
 ramp AS (SELECT target, i, y * CASE WHEN g > 1 AND i < g THEN sin(pi() / 2 * i / (g - 1)) ELSE 1 END * CASE WHEN g > 1 AND n_out - 1 - i < g THEN sin(pi() / 2 * (n_out - 1 - i) / (g - 1)) ELSE 1 END AS y FROM raw_),
 out AS (SELECT target, i, y * CASE WHEN max(abs(y)) OVER (PARTITION BY target) > 0.99 THEN {X(.99)} / max(abs(y)) OVER (PARTITION BY target) ELSE 1 END AS y FROM ramp)"""
 
@@ -69,6 +74,10 @@ def _tiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return goal.join(first, ["target", "place"]), layers
 
 
+def _onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return song_onsets(spark, sf_dir).select(F.col("song_id").alias("target"), (F.col("start") * 64).alias("at"))
+
+
 @query("wave_blocks", f"WITH {LAYER_SQL}, {WAV}, un AS (SELECT song_id, 'song' AS kind, y FROM kin UNION ALL SELECT song_id, unnest(['drums', 'bass', 'other', 'vocals']), unnest([drums, bass, other, vocals]) FROM kin WHERE song_id IN {STEMMED}), b AS (SELECT song_id, kind, y, unnest(range(0, (len(y) + {SIZE - 1}) // {SIZE})) AS block FROM un) SELECT song_id, kind, block, CAST(len(y[block * {SIZE} + 1:(block + 1) * {SIZE}]) AS BIGINT) AS n, round(list_sum(y[block * {SIZE} + 1:(block + 1) * {SIZE}]), 6) AS total FROM b")
 def wave_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.vectors import total
@@ -76,21 +85,21 @@ def wave_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _waves(spark, sf_dir).select("song_id", "kind", "block", F.size("samples").cast("long").alias("n"), F.round(total(F.col("samples")), 6).alias("total"))
 
 
-@query("seam_plan", f"WITH {LAYER_SQL}, {PLAN} SELECT target, place, pos, length, fade_in, fade_out, power, n_out FROM plan")
+@query("seam_plan", f"WITH RECURSIVE {LAYER_SQL}, {PLAN} SELECT target, place, pos, length, fade_in, fade_out, power, n_out FROM plan")
 def seam_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.planned(_tiles(spark, sf_dir)[0], SR, WINDOW)
+    return render.planned(_tiles(spark, sf_dir)[0], SR, WINDOW, _onsets(spark, sf_dir))
 
 
-@query("layer_clips", f"WITH {CLIPS}, u AS (SELECT target, place, layer, song_id, role, unnest(range(0, n)) AS k, unnest(x) AS y FROM clp) SELECT target, place, layer, song_id, role, k, round(y, 6) AS y FROM u")
+@query("layer_clips", f"WITH RECURSIVE {CLIPS}, u AS (SELECT target, place, layer, song_id, role, unnest(range(0, n)) AS k, unnest(x) AS y FROM clp) SELECT target, place, layer, song_id, role, k, round(y, 6) AS y FROM u")
 def layer_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles, layers = _tiles(spark, sf_dir)
-    wanted = layers.join(render.planned(tiles, SR, WINDOW).select("target", "place", F.col("length").alias("n")), ["target", "place"])
+    wanted = layers.join(render.planned(tiles, SR, WINDOW, _onsets(spark, sf_dir)).select("target", "place", F.col("length").alias("n")), ["target", "place"])
     clips = render.layer_clips(wanted.withColumn("a", F.rint(F.col("source_s") * SR).cast("long")), _waves(spark, sf_dir), SIZE)
     rows = clips.select("target", "place", "layer", "song_id", "role", F.posexplode("samples").alias("k", "y"))
     return rows.select("target", "place", "layer", "song_id", "role", F.col("k").cast("long").alias("k"), F.round("y", 6).alias("y"))
 
 
-@query("ola_render", f'WITH {RENDER} SELECT target, i AS "at", round(y, 6) + 0 AS y FROM out')
+@query("ola_render", f'WITH RECURSIVE {RENDER} SELECT target, i AS "at", round(y, 6) + 0 AS y FROM out')
 def ola_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles, layers = _tiles(spark, sf_dir)
-    return render.rendered(tiles, layers, _waves(spark, sf_dir), SR, WINDOW, size=SIZE).select("target", "at", (F.round("y", 6) + 0.0).alias("y"))
+    return render.rendered(tiles, layers, _waves(spark, sf_dir), SR, WINDOW, _onsets(spark, sf_dir), SIZE).select("target", "at", (F.round("y", 6) + 0.0).alias("y"))
