@@ -27,7 +27,7 @@ SHINGLE = 5
 NUM, DEN = 80, 100  # linked if DEN * intersection >= NUM * union
 BAND = 1.5  # a band's largest size over its smallest
 BASE = 0x9E3779B97F4A7C15
-KEYS = ["hub", "i", "j"]
+KEYS = ["hub", "kind", "i", "j"]
 Sign = Callable[[list[np.ndarray]], list[np.ndarray]]  # signatures of each set
 BLOCK = 384  # members of a hub in one block; a task compares two blocks
 STAR = 256  # members of a hub that one task compares with it
@@ -198,10 +198,21 @@ def linked(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool
 
 
 def _in_blocks(members: DataFrame) -> DataFrame:
-    """(hub, ..., block, i, j) of members (hub, ...): each once for every pair of blocks of its hub that has its own."""
-    rows = with_group(members, ["hub"], "rep", [F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+    """(hub, ..., block, kind, i, j) of members (hub, rep, comp, ...): each once for every two blocks of its hub that it is compared in.
+
+    Members of a hub's commonest component (block -1) need none of each other: they meet the others only (kind 0, their block i
+    with block j of the others), and the others each other (kind 1).
+    """
+    rows = with_group(members, ["hub", "comp"], "rep", [F.count("*").alias("same")])
+    rows = with_group(rows, ["hub"], "rep", [F.max(F.struct("same", "comp")).alias("most"), F.count("*").alias("all")])
+    main, count = F.col("comp") == F.col("most.comp"), lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("long")
+    mains, others = count(F.col("most.same")), count(F.col("all") - F.col("most.same"))
+    own = F.pmod(F.xxhash64("rep"), F.when(main, mains).otherwise(others))
+    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
+    across = F.concat(each(mains, lambda k: pair(0, k, own)), each(others, lambda k: pair(1, F.least(own, k), F.greatest(own, k))))
+    pairs = F.when(main, each(others, lambda k: pair(0, own, k))).otherwise(across)
+    return rows.withColumns({"block": F.when(main, F.lit(-1).cast("long")).otherwise(own), "pair": F.explode(pairs)}).drop("same", "most", "all").select("*", "pair.*").drop("pair")
 
 
 def possible_rows(n: np.ndarray, counts: list[bytes], hub_n: np.ndarray, hub_counts: list[bytes], num: int = NUM, den: int = DEN) -> np.ndarray:
@@ -254,10 +265,10 @@ def _compare_with_hubs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sh
 
 
 def _apart(group: pa.Table, maybe: np.ndarray) -> np.ndarray:
-    """Only pairs of different components; of two different blocks, only pairs across."""
+    """Only pairs of different components; of two different blocks, or of the commonest component and others, only pairs across."""
     comp = group.column("comp").to_numpy()
     maybe &= comp[:, None] != comp[None, :]
-    if group.column("i")[0] != group.column("j")[0]:
+    if group.column("kind")[0].as_py() == 0 or group.column("i")[0] != group.column("j")[0]:
         block = group.column("block").to_numpy()
         maybe &= block[:, None] != block[None, :]
     return maybe
@@ -304,7 +315,7 @@ def _compare(members: DataFrame, known: DataFrame, docs: DataFrame, shingle: int
     left = materialize(left, "left")
     settle(docs.sparkSession)
     # a merge join at every size: what is left grows with the documents
-    rows = _in_blocks(left).join(docs.hint("merge"), F.col("rep") == F.col("doc_id")).select("hub", "i", "j", "block", "rep", "comp", "text")
+    rows = _in_blocks(left).join(docs.hint("merge"), F.col("rep") == F.col("doc_id")).select(*KEYS, "block", "rep", "comp", "text")
     links = materialize(sorted_groups(rows, KEYS).mapInArrow(partial(_links, shingle=shingle), "a long, b long"), "links")
     settle(docs.sparkSession)
     return links
