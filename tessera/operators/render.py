@@ -37,6 +37,24 @@ def _joined(cuts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.select(*keys, F.flatten(F.transform("cuts", lambda c: c["part"])).alias("samples"))
 
 
+def stretches(asked: DataFrame, waves: DataFrame, keys: list[str], size: int = BLOCK, gain: Column | None = None) -> DataFrame:
+    """asked (keys..., with song_id, kind, a, n among them, each once) with `samples`: n from place a on, which may lie before the start.
+
+    Only the blocks that a stretch touches are joined. Places outside the song are silent; a stretch that lies outside altogether has no row.
+    """
+    parts = asked.withColumn("block", F.explode(F.expr(f"sequence(greatest(a, 0L) div {size}, greatest(a + n - 1, 0L) div {size})")))
+    start = F.col("block") * size
+    low, high = F.greatest(F.col("a") - start, F.lit(0)), F.least(F.col("a") + F.col("n") - start, F.size("samples"))
+    hit = parts.join(waves, ["song_id", "kind", "block"]).where(high > low)
+    part = F.slice("samples", (low + 1).cast("int"), (high - low).cast("int"))
+    if gain is not None:
+        part = F.transform(part, lambda x: x * gain)
+    cuts = hit.select(*keys, F.struct((start + low - F.col("a")).alias("off"), part.alias("part")).alias("cut"))
+    cuts = cuts.groupBy(*keys).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    lead = F.array_repeat(F.lit(0.0), F.get("cuts", F.lit(0))["off"].cast("int"))
+    return cuts.select(*keys, fit_length(F.concat(lead, F.flatten(F.transform("cuts", lambda c: c["part"]))), F.col("n")).alias("samples"))
+
+
 def _mix(role: Column) -> Column:
     """(kind, gain) of the stems of a role."""
     of = lambda m: F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(g).alias("gain")) for k, g in m.items()])
@@ -56,16 +74,10 @@ def layer_clips(layers: DataFrame, waves: DataFrame, size: int = BLOCK) -> DataF
     asked = layers.select(*request).where("n > 0 and a >= 0").distinct().join(stems, "song_id", "left")
     song = F.array(F.struct(F.lit("song").alias("kind"), F.lit(1.0).alias("gain")))
     parts = asked.select(*request, F.inline(F.when(F.col("stems"), _mix(F.col("role"))).otherwise(song)))
-    parts = parts.withColumn("block", F.explode(F.expr(f"sequence(a div {size}, (a + n - 1) div {size})")))
-    start = F.col("block") * size
-    low, high = F.greatest(F.col("a") - start, F.lit(0)), F.least(F.col("a") + F.col("n") - start, F.size("samples"))
-    hit = parts.join(waves, ["song_id", "kind", "block"]).where(high > low)
-    part = F.transform(F.slice("samples", (low + 1).cast("int"), (high - low).cast("int")), lambda x: x * F.col("gain"))
-    cut = F.struct((start + low - F.col("a")).alias("off"), part.alias("part"))
-    kinds = _joined(hit.select(*request, "kind", cut.alias("cut")), [*request, "kind"])
+    kinds = stretches(parts, waves, [*request, "kind"], size, F.col("gain"))
     clips = kinds.groupBy(*request).agg(F.array_sort(F.collect_list(F.struct("kind", "samples"))).alias("kinds"))
     silent = F.array_repeat(F.lit(0.0), F.col("n").cast("int"))
-    heard = F.aggregate("kinds", silent, lambda s, k: F.zip_with(s, fit_length(k["samples"], F.col("n")), lambda x, y: x + y))
+    heard = F.aggregate("kinds", silent, lambda s, k: F.zip_with(s, k["samples"], lambda x, y: x + y))
     clips = clips.select(*request, heard.alias("samples"))
     return layers.join(clips, request, "left").withColumn("samples", F.coalesce("samples", silent))
 

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _all() -> None:
-    from . import frames, matching, renders, signals, tracks  # noqa: F401  they register theirs
+    from . import frames, matching, renders, resynthesis, signals, tracks  # noqa: F401  they register theirs
 
 
 def queries() -> dict[str, Query]:
