@@ -18,7 +18,7 @@ from .common import materialize, settle, small_batches, text_chunks
 from .tokens import word_tokens
 
 MASS = 200.0
-HELD_PAIRS = 8_000_000  # pairs of both models (16 bytes each) that go to every task at most; more are joined instead
+HELD_PAIRS = 8_000_000  # pairs of both models (24 bytes each) that go to every task at most; more are joined instead
 COMBINE = 4_000_000  # keys that a counting task gathers before it adds them up
 
 TOKENS = "doc_id long, target boolean, ids binary"
@@ -164,7 +164,7 @@ def score_documents(docs: DataFrame, targets: DataFrame, tokenizer_path: str, he
         table = pairs.toArrow()
         keys = table.column("pair").to_numpy()
         order = np.argsort(keys)
-        keys, counts = keys[order], np.stack([table.column(c).to_numpy()[order] for c in ("target", "background")]).astype(np.float32)
+        keys, counts = keys[order], np.stack([table.column(c).to_numpy()[order] for c in ("target", "background")])
         held = spark.sparkContext.broadcast((keys, counts))
         return tokens.mapInArrow(lambda b: _score_held(b, start, *held.value, singles), SCORES)
     own = tokens.mapInArrow(lambda b: _pair_rows(b, start), "doc_id long, pair long, times long")

@@ -135,6 +135,12 @@ LATE = "key long, variant long, lo array<int>, hi array<int>, hashes array<long>
 def _late(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """For each text of a shard, the windows that an earlier text of the shard has; where an anchor has more shards, the others' hashes."""
     for group in grouped_batches(batches, ["shard"]):
+        # a repeated row of a document cuts the same text again
+        key, variant = (group.column(c).to_numpy() for c in ("key", "variant"))
+        order = np.lexsort((variant, key))
+        new = np.append(True, (key[order][1:] != key[order][:-1]) | (variant[order][1:] != variant[order][:-1]))
+        if not new.all():
+            group = group.take(pa.array(np.sort(order[new])))
         texts = group.column("bytes").to_pylist()
         doc, start = group.column("doc_id").to_numpy(), group.column("start").to_numpy()
         more = group.column("shards").to_numpy() > 1
@@ -228,7 +234,8 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     Texts are UTF-8 bytes (null: empty), matches never cross documents. Each byte goes that a `length`-byte string covers which also
     starts earlier: in a document of smaller doc_id, or before in the same one; strings are judged on the input. doc_id is a
-    key. Shorter texts keep all. Extra columns are not read; an empty table gives no rows.
+    key: rows that repeat a document are one in judging, and each gets its result. Rows of null doc_id keep all and take
+    nothing from others. Shorter texts keep all. Extra columns are not read; an empty table gives no rows.
     """
     spans = materialize(repeated_bytes(docs, length, gram), "spans")
     settle(docs.sparkSession)

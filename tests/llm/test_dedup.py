@@ -131,6 +131,23 @@ def test_suffixes_equal_brute_force(docs, rows, texts, monkeypatch):
     assert got == brute_bytes(rows, 100)
 
 
+@pytest.mark.parametrize("texts", [2000, 1])
+def test_suffixes_of_repeated_and_null_rows(spark, texts, monkeypatch):
+    """A repeated row counts once and gets its document's result; rows without an id keep all and take nothing."""
+    monkeypatch.setattr(suffix_dedup, "TEXTS", texts)
+    r = random.Random(12)
+    text = lambda n: " ".join("".join(r.choice("abcdefghi") for _ in range(5)) for _ in range(n))
+    shared = text(60)
+    rows = [(1, text(10) + " " + shared), (2, shared + " " + text(12)), (3, text(5) + shared[:150] + text(30) + shared), (4, text(80)), (5, shared)]
+    want = brute_bytes(rows, 100)
+    many = [rows[0], rows[0], rows[1], rows[2], rows[2], rows[2], rows[3], rows[3], rows[4], (None, shared), (None, shared)]
+    got = suffix_dedup.dedup_suffixes(spark.createDataFrame(many, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(many)
+    for x in got:
+        own = (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"])
+        assert own == (want[x["doc_id"]] if x["doc_id"] else (len(shared), 0, 0, hashlib.sha256(shared.encode()).hexdigest()))
+
+
 def test_intervals_are_equal_prefixes():
     r = np.random.default_rng(8)
     text = np.concatenate([np.tile(r.integers(97, 100, 40), 5), r.integers(97, 99, 300), [255]]).astype(np.uint8)

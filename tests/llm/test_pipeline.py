@@ -3,6 +3,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -79,8 +80,23 @@ def test_null_ids_and_repeated_rows(spark):
     assert key(three) == sorted(x for x in want if item not in x[1])
 
 
+def test_columns_of_any_name_pass(spark):
+    """Columns called like the stages' own ones keep their values, in every stage."""
+    names = ["toxic", "toxicity", "n_words", "n_removed", "kept_text", "kept_sha256", "component_id", "again", "_column_1", "n_chars", "item_id", "a.b"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *((F.col("doc_id") + i).alias(n) for i, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == r["doc_id"] + i for r in rows for i, n in enumerate(names) if n != "n_chars"), name
+    assert corpus_pipeline.pack_sequences(spark, docs, DATA).count() >= 200
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as driver
 
     names = set(driver.queries())
-    assert {"pipeline"} <= names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert {"pipeline"} <= names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
