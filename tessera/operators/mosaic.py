@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.costs import MatchParams
+from ..sources.shared import written
 from . import decode, search
 
 # Allowed ranges of options.
@@ -38,6 +39,7 @@ def match_sequence(targets: DataFrame, sources: DataFrame, p: MatchParams = Matc
     checked(p)
     quotas = not p.fidelity_first and p.max_share < 1
     beam = search.beam_topk(targets, sources, p.top_k, weights) if p.fidelity_first else search.beam_diverse(targets, sources, p.top_k, p.per_song_k, weights)
+    beam = written(beam, "beam")  # every pass, the layers and the figures read it
     path = decode.balanced_path(beam, targets, sources, p)
     starts = sources.select("source_id", "start_s")
     rows = path.drop("cost").join(beam, ["target", "t", "j"]).join(starts, "source_id").select(*[c.split()[0] for c in decode.TILES.split(", ")])
@@ -47,6 +49,7 @@ def match_sequence(targets: DataFrame, sources: DataFrame, p: MatchParams = Matc
         rows = decode.enforce_min_runs(rows, sources, p.min_run, p.hop_s, p.max_share)
         if quotas:
             rows = decode.enforce_max_share(rows, beam, sources, p.max_share)
+    rows = written(rows, "tiles")
     layers = decode.layers(rows, beam, targets, sources, p)
     greedy = decode.transitions(beam.where("j = 1")).withColumnRenamed("transitions", "greedy_transitions")
     mean = rows.groupBy("target").agg(F.count("*").alias("tiles"), F.avg("score").alias("similarity"))

@@ -103,3 +103,17 @@ def layer_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ola_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles, layers = _tiles(spark, sf_dir)
     return render.rendered(tiles, layers, _waves(spark, sf_dir), SR, WINDOW, _onsets(spark, sf_dir), SIZE).select("target", "at", (F.round("y", 6) + 0.0).alias("y"))
+
+
+@query("job_quality")
+def job_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of both renderings of every target and the one that is taken: the whole job. Parts have SQL, the measures are tested against whole-sound kernels."""
+    from ..functions.costs import MatchParams
+    from ..operators import job
+    from .resynthesis import _waves as waves_of
+
+    t, s = _sides(spark, sf_dir)
+    goal = render.wave_blocks(waves_of(spark, sf_dir, True).select("song_id", "kind", F.col("block").alias("piece"), "samples"), SIZE)
+    p = job.JobParams(sr=SR, window_s=WINDOW, size=128, hop=64, polyphony=3, block=SIZE)
+    out = job.run_job(t, s, goal, _waves(spark, sf_dir), p, MatchParams(top_k=8, n_layers=2), onsets=_onsets(spark, sf_dir)).quality
+    return out.select("target", "backend", *(F.col(f"{r}.{m}").alias(f"{r}_{m}") for r in ("unit", "nmf") for m in ("chroma", "onset", "log_mel", "boundary")))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audio
+from ..operators import audio, quality, render
 from ..sources import catalog
 from .matching import beam_sql, _beam
 from .registry import query
@@ -110,7 +110,10 @@ QUALITY = f"{PAR}, ref AS (SELECT song_id, r[1:least(len(r), len(e))] AS y FROM
 
 @query("log_mel_distance", f"WITH {QUALITY} SELECT song_id, round((m512.d + m1024.d + m2048.d) / 3, 4) AS log_mel FROM m512 JOIN m1024 USING (song_id) JOIN m2048 USING (song_id)")
 def log_mel_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.quality(_pairs(spark, sf_dir)).select("song_id", "log_mel")
+    """Over blocks of frames; each track is the estimate of the one before it."""
+    rows = _pairs(spark, sf_dir)
+    side = lambda c: render.wave_blocks(rows.select("song_id", F.lit("song").alias("kind"), F.lit(0).alias("piece"), F.transform(c, lambda x: x.cast("double")).alias("samples")), 256)
+    return quality.compared(side("reference"), side("estimate"), SR, block=256).select(F.col("target").alias("song_id"), "log_mel")
 
 
 @query("fixed_segments", f"WITH {TRK}, k AS (SELECT song_id, y, unnest(range(0, greatest(len(y) - 1, 1), 88)) AS a FROM trk) SELECT song_id, CAST(a // 88 AS BIGINT) AS segment_idx, round(a / {SR}, 6) AS start_s, round(least(a + 180, len(y)) / {SR}, 6) AS end_s, round(list_sum(y[a + 1 : a + 180]), 5) AS total FROM k WHERE a = 0 OR a - 88 + 180 < len(y)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOCUMENT = "target string, songs array<string>, stats struct<tiles: bigint, transitions: bigint, similarity: double>, tiles array<struct<t: bigint, source_id: bigint, song_id: string, key_shift: int, score: double, layers: array<struct<source_id: bigint, song_id: string, weight: double>>>>"
+DOCUMENT = "target string, songs array<string>, stats struct<tiles: bigint, transitions: bigint, similarity: double>, tiles array<struct<t: bigint, source_id: bigint, song_id: string, key_shift: int, score: double, layers: array<struct<source_id: bigint, song_id: string, weight: double>>>>, render struct<backend: string, quality: struct<chroma: double, onset: double, log_mel: double, boundary: double>>"
 
 
 def documents(tiles: DataFrame, layers: DataFrame) -> DataFrame:
@@ -24,6 +24,14 @@ def write_documents(docs: DataFrame, path: str) -> None:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents again as rows of nested columns; lines that are none are dropped."""
-    rows = spark.read.text(path).select(F.from_json("value", DOCUMENT).alias("d")).select("d.*")
-    return rows.where("target is not null")
+    """Documents again as rows of nested columns; lines that are none: see broken_lines()."""
+    return _parsed(spark, path).where("d.target is not null").select("d.*")
+
+
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of what read_documents() leaves out."""
+    return _parsed(spark, path).where("d.target is null").select(F.col("value").alias("line"))
+
+
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.from_json("value", DOCUMENT).alias("d"))
