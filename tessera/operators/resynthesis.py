@@ -34,6 +34,23 @@ def _asked(frames: DataFrame, size: int, hop: int) -> DataFrame:
     return frames.withColumns({"kind": F.lit("song"), "a": F.col("f0") * hop - size // 2, "n": (F.col("f1") - 1 - F.col("f0")) * hop + size})
 
 
+def spectra(waves: DataFrame, size: int = 2048, hop: int = 512, block: int = BLOCK) -> DataFrame:
+    """(song_id, frame, magnitude) of every frame, centred at every hop."""
+    n = lengths(waves).select("song_id", (F.expr(f"n_samples div {hop}") + 1).alias("n_frames"))
+    parts = n.withColumn("part", F.explode(F.expr(f"sequence(0L, (n_frames - 1) div {FRAMES})")))
+    parts = parts.select("song_id", (F.col("part") * FRAMES).alias("f0"), F.least((F.col("part") + 1) * FRAMES, F.col("n_frames")).alias("f1"))
+    cut = stretches(_asked(parts, size, hop), waves, ["song_id", "kind", "a", "n", "f0"], block)
+
+    def magnitudes(batches):
+        for b in batches:
+            for song, first, samples in zip(*(b.column(c).to_pylist() for c in ("song_id", "f0", "samples"))):
+                m = np.abs(_spectrum(np.asarray(samples, float), size, hop))
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([song] * len(m)), pa.array(np.arange(first, first + len(m))), lists], names=["song_id", "frame", "magnitude"])
+
+    return cut.select("song_id", "f0", "samples").mapInArrow(magnitudes, "song_id string, frame long, magnitude array<double>")
+
+
 def _atoms_of(table: pa.Table, size: int, hop: int) -> pa.Table:
     rows = []
     for song, first, wanted, samples in zip(*(table.column(c).to_pylist() for c in ("song_id", "f0", "frames", "samples"))):

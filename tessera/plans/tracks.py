@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audio, quality, render
+from ..operators import audio, quality, render, resynthesis, shaping
 from ..sources import catalog
 from .matching import beam_sql, _beam
 from .registry import query
@@ -30,6 +32,21 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(before, "n").select("song_id", "sr", "reference", F.col("samples").alias("estimate"))
 
 
+BLOCK = 256
+
+
+def _waves(rows: DataFrame, column: str) -> DataFrame:
+    """A column of whole tracks as waveforms in blocks."""
+    return render.wave_blocks(rows.select("song_id", F.lit("song").alias("kind"), F.lit(0).alias("piece"), F.transform(column, lambda x: x.cast("double")).alias("samples")), BLOCK)
+
+
+def _shaped(spark: SparkSession, sf_dir: str, how: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(song_id, i, y) of every track shaped after the one before it."""
+    rows = _pairs(spark, sf_dir)
+    out = how(_waves(rows, "estimate"), _waves(rows, "reference")).select("song_id", "block", F.posexplode("samples").alias("k", "y"))
+    return out.select("song_id", (F.col("block") * BLOCK + F.col("k")).alias("i"), F.round("y", 6).alias("y"))
+
+
 def stft_sql(name: str, source: str, size: int, hop: int) -> str:
     """Common table expressions up to `name` (song_id, frame, bin, mag) of source (song_id, y): inner products with windowed waves."""
     turn, hann = f"2 * pi() * ((b * k) % {size}) / {size}", f"(CAST(0.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) * cos(2 * pi() * k / {size}))"
@@ -42,7 +59,8 @@ def stft_sql(name: str, source: str, size: int, hop: int) -> str:
 
 @query("stft_magnitude", f"WITH {TRK}, {stft_sql('spc', 'trk', 64, 32)} SELECT song_id, frame, bin, round(mag, 6) AS magnitude FROM spc")
 def stft_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audio.spectra(_tracks(spark, sf_dir), 64, 32).select("song_id", "frame", F.posexplode("magnitude").alias("bin", "magnitude"))
+    waves = _waves(_tracks(spark, sf_dir), "samples")
+    rows = resynthesis.spectra(waves, 64, 32, BLOCK).select("song_id", "frame", F.posexplode("magnitude").alias("bin", "magnitude"))
     return rows.select("song_id", "frame", F.col("bin").cast("long").alias("bin"), F.round("magnitude", 6).alias("magnitude"))
 
 
@@ -63,14 +81,9 @@ def edge_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("song_id", F.col("k").cast("long").alias("k"), F.round("x.head", 6).alias("head"), F.round("x.tail", 6).alias("tail"))
 
 
-def _samples(rows: DataFrame) -> DataFrame:
-    rows = rows.select("song_id", F.posexplode("samples").alias("i", "y"))
-    return rows.select("song_id", F.col("i").cast("long").alias("i"), F.round("y", 6).alias("y"))
-
-
 @query("loudness_match", f"WITH {ROWS}, lev AS (SELECT song_id, sqrt(list_inner_product(r, r) / len(r) + 1e-12) AS a, sqrt(list_inner_product(e, e) / len(e) + 1e-12) AS b FROM par), g AS (SELECT song_id, least(greatest(power(a / greatest(b, 1e-6), CAST(0.85 AS DOUBLE)), 0.35), 3.5) AS g FROM lev), o AS (SELECT song_id, i, e * g AS y FROM sam JOIN g USING (song_id)) SELECT song_id, i, round(y * least(1, 0.98 / greatest(max(abs(y)) OVER (PARTITION BY song_id), 1e-9)), 6) AS y FROM o")
 def loudness_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples(audio.shaped(_pairs(spark, sf_dir), "loudness"))
+    return _shaped(spark, sf_dir, shaping.with_loudness)
 
 
 @query(
@@ -79,7 +92,7 @@ def loudness_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     "g AS (SELECT *, least(greatest(power(goal / own, CAST(0.35 AS DOUBLE)), CAST(0.7 AS DOUBLE)), CAST(1.45 AS DOUBLE)) AS g FROM q), s AS (SELECT song_id, n, g, unnest(range(0, len(e))) AS i, unnest(e) AS y FROM g) SELECT song_id, i, round(CASE WHEN i < n THEN y * (g + (1 - g) * i / (n - 1)) ELSE y END, 6) AS y FROM s",
 )
 def transient_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples(audio.shaped(_pairs(spark, sf_dir), "transient"))
+    return _shaped(spark, sf_dir, lambda own, ref: shaping.with_attack(own, ref, SR, size=BLOCK))
 
 
 @query(
@@ -90,7 +103,7 @@ def transient_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT song_id, i, round(y * least(1, 0.98 / greatest(max(abs(y)) OVER (PARTITION BY song_id), 1e-9)), 6) AS y FROM o",
 )
 def envelope_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples(audio.shaped(_pairs(spark, sf_dir), "envelope", 32))
+    return _shaped(spark, sf_dir, lambda own, ref: shaping.with_envelope(own, ref, hop=32, size=BLOCK))
 
 
 def _mel_sql(size: int) -> str:
@@ -112,8 +125,8 @@ QUALITY = f"{PAR}, ref AS (SELECT song_id, r[1:least(len(r), len(e))] AS y FROM
 def log_mel_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over blocks of frames; each track is the estimate of the one before it."""
     rows = _pairs(spark, sf_dir)
-    side = lambda c: render.wave_blocks(rows.select("song_id", F.lit("song").alias("kind"), F.lit(0).alias("piece"), F.transform(c, lambda x: x.cast("double")).alias("samples")), 256)
-    return quality.compared(side("reference"), side("estimate"), SR, block=256).select(F.col("target").alias("song_id"), "log_mel")
+    found = quality.compared(_waves(rows, "reference"), _waves(rows, "estimate"), SR, block=BLOCK)
+    return found.select(F.col("target").alias("song_id"), "log_mel")
 
 
 @query("fixed_segments", f"WITH {TRK}, k AS (SELECT song_id, y, unnest(range(0, greatest(len(y) - 1, 1), 88)) AS a FROM trk) SELECT song_id, CAST(a // 88 AS BIGINT) AS segment_idx, round(a / {SR}, 6) AS start_s, round(least(a + 180, len(y)) / {SR}, 6) AS end_s, round(list_sum(y[a + 1 : a + 180]), 5) AS total FROM k WHERE a = 0 OR a - 88 + 180 < len(y)")
@@ -140,7 +153,8 @@ def _tones(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
     hz = 440 * F.pow(F.lit(2.0), (44 + 3 * (v % 12) - 69 + 0.1 * (v % 7 - 3)) / 12)
     samples = F.transform(F.sequence(F.lit(0), F.lit(TONE_N - 1)), lambda i: F.sin(2 * np.pi * hz * i / TONE_SR))
-    return catalog.table(spark, sf_dir, "embeddings").select("vec_id", v.cast("string").alias("song_id"), F.lit(TONE_SR).alias("sr"), samples.alias("samples"))
+    rows = catalog.table(spark, sf_dir, "embeddings").repartition(spark.sparkContext.defaultParallelism, "vec_id")
+    return rows.select("vec_id", v.cast("string").alias("song_id"), F.lit(TONE_SR).alias("sr"), samples.alias("samples"))
 
 
 def _note(hz: F.Column) -> F.Column:
