@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import clip, unit
+from .render import BLOCK, stretches
+from .resynthesis import lengths
 
 BIN = 64  # frames of a bin: segments meet frames in the bins that they touch
 POOLS = 4
@@ -52,3 +54,19 @@ def described(frames: DataFrame, segments: DataFrame, sr: int, hop: int, widths:
     level = clip((20 * F.log10(F.col("rms") + 1e-8) + 60) / 60, 0.0, 1.0)
     rows = found.select("segment", "n_frames", *(v.alias(k) for k, v in blocks.items()), level.alias("level"))
     return segments.join(rows.select("segment", "n_frames", *(unit(k).alias(k) for k in blocks), "level"), "segment")
+
+
+def grid_segments(waves: DataFrame, sr: int, window_s: float = 0.45, hop_s: float = 0.22, size: int = BLOCK) -> DataFrame:
+    """(song_id, segment_idx, start_s, end_s, samples): pieces of a window at every hop, padded with silence; the last is the first that reaches the end.
+
+    waves: in blocks (see render), of which each piece reads those that it touches.
+    """
+    if window_s <= 0 or hop_s <= 0:
+        raise ValueError("window and hop must be positive")
+    window, hop = round(window_s * sr), round(hop_s * sr)
+    n = lengths(waves).where("n_samples > 0")
+    # the last start is before the end, and its forerunner's window does not reach the end
+    last = F.least(F.expr(f"greatest(n_samples - 2, 0L) div {hop}"), F.greatest(F.lit(0), F.ceil((F.col("n_samples") - window) / hop)))
+    asked = n.select("song_id", "n_samples", F.lit("song").alias("kind"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("segment_idx")).withColumns({"a": F.col("segment_idx") * hop, "n": F.lit(window).cast("long")})
+    cut = stretches(asked, waves, ["song_id", "kind", "a", "n", "segment_idx", "n_samples"], size)
+    return cut.select("song_id", "segment_idx", (F.col("a") / sr).alias("start_s"), (F.least(F.col("a") + window, F.col("n_samples")) / sr).alias("end_s"), "samples")

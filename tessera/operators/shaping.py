@@ -37,7 +37,10 @@ def with_loudness(waves: DataFrame, reference: DataFrame, blend: float = 0.85) -
 
 
 def with_attack(waves: DataFrame, reference: DataFrame, sr: int, amount: float = 0.35, attack_s: float = 0.08, size: int = BLOCK) -> DataFrame:
-    """waves whose first 80 ms are as loud against the whole as the reference's, to the power `amount` and .7 to 1.45 times, easing out in a line."""
+    """waves whose first 80 ms are as loud against the whole as the reference's, to the power `amount` and .7 to 1.45 times, easing out in a line.
+
+    Where either sound is shorter than a quarter of a second nothing changes.
+    """
     n = _sums(waves, "own").join(_sums(reference, "ref"), "song_id").withColumn("n", F.least("own_n", "ref_n", F.lit(int(attack_s * sr))))
     start = F.col("block") * size
 
@@ -47,8 +50,10 @@ def with_attack(waves: DataFrame, reference: DataFrame, sr: int, amount: float =
         return own.select("song_id", F.sqrt(F.col("s") / F.col("k") + 1e-12).alias(name))
 
     facts = n.join(early(waves, "own_early"), "song_id").join(early(reference, "ref_early"), "song_id")
-    ratio = (F.col("ref_early") / (F.col("ref") + 1e-8)) / (F.col("own_early") / (F.col("own") + 1e-8))
-    facts = facts.select("song_id", "n", clip(F.pow(ratio, F.lit(amount)), 0.7, 1.45).alias("gain"))
+    had = F.col("own_early") / (F.col("own") + 1e-8)
+    ratio = F.col("ref_early") / (F.col("ref") + 1e-8) / had
+    short = (F.least("own_n", "ref_n") < sr // 4) | (F.col("n") < 16) | (had < 1e-6)
+    facts = facts.select("song_id", "n", F.when(short, F.lit(1.0)).otherwise(clip(F.pow(ratio, F.lit(amount)), 0.7, 1.45)).alias("gain"))
     ramp = lambda x, i: F.when(start + i < F.col("n"), x * (F.col("gain") + (1 - F.col("gain")) * (start + i) / F.greatest(F.col("n") - 1, F.lit(1)))).otherwise(x)
     return waves.join(facts, "song_id").withColumn("samples", F.transform("samples", ramp)).drop("n", "gain")
 

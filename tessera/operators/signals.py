@@ -1,10 +1,15 @@
 """Signals in long form (song_id, i, y[, t]): levels, frames, smoothing, event starts, spans, fades and overlap-add.
 
-Everything is a window, a grouped sum or a fold over one song's events; nothing leaves the JVM.
+Windows and grouped sums, but for event starts, which are a stream over each song's events.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -81,21 +86,35 @@ def boundary_jump(signal: DataFrame, every: int = 10) -> DataFrame:
     return rows.groupBy("song_id").agg(F.coalesce(F.median(F.when(at, F.col("step") / F.col("scale"))), F.lit(0.0)).alias("jump"))
 
 
+def _starts(batches: Iterator[pa.RecordBatch], hop: float, min_gap: float, fill: float) -> Iterator[pa.RecordBatch]:
+    """Starts of songs whose events come in order: only the last start is kept."""
+    now, last, place = object(), 0.0, 0
+    for b in batches:
+        out = []
+        for song, t in zip(b.column("song_id").to_pylist(), b.column("t").to_pylist()):
+            if song != now:
+                now, last, place = song, 0.0, 1
+                out.append((song, 0, 0.0))
+            if t > last + min_gap:
+                for k in range(1, max(0, math.ceil((t - last) / hop - fill)) + 1):
+                    out.append((song, place, last + hop * k))
+                    place += 1
+                out.append((song, place, t))
+                last, place = t, place + 1
+        if out:
+            songs, places, starts = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(songs, b.column("song_id").type), pa.array(places, pa.int64()), pa.array(starts, pa.float64())], names=["song_id", "place", "start"])
+
+
 def event_starts(events: DataFrame, hop: float, min_gap: float, fill: float = 1.6) -> DataFrame:
     """(song_id, place, start): from 0, each event more than min_gap after the last start; gaps of over fill * hop filled by hops.
 
-    events: (song_id, t). A fold over the song's sorted times: what is kept depends on what was kept before.
+    events: (song_id, t). What is kept depends on what was kept before, so a song's events pass one task in order of time, in a
+    stream that holds none of them.
     """
-    times = events.groupBy("song_id").agg(F.array_sort(F.collect_list(F.col("t").cast("double"))).alias("ts"))
-
-    def step(kept: Column, t: Column) -> Column:
-        last = F.element_at(kept, -1)
-        n = F.greatest(F.lit(0), F.ceil((t - last) / hop - fill)).cast("int")
-        filled = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: last + hop * k)).otherwise(F.array().cast("array<double>"))
-        return F.when(t <= last + min_gap, kept).otherwise(F.concat(kept, filled, F.array(t)))
-
-    starts = times.select("song_id", F.aggregate("ts", F.array(F.lit(0.0)), step).alias("starts"))
-    return starts.select("song_id", F.posexplode("starts").alias("place", "start")).withColumn("place", F.col("place").cast("long"))
+    rows = events.select("song_id", F.col("t").cast("double").alias("t")).where("t is not null").repartition("song_id").sortWithinPartitions("song_id", "t")
+    kind = events.schema["song_id"].dataType.simpleString()
+    return rows.mapInArrow(partial(_starts, hop=hop, min_gap=min_gap, fill=fill), f"song_id {kind}, place long, start double")
 
 
 def starts_within(starts: DataFrame, ends: DataFrame, window: float, least: int = 3) -> DataFrame:

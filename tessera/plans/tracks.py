@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audio, quality, render, resynthesis, shaping
-from ..sources import catalog
+from ..operators import audio, index, quality, render, resynthesis, segments, shaping
+from ..sources import catalog, shared, sound
 from .matching import beam_sql, _beam
 from .registry import query
 
@@ -75,9 +75,15 @@ lst AS (SELECT song_id, side, list(x ORDER BY k) AS b FROM bnd GROUP BY ALL),
 edg AS (SELECT song_id, side, b || [sqrt(list_inner_product(v, v) / {EDGE}), list_avg([abs(b[k + 1] - b[k]) FOR k IN range(1, 13)])] AS e FROM lst JOIN cut USING (song_id, side))"""
 
 
+def _edges(tracks: DataFrame) -> DataFrame:
+    """(song_id, head, tail), all clips of a batch at once."""
+    clips = tracks.select(F.col("n").alias("source_id"), "samples")
+    return index.built(tracks.select(F.col("n").alias("source_id"), "song_id"), clips, SR)
+
+
 @query("edge_fingerprints", f"WITH {EDGES}, u AS (SELECT song_id, side, unnest(range(0, 15)) AS k, unnest(e) AS x, sqrt(list_inner_product(e, e)) + 1e-8 AS n FROM edg) SELECT song_id, k, round(max(x / n) FILTER (WHERE side = 'head'), 6) AS head, round(max(x / n) FILTER (WHERE side = 'tail'), 6) AS tail FROM u GROUP BY song_id, k")
 def edge_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audio.edges(_tracks(spark, sf_dir)).select("song_id", F.posexplode(F.arrays_zip("head", "tail")).alias("k", "x"))
+    rows = _edges(_tracks(spark, sf_dir)).select("song_id", F.posexplode(F.arrays_zip("head", "tail")).alias("k", "x"))
     return rows.select("song_id", F.col("k").cast("long").alias("k"), F.round("x.head", 6).alias("head"), F.round("x.tail", 6).alias("tail"))
 
 
@@ -131,7 +137,7 @@ def log_mel_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fixed_segments", f"WITH {TRK}, k AS (SELECT song_id, y, unnest(range(0, greatest(len(y) - 1, 1), 88)) AS a FROM trk) SELECT song_id, CAST(a // 88 AS BIGINT) AS segment_idx, round(a / {SR}, 6) AS start_s, round(least(a + 180, len(y)) / {SR}, 6) AS end_s, round(list_sum(y[a + 1 : a + 180]), 5) AS total FROM k WHERE a = 0 OR a - 88 + 180 < len(y)")
 def fixed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audio.segments(_tracks(spark, sf_dir), onsets=False, beats=False)
+    rows = segments.grid_segments(_waves(_tracks(spark, sf_dir), "samples"), SR, size=BLOCK)
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
     return rows.select("song_id", "segment_idx", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), F.round(total, 5).alias("total"))
 
@@ -144,6 +150,18 @@ def usable_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("song_id", F.size("samples").cast("long").alias("n"), F.round(F.array_max("samples").cast("double"), 5).alias("high"), F.round(F.array_min("samples").cast("double"), 5).alias("low"))
 
 
+@query("pcm_round_trip", "WITH t AS (SELECT user_id AS song_id, ts, event_id, CAST(value AS DOUBLE) AS y, max(abs(CAST(value AS DOUBLE))) OVER (PARTITION BY user_id) AS m FROM events), s AS (SELECT CAST(song_id AS VARCHAR) AS song_id, row_number() OVER (PARTITION BY song_id ORDER BY ts, event_id) - 1 AS i, round_even(least(greatest(y / coalesce(nullif(m, 0), 1) * CAST(0.89 AS DOUBLE), -1), 1) * 32767, 0) / 32768 AS y FROM t) SELECT song_id, i, round(y, 6) AS y FROM s")
+def pcm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as tracks, written as sound files and read again."""
+    import uuid
+
+    rows = catalog.signals(catalog.table(spark, sf_dir, "events")).groupBy("song_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda r: r["y"]).alias("samples"))
+    folder = f"{shared.shared_folder(spark)}/sound-{uuid.uuid4().hex}"
+    sound.write_tracks(rows.select("song_id", F.lit(4).alias("sr"), "samples"), folder)
+    back = sound.read_tracks(spark, folder).select("song_id", F.posexplode("samples").alias("i", "y"))
+    return back.select("song_id", F.col("i").cast("long").alias("i"), F.round("y", 6).alias("y"))
+
+
 TONE_SR, TONE_N = 8000, 4000
 TONES = "ton AS (SELECT CAST(vec_id AS VARCHAR) AS song_id, vec_id, CAST(44 + 3 * (vec_id % 12) AS BIGINT) AS note, CAST(10 * (vec_id % 7 - 3) AS BIGINT) AS cents, vec_id % 5 - 2 AS steps FROM embeddings)"
 
