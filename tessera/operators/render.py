@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import fit_length
 from ..functions.costs import fade_in, fade_out
 from ..functions.vectors import clip, total
-from .numbering import numbered
+from .numbering import dense_index, numbered
 
 BLOCK = 4096  # samples
 STEMS = ("drums", "bass", "other", "vocals")
@@ -82,6 +82,21 @@ def layer_clips(layers: DataFrame, waves: DataFrame, size: int = BLOCK) -> DataF
     return layers.join(clips, request, "left").withColumn("samples", F.coalesce("samples", silent))
 
 
+REQUEST = ["song_id", "role", "a", "source_n", "n", "steps"]
+
+
+def clip_requests(layers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct requests with their number and pace, layers with their request's number).
+
+    layers: (song_id, role, a, source_n, n, steps, ...): source_n samples from place a on, to be shifted by so many semitones and played in n
+    samples. Steps count to a tenth, so clips that can't be told apart are made once; the pace stays within half and twice.
+    """
+    rows = layers.withColumn("steps", F.round("steps", 1) + 0.0)
+    requests, numbered_layers = dense_index(rows, REQUEST, "request")
+    pace = clip(F.col("source_n") / F.col("n"), 0.5, 2.0)
+    return requests.withColumn("pace", pace), numbered_layers
+
+
 def peak(x: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(x, lambda v: F.abs(v))), F.lit(0.0))
 

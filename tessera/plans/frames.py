@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.costs import MatchParams
+from ..functions.costs import MatchParams, role
 from ..operators import index, numbering, onsets, segments
 from ..sources import catalog
 from .matching import BEAM4, CONCAT, PAIRS, STEPS, _beam
@@ -48,22 +48,35 @@ def _desc() -> str:
     return DESC
 
 
-@query("segment_means", f"WITH {_desc()}, {SEGMENTS} SELECT segment, block, CAST(k AS BIGINT) AS k, round(v, 6) AS v FROM uni")
-def segment_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptors of a segment for each vector, from the frames that it covers (within the song, at least one)."""
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A segment for each vector, described by the frames that it covers (within the song, at least one)."""
     rows = frames(spark, sf_dir)
     size = F.transform("e", lambda x: F.abs(x))
     part = lambda a, n: F.slice(size, a, n)
     feats = rows.select("song_id", "f", part(1, 12).alias("chroma"), part(13, 3).alias("register"), part(16, 5).alias("mfcc"), part(21, 3).alias("contrast"), *(F.abs(F.get("e", F.lit(i))).alias(c) for i, c in ((23, "rms"), (24, "centroid"), (25, "flatness"), (26, "onset"))))
     own = rows.select("song_id", F.col("vec_id").alias("segment"), (F.lit(0.22) * F.col("f") / 4).alias("start_s"))
     own = own.withColumn("end_s", F.col("start_s") + 0.12 + 0.05 * (F.col("segment") % 7))
-    out = segments.described(feats, own, SR, HOP, WIDTHS)
+    return segments.described(feats, own, SR, HOP, WIDTHS)
+
+
+@query("segment_means", f"WITH {_desc()}, {SEGMENTS} SELECT segment, block, CAST(k AS BIGINT) AS k, round(v, 6) AS v FROM uni")
+def segment_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _described(spark, sf_dir)
     blocks = ("chroma", "register", "timbre", "energy", "temporal")
     each = out.select("segment", F.inline(F.array(*[F.struct(F.lit(b).alias("block"), F.col(b).alias("v")) for b in blocks], F.struct(F.lit("level").alias("block"), F.array("level").alias("v")))))
     flat = each.select("segment", "block", F.posexplode("v").alias("k", "v"))
     return flat.select("segment", "block", (F.col("k") + 1).cast("long").alias("k"), F.round("v", 6).alias("v"))
 
 
+ROLED = "pv AS (SELECT segment, max(v) FILTER (WHERE block = 'register' AND k = 1) + max(v) FILTER (WHERE block = 'register' AND k = 2) AS low, max(v) FILTER (WHERE block = 'register' AND k = 3) AS high, max(v) FILTER (WHERE block = 'energy' AND k = 5) AS flat, max(v) FILTER (WHERE block = 'energy' AND k = 6) AS onset FROM uni GROUP BY segment)"
+
+
+@query("segment_roles", f"WITH {_desc()}, {SEGMENTS}, {ROLED} SELECT segment, CASE WHEN low > 0.55 AND onset < 0.45 THEN 'bass' WHEN onset > 0.55 OR (high > 0.4 AND onset > 0.35) OR flat > 0.55 THEN 'drums' WHEN low < 0.35 AND onset < 0.4 THEN 'harmonic' ELSE 'full' END AS role FROM pv")
+def segment_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles by descriptors that have flatness and onset, so that every branch is met."""
+    return _described(spark, sf_dir).select("segment", role("register", "energy").alias("role"))
+
+
 P = onsets.PeakParams(delta=0.03)
 FLUX = f"""{FRM},
 flx AS (SELECT a.song_id, a.f, CASE WHEN b.f IS NULL THEN 0 ELSE round(list_sum([greatest(abs(a.e[i]) - abs(b.e[i]), 0) FOR i IN range(1, 65)]) / 64, 9) END AS s FROM frm a LEFT JOIN frm b ON b.song_id = a.song_id AND b.f = a.f - 1),

@@ -9,7 +9,7 @@ from ..functions.costs import MatchParams, fold_shift, pitch_delta, pitch_steps,
 from ..functions.vectors import dot, rotate, shares, unit
 from ..functions.arrays import brightness, clock_hundredths, fit_length, frame_of, window_at
 from ..operators import decode, factorize, measures, mosaic, numbering, search
-from ..sources import catalog, documents
+from ..sources import catalog, documents, shared
 from .registry import query
 
 DESC = """
@@ -85,6 +85,16 @@ def beam_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.beam_diverse(t, s, 12, 2).select(*BEAM_COLS.split(", "))
 
 
+# the weights of other descriptor backends
+OTHER = SCORE.replace("CAST(0.42 AS DOUBLE) * p.h", "CAST(0.48 AS DOUBLE) * p.h").replace("CAST(0.40 AS DOUBLE) * list_inner_product(t.timbre", "CAST(0.32 AS DOUBLE) * list_inner_product(t.timbre").replace("CAST(0.18 AS DOUBLE) * (CAST(0.72", "CAST(0.20 AS DOUBLE) * (CAST(0.72")
+
+
+@query("beam_other_backend", f"WITH {OTHER}, beam AS (SELECT *, CAST(row_number() OVER (PARTITION BY target, t ORDER BY score DESC, source_id) AS BIGINT) AS j FROM score QUALIFY j <= 10) SELECT {BEAM_COLS} FROM beam")
+def beam_other_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, s = _sides(spark, sf_dir)
+    return search.beam_topk(t, s, 10, search.Weights.of("other")).select(*BEAM_COLS.split(", "))
+
+
 @query("key_shift_hist", f"WITH {beam_sql(10)} SELECT target, key_shift, CAST(count(*) AS BIGINT) AS n FROM beam GROUP BY ALL")
 def key_shift_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _beam(spark, sf_dir, 10)[0].groupBy("target", "key_shift").agg(F.count("*").alias("n"))
@@ -491,8 +501,27 @@ def match_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mosaic.match_sequence(t, s, p).summary
 
 
-@query("mosaic_documents")
-def mosaic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON documents of the best tiles and their layers."""
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     beam, t, s = _beam(spark, sf_dir, 12)
     return documents.documents(beam.where("j = 1"), decode.layers(beam.where("j = 1"), beam, t, s, LAYER_P))
+
+
+@query("mosaic_documents")
+def mosaic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON documents of the best tiles and their layers; SQL sees them read back (documents_round_trip)."""
+    return _documents(spark, sf_dir)
+
+
+@query(
+    "documents_round_trip",
+    f"WITH {LAYER_SQL}, own AS (SELECT b.target, b.t, b.source_id, b.song_id, b.key_shift, b.score, b.song_id <> lag(b.song_id) OVER (PARTITION BY b.target ORDER BY b.t) AS c FROM beam b WHERE b.j = 1), s AS (SELECT target, CAST(count(*) AS BIGINT) AS tiles, CAST(coalesce(sum(c::INT), 0) AS BIGINT) AS transitions, round(avg(score), 4) AS similarity FROM own GROUP BY target) "
+    "SELECT o.target, s.tiles, s.transitions, s.similarity, o.t, o.source_id AS tile, o.key_shift, round(o.score, 4) AS score, l.layer, l.source_id, l.song_id, round(l.weight, 4) AS weight FROM own o JOIN s USING (target) JOIN lay l ON l.target = o.target AND l.t = o.t",
+)
+def documents_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as JSON lines and read again: a row for each layer of each tile."""
+    import uuid
+
+    path = f"{shared.shared_folder(spark)}/documents-{uuid.uuid4().hex}"
+    documents.write_documents(_documents(spark, sf_dir), path)
+    rows = documents.read_documents(spark, path).select("target", "stats.*", F.explode("tiles").alias("x"))
+    return rows.select("target", "tiles", "transitions", "similarity", "x.t", F.col("x.source_id").alias("tile"), "x.key_shift", "x.score", F.posexplode("x.layers").alias("layer", "l")).select("target", "tiles", "transitions", "similarity", "t", "tile", "key_shift", "score", F.col("layer").cast("long").alias("layer"), "l.source_id", "l.song_id", "l.weight")

@@ -99,6 +99,30 @@ def layer_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("target", "place", "layer", "song_id", "role", F.col("k").cast("long").alias("k"), F.round("y", 6).alias("y"))
 
 
+FOLD = "CASE WHEN s > 6 THEN s - 12 WHEN s < -6 THEN s + 12 ELSE s END"
+
+
+@query(
+    "clip_requests",
+    f"WITH RECURSIVE {CLIPS}, rq AS (SELECT q.target, q.place, q.layer, q.song_id, q.role, q.a, q.n, greatest(64, CAST(round_even((s.end_s - s.start_s) * {SR}, 0) AS BIGINT)) AS source_n, CAST(b.key_shift AS DOUBLE) AS s FROM req q JOIN src s USING (source_id) JOIN beam b ON b.target = q.target AND b.t = q.place + 1 AND b.source_id = q.source_id), "
+    f"st AS (SELECT *, round(CASE WHEN role = 'drums' THEN CASE WHEN abs({FOLD}) >= 1.5 THEN 0 ELSE least(greatest({FOLD}, -0.35), 0.35) END ELSE {FOLD} END, 1) + 0 AS steps FROM rq) "
+    "SELECT target, place, layer, CAST(dense_rank() OVER (ORDER BY song_id, role, a, source_n, n, steps) - 1 AS BIGINT) AS request, steps, round(least(greatest(source_n / CAST(n AS DOUBLE), 0.5), 2), 6) AS pace FROM st",
+)
+def clip_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each layer's request for a clip, by the number of the distinct request that serves it."""
+    from ..functions.costs import fold_shift
+    from .matching import _beam
+
+    tiles, layers = _tiles(spark, sf_dir)
+    plan = render.planned(tiles, SR, WINDOW, _onsets(spark, sf_dir)).select("target", "place", F.col("length").alias("n"))
+    shift = _beam(spark, sf_dir, 12)[0].select("target", (F.col("t") - 1).alias("place"), "source_id", "key_shift")
+    own = _sides(spark, sf_dir)[1].select("source_id", F.greatest(F.lit(64), F.rint((F.col("end_s") - F.col("start_s")) * SR).cast("long")).alias("source_n"))
+    rows = layers.join(plan, ["target", "place"]).join(shift, ["target", "place", "source_id"]).join(own, "source_id")
+    rows = rows.withColumns({"a": F.rint(F.col("source_s") * SR).cast("long"), "steps": fold_shift(F.col("key_shift").cast("double"), F.col("role"))})
+    requests, numbered = render.clip_requests(rows)
+    return numbered.join(requests.select("request", "pace"), "request").select("target", "place", "layer", "request", "steps", F.round("pace", 6).alias("pace"))
+
+
 @query("ola_render", f'WITH RECURSIVE {RENDER} SELECT target, i AS "at", round(y, 6) + 0 AS y FROM out')
 def ola_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles, layers = _tiles(spark, sf_dir)
