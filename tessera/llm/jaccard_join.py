@@ -198,13 +198,13 @@ def linked(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool
 
 
 def _in_blocks(members: DataFrame) -> DataFrame:
-    """(hub, ..., block, kind, i, j) of members (hub, rep, comp, ...): each once for every two blocks of its hub that it is compared in.
+    """(hub, rep, comp, block, kind, i, j) of members (hub, rep, comp): each once for every two blocks of its hub that it is compared in.
 
     Members of a hub's commonest component (block -1) need none of each other: they meet the others only (kind 0, their block i
     with block j of the others), and the others each other (kind 1).
     """
-    rows = with_group(members, ["hub", "comp"], "rep", [F.count("*").alias("same")])
-    rows = with_group(rows, ["hub"], "rep", [F.max(F.struct("same", "comp")).alias("most"), F.count("*").alias("all")])
+    most = members.groupBy("hub", "comp").agg(F.count("*").alias("same")).groupBy("hub").agg(F.max(F.struct("same", "comp")).alias("most"), F.sum("same").alias("all"))
+    rows = with_group(members, ["hub"], "rep", [], also=lambda groups: groups.join(most, "hub"))
     main, count = F.col("comp") == F.col("most.comp"), lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("long")
     mains, others = count(F.col("most.same")), count(F.col("all") - F.col("most.same"))
     own = F.pmod(F.xxhash64("rep"), F.when(main, mains).otherwise(others))
@@ -212,7 +212,7 @@ def _in_blocks(members: DataFrame) -> DataFrame:
     each = lambda n, f: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)
     across = F.concat(each(mains, lambda k: pair(0, k, own)), each(others, lambda k: pair(1, F.least(own, k), F.greatest(own, k))))
     pairs = F.when(main, each(others, lambda k: pair(0, own, k))).otherwise(across)
-    return rows.withColumns({"block": F.when(main, F.lit(-1).cast("long")).otherwise(own), "pair": F.explode(pairs)}).drop("same", "most", "all").select("*", "pair.*").drop("pair")
+    return rows.withColumns({"block": F.when(main, F.lit(-1).cast("long")).otherwise(own), "pair": F.explode(pairs)}).drop("most", "all").select("*", "pair.*").drop("pair")
 
 
 def possible_rows(n: np.ndarray, counts: list[bytes], hub_n: np.ndarray, hub_counts: list[bytes], num: int = NUM, den: int = DEN) -> np.ndarray:
@@ -310,7 +310,7 @@ def _groups(signed_: DataFrame) -> DataFrame:
 
 def _compare(members: DataFrame, known: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """Links (a, b) between members (hub, rep) of a hub that are in different components as known: first by bounds, then by texts."""
-    rows = _in_blocks(members.join(known, "rep").select("hub", "rep", "comp", "n", "counts"))
+    rows = _in_blocks(members.join(known.select("rep", "comp"), "rep").select("hub", "rep", "comp")).join(known.select("rep", "n", "counts"), "rep")
     left = sorted_groups(rows, KEYS).mapInArrow(_candidates, "hub long, rep long, comp long").distinct()
     left = materialize(left, "left")
     settle(docs.sparkSession)
