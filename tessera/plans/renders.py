@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.costs import role
 from ..operators import render
-from ..sources import catalog
+from ..sources import catalog, shared
 from .frames import FLUX, song_onsets
 from .matching import LAYER_SQL, _layers, _sides
 from .registry import query
@@ -68,10 +68,10 @@ def _tiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(tiles, layers) of every target, as the renderer takes them."""
     t, s = _sides(spark, sf_dir)
     clip = s.select("source_id", F.col("start_s").alias("source_s"), role("register", "energy").alias("role"))
-    layers = _layers(spark, sf_dir).join(clip, "source_id").withColumn("place", F.col("t") - 1)
+    layers = shared.written(_layers(spark, sf_dir).join(clip, "source_id").withColumn("place", F.col("t") - 1), "layers")
     first = layers.where("layer = 0").select("target", "place", "song_id", "source_s")
     goal = t.select(F.col("song_id").alias("target"), (F.col("segment_idx") - 1).alias("place"), "start_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"))
-    return goal.join(first, ["target", "place"]), layers
+    return shared.written(goal.join(first, ["target", "place"]), "tiles"), layers
 
 
 def _onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
