@@ -182,6 +182,7 @@ def overlapped(tiles: DataFrame, sr: int, ceiling: float = 0.99) -> DataFrame:
 
 def rendered(tiles: DataFrame, layers: DataFrame, waves: DataFrame, sr: int, window_s: float = 0.45, onsets: DataFrame | None = None, size: int = BLOCK) -> DataFrame:
     """(target, at, y): tiles (see planned()) of layers (target, place, layer, song_id, role, source_s, weight), cut from waves."""
-    plan = written(planned(tiles, sr, window_s, onsets), "plan")
+    # written before and after: the plan meets its own rows several times, and all that made them would be planned as often
+    plan = written(planned(written(tiles, "tiles"), sr, window_s, onsets), "plan")
     wanted = layers.join(plan.select("target", "place", F.col("length").alias("n")), ["target", "place"]).withColumn("a", F.rint(F.col("source_s") * sr).cast("long"))
     return overlapped(plan.join(tile_mixes(layer_clips(wanted, waves, size)), ["target", "place"]), sr)
