@@ -112,10 +112,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import collocations, divergence, minhash_dedup
+    from . import collocations, divergence, minhash_dedup, substring_dedup, suffix_dedup
     from .jaccard_join import SHINGLE, classes_sql
 
     return {
+        "op3_substring_dedup": substring_dedup.SQL,
+        "op8_suffix_dedup": suffix_dedup.SQL,
         "op10_ngram_jaccard_join": classes_sql(SHINGLE),
         "op11_phrase_collocations": collocations.SQL,
         "op12_source_divergence": divergence.SQL,

@@ -242,3 +242,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     cuts = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
     rows = docs.select("doc_id", "text").hint("merge").join(cuts, "doc_id", "left")
     return rows.mapInArrow(lambda b: _remove(b, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+# the same for keyed documents in DuckDB: every window by itself
+SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+k AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(words[i:i + {WINDOW - 1}], ' ')) AS first FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w WHERE len(words) >= {WINDOW})),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM k WHERE first < doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id),
+e AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM e ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -241,3 +241,19 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     settle(docs.sparkSession)
     cuts = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
     return docs.select("doc_id", "text").hint("merge").join(cuts, "doc_id", "left").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+# the same for keyed documents in DuckDB: every string by its 128-bit digest
+SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, i, md5_number(substring(h, 2 * i + 1, {2 * LENGTH})) AS key FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {LENGTH - 1})) AS i FROM d WHERE len(h) >= {2 * LENGTH})),
+c AS (SELECT doc_id, i FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1),
+m AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 1 ELSE 0 END AS new FROM c),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+s AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY doc_id, run),
+p AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last FROM s GROUP BY doc_id),
+x AS (SELECT doc_id, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
