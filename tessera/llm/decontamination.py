@@ -28,6 +28,7 @@ ITEM_BYTES, ITEMS = 1 << 18, 1024  # benchmark text and items that are held at o
 PREFIX = 20  # bits of a word that tell at once that no item has it
 PIECE = 1 << 16  # words whose vectors are held at once
 SUMS = 64  # features in one row of partial sums
+TASK_BYTES = 32 << 20  # words' numbers that a task of the decomposition reads, about
 NONE = FEATURES  # feature of the words that fill up a text's last block
 
 WORDS = "doc_id long, words binary, df array<long>"
@@ -315,7 +316,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     counts = numbered.where("doc_id is null").select(F.posexplode("df").alias("f", "n")).groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     df[counts.column("f").to_numpy()] = counts.column("n").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
-    latent = latent_space(numbered, idf) * idf[:, None]
+    # a task's sums take FEATURES x RANK numbers whatever it reads: few tasks, so that they stay a part of what is read
+    tasks = max(1, -(-int(df[-1]) * BLOCK * 8 // TASK_BYTES))
+    latent = latent_space(numbered.coalesce(tasks), idf) * idf[:, None]
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     size, number = bench.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     slices = max(1, -(-(size or 0) // ITEM_BYTES), -(-number // ITEMS))
