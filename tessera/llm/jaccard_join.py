@@ -344,6 +344,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, sign: Sign = signat
     nodes = materialize(connected_components(links, "a", "b"), "nodes")
     known = named.join(nodes, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component_id", "rep")).drop("node", "component_id")
     known = materialize(known, "known")
+    settle(spark)
     # then members of one hub that are still in different components
     members = pairs.unionAll(pairs.select("hub", F.col("hub").alias("rep")).distinct()).join(known.select("rep", "comp"), "rep")
     members = with_group(members, ["hub"], "rep", [F.min("comp").alias("lo"), F.max("comp").alias("hi")], "lo < hi").select("hub", "rep")
