@@ -64,11 +64,11 @@ def _waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.wave_blocks(rows, SIZE)
 
 
-def _tiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _tiles(spark: SparkSession, sf_dir: str, beam: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(tiles, layers) of every target, as the renderer takes them."""
     t, s = _sides(spark, sf_dir)
     clip = s.select("source_id", F.col("start_s").alias("source_s"), role("register", "energy").alias("role"))
-    layers = shared.written(_layers(spark, sf_dir).join(clip, "source_id").withColumn("place", F.col("t") - 1), "layers")
+    layers = shared.written(_layers(spark, sf_dir, beam).join(clip, "source_id").withColumn("place", F.col("t") - 1), "layers")
     first = layers.where("layer = 0").select("target", "place", "song_id", "source_s")
     goal = t.select(F.col("song_id").alias("target"), (F.col("segment_idx") - 1).alias("place"), "start_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"))
     return shared.written(goal.join(first, ["target", "place"]), "tiles"), layers
@@ -113,9 +113,10 @@ def clip_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.costs import fold_shift
     from .matching import _beam
 
-    tiles, layers = _tiles(spark, sf_dir)
+    beam = _beam(spark, sf_dir, 12)[0]
+    tiles, layers = _tiles(spark, sf_dir, beam)
     plan = render.planned(tiles, SR, WINDOW, _onsets(spark, sf_dir)).select("target", "place", F.col("length").alias("n"))
-    shift = _beam(spark, sf_dir, 12)[0].select("target", (F.col("t") - 1).alias("place"), "source_id", "key_shift")
+    shift = beam.select("target", (F.col("t") - 1).alias("place"), "source_id", "key_shift")
     own = _sides(spark, sf_dir)[1].select("source_id", F.greatest(F.lit(64), F.rint((F.col("end_s") - F.col("start_s")) * SR).cast("long")).alias("source_n"))
     rows = layers.join(plan, ["target", "place"]).join(shift, ["target", "place", "source_id"]).join(own, "source_id")
     rows = rows.withColumns({"a": F.rint(F.col("source_s") * SR).cast("long"), "steps": fold_shift(F.col("key_shift").cast("double"), F.col("role"))})
