@@ -122,3 +122,17 @@ def test_nearest_of_sorted_starts(seed):
     rng = np.random.default_rng(seed)
     starts, wanted = np.sort(rng.integers(0, 30, 40)) / 4, rng.integers(-8, 80, 60) / 8
     assert decode._nearest(starts, wanted).tolist() == np.abs(starts - wanted[:, None]).argmin(1).tolist()
+
+
+def test_copies_of_one_song_are_dealt_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(search, "FEWEST", 8)
+    targets, sources = sides(40, 60)
+    t, s = (spark.createDataFrame(x, SCHEMA).coalesce(1) for x in (targets, sources))
+    out = search.scored(t, s, 3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression [source_id" in line]
+    assert [line.rsplit(", ", 1)[1] for line in dealt] == ["2", "5"]  # 5 blocks of targets, 2 of sources
+    best = search.beam_topk(t, s, 3).toPandas().sort_values(["target", "t", "j"])
+    want = plain(targets, sources)
+    for (target, i), rows in best.groupby(["target", "t"]):
+        assert rows["source_id"].tolist() == [r[2] for r in want[target, i][:3]]
