@@ -6,6 +6,8 @@ are its stems. A clip reads the blocks that it touches, tiles meet only in sums
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,9 +104,21 @@ def peak(x: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(x, lambda v: F.abs(v))), F.lit(0.0))
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once: written out, an expression within a lambda is computed again for every sample."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _limited(x: Column, ceiling: float = 0.99) -> Column:
-    top = peak(x)
-    return F.when(top > ceiling, F.transform(x, lambda v: v * (ceiling / top))).otherwise(x)
+    return _once(x, lambda y: _once(peak(y), lambda top: F.when(top > ceiling, _once(ceiling / top, lambda gain: F.transform(y, lambda v: v * gain))).otherwise(y)))
+
+
+def _centred(x: Column) -> Column:
+    def moved(y: Column) -> Column:
+        mean = total(y) / F.greatest(F.size(y), F.lit(1))
+        return _once(mean, lambda m: F.when(F.abs(m) < 0.2 * (peak(y) + 1e-9), F.transform(y, lambda v: v - m)).otherwise(y))
+
+    return _once(x, moved)
 
 
 def tile_mixes(clips: DataFrame) -> DataFrame:
@@ -116,10 +130,7 @@ def tile_mixes(clips: DataFrame) -> DataFrame:
     tiles = clips.groupBy("target", "place").agg(F.array_sort(F.collect_list(F.struct("layer", amount.alias("amount"), "samples"))).alias("layers"))
     more = F.slice("layers", 2, F.greatest(F.size("layers") - 1, F.lit(0)))
     mix = F.aggregate(more, F.get("layers", F.lit(0))["samples"], lambda m, p: _limited(F.zip_with(m, p["samples"], lambda x, y: x + p["amount"] * y)))
-    rows = tiles.select("target", "place", mix.alias("mix"))
-    rows = rows.select("*", (total(F.col("mix")) / F.greatest(F.size("mix"), F.lit(1))).alias("mean"), (peak(F.col("mix")) + 1e-9).alias("top"))
-    centred = F.when(F.abs("mean") < 0.2 * F.col("top"), F.transform("mix", lambda x: x - F.col("mean"))).otherwise(F.col("mix"))
-    return rows.select("target", "place", centred.alias("samples"))
+    return tiles.select("target", "place", _centred(mix).alias("samples"))
 
 
 def _shifted(rows: DataFrame, by: int, **names: str) -> DataFrame:
@@ -165,7 +176,8 @@ def overlapped(tiles: DataFrame, sr: int, ceiling: float = 0.99) -> DataFrame:
     """
     guard = max(16, round(0.004 * sr))
     k, fall = F.col("k"), F.col("length") - F.col("fade_out")
-    rows = tiles.where("pos < n_out").select("target", "pos", "length", "fade_in", "fade_out", "power", "n_out", F.posexplode("samples").alias("k", "x"))
+    # outer, as Spark else makes a filter of what `samples` are computed by, before the join; rows without samples go by `at`
+    rows = tiles.where("pos < n_out").select("target", "pos", "length", "fade_in", "fade_out", "power", "n_out", F.posexplode_outer("samples").alias("k", "x"))
     w = F.when(k < F.col("fade_in"), fade_in(k, F.col("fade_in"))).otherwise(F.lit(1.0)) * F.when(k >= fall, fade_out(k - fall, F.col("fade_out"))).otherwise(F.lit(1.0))
     eased = F.pow(F.sin(F.pi() * k / F.greatest(F.col("fade_in") - 1, F.lit(1))), F.lit(2.0))
     rows = rows.select("target", (F.col("pos") + k).alias("at"), "x", w.alias("w"), F.when(F.col("power") & (k < F.col("fade_in")), eased).otherwise(F.lit(0.0)).alias("ease"), "n_out").where("at < n_out")

@@ -244,3 +244,21 @@ def test_segment_descriptors_equal_plain_means(spark):
         for k, v in want.items():
             np.testing.assert_allclose(got[i][k], v, atol=1e-9, err_msg=f"{i} {k}")
         assert abs(got[i]["level"] - min(max((20 * math.log10(col("rms").mean() + 1e-8) + 60) / 60, 0), 1)) < 1e-9
+
+
+def test_a_tile_is_mixed_once_not_once_a_sample(spark):
+    """Loud layers, so that the mix is limited and then centred; no filter of the plan may hold the mix, which Spark inlines into it."""
+    n = 400
+    x, y = np.random.default_rng(5).normal(0.1, 1.0, (2, n))
+    clips = spark.createDataFrame([("T", 0, 0, 1.0, x.tolist()), ("T", 0, 1, 0.3, y.tolist())], "target string, place long, layer long, weight double, samples array<double>")
+    mixes = render.tile_mixes(clips)
+    want = x + 0.405 * y
+    want = want * (0.99 / np.abs(want).max())
+    want = want - want.mean()
+    np.testing.assert_allclose(mixes.first()["samples"], want, atol=1e-12)
+    plan = spark.createDataFrame([("T", 0, 0, n, 0, 0, False, n)], "target string, place long, pos long, length long, fade_in long, fade_out long, power boolean, n_out long")
+    out = render.overlapped(plan.join(mixes, ["target", "place"]), 100)
+    plans = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plans if "Filter" in line and "zip_with" in line]
+    assert out.count() == n
+    assert mixes._jdf.queryExecution().optimizedPlan().toString().count("zip_with") == 1  # the sum of two layers stands there once
