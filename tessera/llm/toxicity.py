@@ -3,8 +3,9 @@
 Texts are read in windows of WORDS words. Both dictionaries begin with one base, trained on ordinary text, so that ordinary
 stretches cost the same with either; after it each has its own part, trained on windows of its own class in ROUNDS: each
 round trains on those windows that the dictionary so far makes least short for their length. A window's distance is its length
-with the ordinary dictionary less that with the toxic one. A text is shown by how many of its windows pass each threshold; a
-logistic calibration on labelled documents that the dictionaries have not seen turns that into a score.
+with the ordinary dictionary less that with the toxic one; a window that the ordinary dictionary makes as short as most ordinary
+ones of its length is ordinary, has distance 0 and needs no second compression. A text is shown by how many of its windows pass
+each threshold; a logistic calibration on labelled documents that the dictionaries have not seen turns that into a score.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, small_batches, text_chunks
 
-WORDS = 5  # words of a window
+WORDS = 8  # words of a window
 SAMPLE = (3000, 6000)  # labelled documents to learn from at most: toxic, ordinary; half for the dictionaries, half to calibrate
 WINDOWS = (100_000, 300_000)  # windows of these, picked by hash, that the dictionaries are trained on at most
-BASE, OWN, ROUNDS, WORST = 256_000, 1536, 6, 0.04  # bytes of the base and of a round's part; rounds; share of the windows of a round
+BASE, OWN, ROUNDS, WORST = 400_000, 1536, 6, 0.04  # bytes of the base and of a round's part; rounds; share of the windows of a round
 LEVEL = 16
+EXPLAINED = 0.65  # share of ordinary windows that count as ordinary by the ordinary dictionary alone
 TOP = 9  # distances are counted from 1 to TOP
 
 
@@ -39,16 +41,20 @@ def windows(text: bytes) -> list[bytes]:
 def compressor(dictionary: bytes):
     import zstandard as z
 
-    how = z.ZstdCompressionParameters.from_level(LEVEL, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0, min_match=3, hash_log=17, chain_log=19)
+    how = z.ZstdCompressionParameters.from_level(LEVEL, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0, min_match=3, search_log=4, hash_log=17, chain_log=20)
     held = z.ZstdCompressionDict(dictionary)
     held.precompute_compress(compression_params=how)
     return z.ZstdCompressor(dict_data=held, compression_params=how).compress
 
 
+Gate = tuple[float, float]  # a window of n bytes that the ordinary dictionary makes shorter than gate[0] * n + gate[1] is ordinary
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     toxic: bytes
     ordinary: bytes
+    gate: Gate
     centre: tuple[float, ...]
     scale: tuple[float, ...]
     weights: tuple[float, ...]
@@ -58,24 +64,36 @@ class ToxicityModel:
 _HELD: dict[int, tuple] = {}
 
 
-def distances(text: bytes, toxic: bytes, ordinary: bytes) -> np.ndarray:
-    """Each window's length with the ordinary dictionary less that with the toxic one, from 0 to TOP."""
+def distances(texts: list[bytes], toxic: bytes, ordinary: bytes, gate: Gate) -> list[np.ndarray]:
+    """For each text, each window's length with the ordinary dictionary less that with the toxic one, from 0 to TOP.
+
+    A window that occurs several times in these texts is compressed once. All go through one dictionary before any goes through
+    the other: turn by turn, each would push the other's tables out of the processor's caches.
+    """
     key = zlib.crc32(toxic) << 32 | zlib.crc32(ordinary)
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = compressor(toxic), compressor(ordinary)
     by_toxic, by_ordinary = _HELD[key]
-    own = windows(text)
-    return np.clip(np.fromiter((len(by_ordinary(w)) - len(by_toxic(w)) for w in own), np.int64, len(own)), 0, TOP)
-
-
-def features(text: bytes, toxic: bytes, ordinary: bytes) -> list[float]:
-    """Shares and numbers of windows at each distance or beyond, and the length; the shares saturate."""
-    own = distances(text, toxic, ordinary)
-    n = len(own)
-    beyond = np.bincount(own, minlength=TOP + 1)[::-1].cumsum()[::-1][1:].astype(float)
-    share = beyond / max(n, 1)
-    return [*np.sqrt(share), *np.minimum(share * 10, 1.0), *np.log1p(beyond), math.log1p(n)]
+    place: dict[bytes, int] = {}
+    at = [np.fromiter([place.setdefault(w, len(place)) for w in windows(t)], np.int64) for t in texts]
+    own = list(place)
+    length = np.fromiter(map(len, map(by_ordinary, own)), np.int64, len(own))
+    rest = np.flatnonzero(length >= gate[0] * np.fromiter(map(len, own), np.int64, len(own)) + gate[1])
+    apart = np.zeros(len(own), np.int64)
+    apart[rest] = np.clip(length[rest] - np.fromiter((len(by_toxic(own[i])) for i in rest.tolist()), np.int64, len(rest)), 0, TOP)
+    return [apart[i] for i in at]
+
+
+def features(texts: list[bytes], toxic: bytes, ordinary: bytes, gate: Gate) -> np.ndarray:
+    """A row for each text: shares and numbers of windows at each distance or beyond, and the length; the shares saturate."""
+    out = np.zeros((len(texts), 3 * TOP + 1))
+    for row, own in zip(out, distances(texts, toxic, ordinary, gate)):
+        n = len(own)
+        beyond = np.bincount(own, minlength=TOP + 1)[::-1].cumsum()[::-1][1:].astype(float)
+        share = beyond / max(n, 1)
+        row[:] = [*np.sqrt(share), *np.minimum(share * 10, 1.0), *np.log1p(beyond), math.log1p(n)]
+    return out
 
 
 def _trained(samples: list[bytes], size: int):
@@ -94,28 +112,35 @@ def _content(samples: list[bytes], size: int) -> bytes:
     return held.as_bytes()[-size:] if held else b"".join(samples)[-size:]
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """(toxic, ordinary): trained on windows of either class."""
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes, Gate]:
+    """(toxic, ordinary, gate): trained on windows of either class; the gate on ordinary ones that the base has not seen."""
     cut = len(ordinary) * 3 // 4
     held = _trained(ordinary[:cut], BASE)
     base = held.as_bytes() if held else (b"".join(ordinary[:cut])[-BASE:] or b" " * 8)
 
+    def line(size: np.ndarray, cost: np.ndarray) -> np.ndarray:
+        return np.polyfit(size, cost, 1) if len(np.unique(size)) > 1 else np.zeros(2)
+
     def with_own(samples: list[bytes]) -> bytes:
         out = base
         size = np.array([len(w) for w in samples], float)
         for _ in range(ROUNDS if samples else 0):
             compress = compressor(out)
             cost = np.array([len(compress(w)) for w in samples], float)
-            if len(np.unique(size)) > 1:
-                cost -= np.polyval(np.polyfit(size, cost, 1), size)
+            cost -= np.polyval(line(size, cost), size)
             worst = np.argsort(-cost, kind="stable")[: max(64, int(len(samples) * WORST))]
             out += _content([samples[i] for i in worst.tolist()], OWN)
         return out
 
-    return with_own(toxic), with_own(ordinary[cut:])
+    ends = with_own(toxic), with_own(ordinary[cut:])
+    some = ordinary[cut:][:20_000]
+    compress = compressor(ends[1])
+    size, cost = np.array([len(w) for w in some], float), np.array([len(compress(w)) for w in some], float)
+    slope, least = line(size, cost)
+    return *ends, (float(slope), float(least + np.quantile(cost - slope * size - least, EXPLAINED)) if some else 0.0)
 
 
-def calibrated(x: np.ndarray, y: np.ndarray, dicts: tuple[bytes, bytes], share: float) -> ToxicityModel:
+def calibrated(x: np.ndarray, y: np.ndarray, dicts: tuple[bytes, bytes, Gate], share: float) -> ToxicityModel:
     """Newton's method on the penalised likelihood; `share`: of all labelled documents, those of label 1 (the sample has more)."""
     centre, scale = x.mean(0), x.std(0) + 1e-6
     one = np.hstack([(x - centre) / scale, np.ones((len(x), 1))])
@@ -133,7 +158,7 @@ def calibrated(x: np.ndarray, y: np.ndarray, dicts: tuple[bytes, bytes], share:
 def score(texts: list[bytes], model: ToxicityModel | None) -> np.ndarray:
     if model is None or not texts:
         return np.zeros(len(texts))
-    x = np.array([features(t, model.toxic, model.ordinary) for t in texts])
+    x = features(texts, model.toxic, model.ordinary, model.gate)
     z = ((x - np.array(model.centre)) / np.array(model.scale)) @ np.array(model.weights) + model.bias
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -181,7 +206,7 @@ def train_on(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxici
 
     def shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t or b"", *dicts) for t in batch.column("text").to_pylist()]
+            x = [row for _, texts in text_chunks(iter([batch.rename_columns(["doc_id", "text"])])) for row in features(texts, *dicts)]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
     shares = rows.where("half = 1").select("y", "text").mapInArrow(shown, "y int, x array<double>").orderBy("y", "x").toArrow()

@@ -179,6 +179,34 @@ def test_toxicity_on_held_out_rows(spark, labelled, rows):
     assert got["toxicity"].between(0, 1).all() and len(got) == len(labelled) + len(rows)
 
 
+def test_toxicity_compresses_a_window_no_oftener_than_needed(labelled, monkeypatch):
+    """A repeated window once; with the toxic dictionary only what ordinary text leaves unexplained; the same alone as with others."""
+    seen, make = [], toxicity.compressor
+
+    def counted(dictionary):
+        compress = make(dictionary)
+        return lambda w: seen.append((dictionary, w)) or compress(w)
+
+    ends = [[w for _, t, y in labelled[:600] if y == k for w in toxicity.windows(t.encode())] for k in (1, 0)]
+    dicts = toxicity.dictionaries(*ends)
+    monkeypatch.setattr(toxicity, "compressor", counted)
+    monkeypatch.setattr(toxicity, "_HELD", {})
+    texts = [t.encode() for _, t, _ in labelled[600:]] * 2 + [b"", b" ", labelled[0][1].encode() * 3]
+    got = toxicity.features(texts, *dicts)
+    every = {w for t in texts for w in toxicity.windows(t)}
+    by = [[w for d, w in seen if d == k] for k in dicts[:2]]
+    assert len(by[1]) == len(every) and set(by[1]) == every
+    assert len(by[0]) == len(set(by[0])) < 0.8 * len(every)
+    slope, least = dicts[2]
+    ordinary, toxic = make(dicts[1]), make(dicts[0])
+    for t, row in zip(texts, got):
+        own = toxicity.windows(t)
+        apart = [min(max(len(ordinary(w)) - len(toxic(w)), 0), toxicity.TOP) if len(ordinary(w)) >= slope * len(w) + least else 0 for w in own]
+        assert toxicity.distances([t], *dicts)[0].tolist() == apart
+        assert np.allclose(row[2 * toxicity.TOP : 3 * toxicity.TOP], [math.log1p(sum(a >= k for a in apart)) for k in range(1, toxicity.TOP + 1)])
+        assert (toxicity.features([t], *dicts)[0] == row).all()
+
+
 def test_toxicity_without_labels(spark, docs, no_docs, rows):
     model = toxicity.train_on(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert model is None
