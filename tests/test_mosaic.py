@@ -32,6 +32,17 @@ def test_documents_round_trip(spark, tmp_path):
     assert documents.read_documents(spark, str(tmp_path / "out")).first()["tiles"][1]["song_id"] == "B"
 
 
+def test_documents_round_ties_as_sql_does(spark):
+    import duckdb
+
+    scores = [0.80995, 0.00115, 0.5, 0.12345, *(n / 1000000 for n in range(50, 100000, 1700))]
+    tiles = spark.createDataFrame([("T5", n, n, "A", 0, x) for n, x in enumerate(scores)], "target string, t long, source_id long, song_id string, key_shift int, score double")
+    layers = tiles.selectExpr("target", "t", "0L AS layer", "source_id", "song_id", "score AS weight")
+    d = json.loads(documents.documents(tiles, layers).first()["document"])
+    wanted = duckdb.execute("SELECT list_transform(?::DOUBLE[], lambda x: round(x, 4))", [scores]).fetchone()[0]
+    assert [x["score"] for x in d["tiles"]] == [x["layers"][0]["weight"] for x in d["tiles"]] == wanted
+
+
 def test_candidates_are_distinct_until_they_repeat(spark):
     scored = spark.createDataFrame([("T5", 1, i, "AB"[i % 2], 1 - i / 100) for i in range(6)], "target string, t long, source_id long, song_id string, score double")
     atoms = spark.createDataFrame([(i, "AB"[i % 2], i // 2) for i in range(10)], "source_id long, song_id string, frame long")
